@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -15,10 +16,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from clipcurate.llm.common import materialize
 
-#: Token ids of words that a Python worker has met, as little-endian unsigned 32-bit integers; dropped when it has this many.
-MAX_WORDS = 600_000
-_tokenizers: dict[str, object] = {}
-_words: dict[str, dict[str, bytes]] = {}
+#: Entries of a table of token ids in a Python worker; a table that has more is replaced.
+MAX_WORDS = 800_000
+_encoders: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -27,35 +27,90 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class Encoder:
+    """Token ids of texts under a byte-level tokenizer, as little-endian unsigned 32-bit integers.
+
+    Such a tokenizer splits a text before it merges: before a space between words, around a line break between words,
+    and between letters and the punctuation after them. So texts are cut at single spaces into words, words that are new
+    are cut further, and only letters or marks that are new are tokenized. A space beside other white space, where the
+    split depends on both, stays inside its word, and such words are tokenized whole.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True  # their strings in a text are ordinary text
-        _words[path] = {}
-    return _tokenizers[path]
-
-
-def token_bytes(texts: list[str], path: str, chunk: int = 4000) -> Iterator[bytes]:
-    """Ids of each text. A byte-level tokenizer splits before each single space between words, so words with the space
-    before them are looked up one by one, and only new ones are tokenized; a space beside other white space, where the
-    split depends on both, stays inside its piece."""
-    tok = _tokenizer(path)
-    known = _words[path]
-    for a in range(0, len(texts), 256):
-        split = [pieces(t) for t in texts[a : a + 256]]
-        new = list({p for s in split for p in s if p not in known})
-        if len(known) + len(new) > MAX_WORDS:
-            known.clear()
-            new = list({p for s in split for p in s})
-        for b in range(0, len(new), chunk):
-            part = new[b : b + chunk]
-            for p, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for s in split:
-            yield b"".join([known[p] for p in s])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level model writes as themselves
+        rest = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.words: dict[str, bytes] = {}  # by word, with the space before it understood
+        self.older: dict[str, bytes] = {}  # the table before it, in which words are still looked up
+        self.units: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def merged(self, unit: str) -> bytes:
+        """Ids of letters, with or without a space before them."""
+        if unit.isascii():
+            shown = "\u0120" + unit[1:] if unit[0] == " " else unit
+        elif max(unit) < "\u0250":  # letters in any Unicode version: one piece for the model
+            shown = unit.encode().decode("latin-1").translate(self.letters)
+        else:
+            return self.whole(unit)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        got = self.units.get(unit)
+        if got is None:
+            got = self.merged(unit) if unit.isalpha() else self.whole(unit)
+            if len(self.units) > MAX_WORDS:
+                self.units.clear()
+            self.units[unit] = got
+        return got
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word after a space."""
+        if word.isalpha():
+            got = self.words[word] = self.merged(" " + word)
+            return got
+        base = word.rstrip(".,!?;:")
+        if base != word and base.isalpha():
+            got = self.words.get(base)
+            return (self.word(base) if got is None else got) + self.unit(word[len(base) :])
+        first, *lines = word.split("\n")
+        if not lines or first.split() != [first] or not first[-1].isalnum() and first[-1] not in ".,!?;:":
+            return self.whole(" " + word)
+        got = self.words.get(first)
+        return b"".join([self.word(first) if got is None else got, *(self.unit("\n") + self.line(x) for x in lines)]) if all(x.split() == [x] for x in lines) else self.whole(" " + word)
+
+    def line(self, start: str) -> bytes:
+        """Ids of a word that begins a line or a text."""
+        base = start.rstrip(".,!?;:")
+        if base != start and base.isalpha():
+            return self.unit(base) + self.unit(start[len(base) :])
+        return self.unit(start) if start else b""
+
+    def text(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        new = set(words).difference(self.words)
+        if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+            return b"".join(map(self.whole, pieces(text)))
+        if len(self.words) + len(new) > MAX_WORDS:
+            self.older, self.words, new = self.words, {}, set(words)
+        for w in new:
+            got = self.older.get(w)
+            self.words[w] = self.word(w) if got is None else got
+        return b"".join([self.line(first), *map(self.words.__getitem__, words)])
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(text: str) -> list[str]:
@@ -83,12 +138,13 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, size: int, tokenizer: str
     final = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 b = batch.slice(low, 512)
                 rows = []
-                for i, ids in enumerate(token_bytes([t or "" for t in b.column("text").to_pylist()], path)):
-                    ids += final
+                for i, t in enumerate(b.column("text").to_pylist()):
+                    ids = enc.text(t or "") + final
                     rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
                 at, k, s, n, own = zip(*rows, strict=True)
                 out = {"doc_id": b.column("doc_id").take(pa.array(at)), "piece": pa.array(k, pa.int32()), "start": pa.array(s, pa.int64()), "length": pa.array(n, pa.int32()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
@@ -186,7 +242,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     return out + [x for rows in open_.values() for x in rows]
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1024, tokenizer: str | None = None, end: int = 2, keep_ids: bool = False, chunk_rows: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1024, tokenizer: str | None = None, end: int = 2, keep_ids: bool = False, chunk_rows: int = 256) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])`` of every piece of every document.
 
     A document is its token ids and the ``end`` id; only documents longer than ``size`` are cut. Of the pieces only the
