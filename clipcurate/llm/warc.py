@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import materialize
+from clipcurate.llm.common import materialize, sorted_groups
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 #: RFC 4648 letters, in the order of the digits of Spark's conv to base 32.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -64,25 +65,47 @@ def warc_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     return rows.withColumn("body", body).withColumn("record", head).select("page_id", "url", "digest", "payload_bytes", "refers_to", "record")
 
 
+def _gzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member of its own, so that it can be read alone."""
+    for batch in batches:
+        names = [c for c in batch.schema.names if c != "record"]
+        for low in range(0, batch.num_rows, 256):
+            b = batch.slice(low, 256)
+            members = []
+            for r in b.column("record").to_pylist():
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                members.append(z.compress(r.encode("utf-8", "surrogatepass") + END) + z.flush())
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(members, pa.binary())], names=[*names, "member"])
+
+
+def _concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for g in sorted_groups(batches, ["archive"]):
+        yield pa.record_batch({"archive": g.column("archive")[:1].combine_chunks(), "value": pa.array([b"".join(g.column("member").to_pylist())], pa.binary())})
+
+
 def write_warc(records: DataFrame, path: str, archive_bytes: int = 32 << 20) -> DataFrame:
-    """Write ``records`` as WARC files ``path/archive=N/*`` and, first, their index ``path-index``; returns the index.
+    """Write ``records`` as gzipped WARC files ``path/archive=N/*`` and, first, their index ``path-index``; returns the index.
 
     Index: ``(archive, offset, length, page_id, url, digest, payload_bytes)``. A record's archive is a hash of its id and
     digest, its place in it follows these; so offsets are running sums over one archive of about ``archive_bytes``, known
-    before a byte is written. Then each archive's records are sorted the same way and written by Spark's text writer,
-    which commits whole files only, on whatever file system the path is.
+    before a byte of it is written. Then each archive's records are sorted the same way, put together in one task, and
+    written by Spark's text writer, which commits whole files only, on whatever file system the path is. The writer ends
+    each file with a zero byte, padding that gzip readers skip.
     """
-    size = (F.octet_length("record") + len(END)).cast("long")
-    total = records.agg(F.sum(size)).first()[0] or 0
+    kinds = {"page_id": "long", "url": "string", "digest": "string", "payload_bytes": "long", "record": "string"}
+    members = records.select(*kinds).mapInArrow(_gzip, ", ".join(f"{k} {v}" for k, v in kinds.items() if k != "record") + ", member binary")
+    members = materialize(members, "members")
+    size = F.octet_length("member").cast("long")
+    total = members.agg(F.sum(size)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    order = [F.xxhash64("digest", "page_id"), F.col("page_id"), F.col("url")]
-    placed = records.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int"))
-    spot = Window.partitionBy("archive").orderBy("o", "page_id", "url").rowsBetween(Window.unboundedPreceding, -1)
-    index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", order[0].alias("o"))
-    index = index.withColumn("offset", F.coalesce(F.sum("length").over(spot), F.lit(0))).drop("o")
-    index.write.parquet(f"{path}-index")
-    ordered = placed.repartition("archive").sortWithinPartitions("archive", *order).select("archive", F.col("record").alias("value"))
-    ordered.write.option("lineSep", END).partitionBy("archive").text(path)
+    placed = members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")).withColumn("o", F.xxhash64("digest", "page_id"))
+    order = ["o", "page_id", "digest", "url"]
+    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", "o")
+    index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("o").write.parquet(f"{path}-index")
+    ordered = placed.repartition("archive").sortWithinPartitions("archive", *order).select("archive", "member")
+    files = ordered.mapInArrow(_concatenate, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").partitionBy("archive").text(path)
     return records.sparkSession.read.parquet(f"{path}-index")
 
 
@@ -112,7 +135,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for x in r["records"]:
                 a = x["offset"] - r["start"]
-                fields, payload = parse_record(bytes(data[a : a + x["length"]]))
+                fields, payload = parse_record(zlib.decompress(data[a : a + x["length"]], 31))
                 kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Bytes"])
                 if digest != x["digest"] or kind == "response" and (digest, size) != (base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)):
                     raise ValueError(f"record at {x['offset']} of {r['file']} is not what the index says")
@@ -122,7 +145,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def read_records(index: DataFrame, path: str, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def read_records(index: DataFrame, path: str, gap: int = 64 << 10, most: int = 2 << 20) -> DataFrame:
     """``(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)`` of the records that ``index`` (any
     selection of its rows) names, read back from the archives at ``path``.
 
@@ -140,4 +163,6 @@ def read_records(index: DataFrame, path: str, gap: int = 64 << 10, most: int = 4
     )
     files = _files(index.sparkSession, path)
     rows = reads.join(files, "archive").select("file", "start", "beyond", "records")
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * most)))
+    rows = rows.repartition(tasks, "file", "start")  # a row is small, but what it asks for isn't
     return rows.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
