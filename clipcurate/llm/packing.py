@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from clipcurate.llm.common import materialize
 
 #: Entries of a table of token ids in a Python worker; a table that has more is replaced.
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 _encoders: dict[str, Encoder] = {}
 
 

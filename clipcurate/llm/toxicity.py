@@ -24,7 +24,7 @@ def word_features(word: str) -> tuple[int, ...]:
     if got is None:
         keys = {f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)}
         got = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) % DIMS for k in keys)
-        if len(_features) > 400_000:  # words of one Python worker; what is forgotten is only hashed again
+        if len(_features) > 100_000:  # words of one Python worker; what is forgotten is only hashed again
             _features.clear()
         _features[word] = got
     return got
@@ -139,7 +139,7 @@ def scorer(models: Iterable[tuple[np.ndarray, np.ndarray, float]]):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        weighted: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight
+        weighted: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight; of one batch
 
         def of(text: str | None) -> float:
             hit: set[int] = set()
