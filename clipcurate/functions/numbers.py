@@ -32,7 +32,7 @@ def test(c: Column, op: str, bound: Column | float) -> Column:
 
 
 def norm(parts: list[Column]) -> Column:
-    return F.sqrt(reduce(lambda a, b: a + b, (p * p for p in parts)))
+    return F.sqrt(reduce(lambda a, b: a + b, (F.pow(p, F.lit(2.0)) for p in parts)))
 
 
 def nonfinite(a: Column) -> Column:

@@ -17,7 +17,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = sql.replace("count_if(", "count(*) FILTER (WHERE ")  # a BIGINT, as Spark's
         return f
 
     return register
@@ -224,7 +224,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)
     k, pool = sampling.budgets(split, [0.25, 0.5]), split.where("pool_gated")
     arms = [sampling.select_random(pool, k, "episode_hash"), sampling.select_random(split.where("split = 'pool'"), k, "episode_hash", "random_nogate")]
-    return sampling.union_all([*arms, sampling.select_concentrated(pool, k, "episode_hash", ["operator", "scene"])])
+    return sampling.union_all([*arms, sampling.select_concentrated(pool, k, "episode_hash", ["operator", "scene"])]).withColumn("rank", F.col("rank").cast("long"))
 
 
 _PICK = "row_number() OVER (PARTITION BY sp.seed, k_frac ORDER BY md5(concat_ws('|', sp.seed, 'pick', episode_hash)), episode_hash)"

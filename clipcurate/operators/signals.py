@@ -122,10 +122,15 @@ def candidate_columns(still: float = 0.05, idle: float = 0.02) -> list[Column]:
     ]
 
 
-def per_episode(frames: DataFrame, columns: list[Column], by: tuple[str, ...] = ("episode_hash", "lab")) -> DataFrame:
-    """One row an episode. The window of ``steps`` has dealt the frames by episode already; the grouping reuses that."""
-    keys = [F.first(c).alias(c) for c in by[1:]]
-    return steps(frame_scalars(frames), by[0]).groupBy(by[0]).agg(*keys, *columns)
+def per_episode(frames: DataFrame, columns: list[Column], by: tuple[str, ...] = ("episode_hash", "lab"), most: int = 24) -> DataFrame:
+    """One row an episode. The window of ``steps`` has dealt the frames by episode already; the grouping reuses that. One
+    projection of very many aggregates takes the code generator minutes, so ``most`` are taken at a time: the groupings
+    share the exchange and are joined where they lie."""
+    stepped = steps(frame_scalars(frames), by[0])
+    out = stepped.groupBy(by[0]).agg(*[F.first(c).alias(c) for c in by[1:]], *columns[:most])
+    for k in range(most, len(columns), most):
+        out = out.join(stepped.groupBy(by[0]).agg(*columns[k : k + most]), by[0])
+    return out
 
 
 def quality_signals(frames: DataFrame) -> DataFrame:
