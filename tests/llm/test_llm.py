@@ -234,7 +234,7 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(WORDS, 30)).replace("w", "abcd") + (" vile" if i % 6 == 0 else "")) for i in range(600)] + [(9000, None), (9001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600) if i % 12 < 6] + [(None, 1), (3, None)], "doc_id long, toxic int")
     out = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity_scores(docs, labels).collect()}
     held = [i for i in range(600) if out[i]["held_out"]]
     assert held == [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
