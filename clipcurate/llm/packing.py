@@ -17,7 +17,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from clipcurate.llm.common import materialize
 
 #: Entries of a table of token ids in a Python worker; a table that has more is replaced.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -139,6 +139,7 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, size: int, tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this Python worker have left
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 b = batch.slice(low, 512)
