@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,34 +17,46 @@ from pyspark.sql import types as T
 from clipcurate.llm.common import connected_components, materialize, pair_blocks, sorted_groups
 
 BITS = 64
+#: Of similar_components: minimal hashes in a sketch, shards of a row and hashes in their keys, radius of the trees.
+HASHES, BANDS, BAND_ROWS, RADIUS = 512, 16, 4, 24
+_factors = np.random.default_rng(42).integers(1, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> int:
-    """SimHash of the word shingles, repeats counted; words are runs of anything but ASCII white space, A-Z lower-cased.
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles in order, in arrays of at most 4096, which bounds the memory of a very long text.
 
-    Fewer words than a shingle: the whole sequence is the only shingle. No words, or null: 0.
+    Words are runs of anything but ASCII white space, A-Z lower-cased. Fewer words than a shingle: the whole sequence is
+    the only shingle. No words, or null: none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - shingle + 1)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    line, width = b" ".join(words), min(shingle, len(words))
-    starts = [0, *ends]
-    one = np.zeros(BITS, dtype=np.int64)
-    for a in range(0, n, 65536):  # a very long text takes no more memory than this many shingles
-        h = np.array([xxhash.xxh64_intdigest(line[starts[i] : ends[i + width - 1] - 1], seed) for i in range(a, min(n, a + 65536))], dtype="<u8")
+    line, width, starts = b" ".join(words), min(shingle, len(words)), [0, *ends]
+    for a in range(0, n, 4096):
+        yield np.array([xxhash.xxh64_intdigest(line[starts[i] : ends[i + width - 1] - 1], seed) for i in range(a, min(n, a + 4096))], dtype="<u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes; of none, 0."""
+    one, n = np.zeros(BITS, dtype=np.int64), 0
+    for h in hashes:
         one += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * one > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> int:
+    """SimHash of the word shingles, repeats counted."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 5, name: str = "fingerprint") -> DataFrame:
     """``docs`` with a long column that holds the fingerprint's 64 bits."""
 
     @F.pandas_udf(T.LongType())
-    def udf(texts):
-        import pandas as pd
-
+    def udf(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn(name, udf(F.col(text)))
@@ -102,7 +115,9 @@ def shard_keys(fp: Column, radius: int, n: int, per_shard: int = 64) -> Column:
     return F.array(*tables)
 
 
-def _tree_edges(radius: int):
+def _tree_edges(radius: int, least: float | None = None):
+    """Links that the trees find; with ``least``, those whose sketches then show at least that similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
         for g in sorted_groups(batches, ["shard", "key", "bi", "bj"]):
@@ -111,6 +126,7 @@ def _tree_edges(radius: int):
             fp, node, block = g.column("fp").to_pylist(), g.column("node").to_numpy(), g.column("block").to_numpy()
             bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
             tree, i, j = BKTree(), [], []
+            sketch = None if least is None else unpacked(g.column("sketch").to_pylist())
             for row, value in enumerate(fp):
                 value &= 0xFFFFFFFFFFFFFFFF
                 if bi == bj:
@@ -121,6 +137,9 @@ def _tree_edges(radius: int):
                     continue
                 else:
                     found = tree.within(value, radius)
+                if found and sketch is not None:
+                    near = np.array(found)
+                    found = near[resemblance((sketch[near] == sketch[row]).mean(axis=1)) >= least].tolist()
                 i += found
                 j += [row] * len(found)
                 if len(i) > 1_000_000:
@@ -172,17 +191,83 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """One row of HASHES small numbers for each sketch."""
+    both = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    return np.concatenate([both & 15, both >> 4], axis=1)
+
+
+def resemblance(same: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the share of equal 4-bit entries, of which 1 in 16 is equal by chance."""
+    return (same - 1 / 16) / (15 / 16)
+
+
+def signature(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
+    """``(fingerprint, sketch, keys)``. Sketch: four bits of each of HASHES minimal hashes of the set of shingles. Keys:
+    a hash of each of BANDS groups of BAND_ROWS whole ones. No words: zeros and no keys."""
+    hashes = list(shingle_hashes(text, shingle, seed))
+    if not hashes:
+        return 0, bytes(HASHES // 2), np.zeros(0, np.int64)
+    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
+    for h in hashes:
+        for k in range(0, len(h), 128):
+            np.minimum(least, (h[k : k + 128, None] * _factors).min(axis=0), out=least)
+    small = ((least >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
+    bands, width = least[: BANDS * BAND_ROWS].astype("<u8").tobytes(), 8 * BAND_ROWS
+    keys = np.array([xxhash.xxh64_intdigest(bands[k * width : (k + 1) * width], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+    return majority(hashes), (small[: HASHES // 2] | small[HASHES // 2 :] << 4).tobytes(), keys
+
+
+def with_signature(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with a struct ``signature`` of fp (the fingerprint's bits as a long), sketch and keys."""
+
+    @F.pandas_udf("fp long, sketch binary, keys array<long>")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        fp, sketch, keys = zip(*(signature(t, shingle) for t in texts), strict=True) if len(texts) else ((), (), ())
+        return pd.DataFrame({"fp": np.array(fp, dtype=np.uint64).view(np.int64), "sketch": list(sketch), "keys": list(keys)})
+
+    return docs.withColumn("signature", udf(F.col(text)))
+
+
+def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_rows: int = 1024) -> DataFrame:
+    """``(doc_id, component)`` for each row: the smallest doc_id reachable over links between texts whose sets of
+    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``.
+
+    Fingerprints alone don't tell 0.8 from 0.6: their distances spread too widely. So BK-trees find candidates within a
+    wide radius (such pairs differ in 9 bits on the median, and hardly ever in more than RADIUS), and sketches of HASHES
+    minimal hashes confirm them: their estimate errs by 0.018 at 0.8, and a pair is taken from one such error below on.
+    Trees are sharded by BANDS groups of minimal hashes; a pair of similarity 0.8 misses all common shards with odds of
+    2 in 10,000. Only rows whose key another row has are laid out, each with 256 bytes, not with its text. A shard of more
+    than ``max_rows`` values is cut into subtrees, each of which meets each block of queries in one task. A task returns a
+    spanning forest of the links that it found.
+
+    Rows of equal signature (copies, null and empty texts) count as one value. Rows with a null doc_id take part through
+    rows of equal signature; if none of these has an id, their component is null. Repeated rows each get a row. Empty
+    tables give empty results; other columns are not read.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = materialize(with_signature(rows, "text", shingle).select("doc_id", "signature.*"), "signed")
+    values = materialize(signed.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "values")
+    known = values.where("node is not null")
+    keyed = known.select("node", F.posexplode("keys").alias("shard", "key")).withColumn("shard", F.col("shard").cast("long"))
+    common = keyed.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard", "key")
+    shared = materialize(keyed.join(common, ["shard", "key"]), "shared")
+    laid = pair_blocks(shared.join(known.select("node", "fp", "sketch"), "node"), ["shard", "key"], F.xxhash64("fp", "sketch"), max_rows, shared)
+    order = ["shard", "key", "bi", "bj"]
+    laid = laid.select(*order, "block", "node", "fp", "sketch").repartition(*order).sortWithinPartitions(*order, "block", "fp")
+    error = math.sqrt((similarity + (1 - similarity) / 16) * (1 - similarity) * 15 / 16 / HASHES) / (15 / 16)
+    edges = laid.mapInArrow(_tree_edges(RADIUS, similarity - error), "a long, b long")
+    comp = connected_components(materialize(edges.distinct(), "edges"), "a", "b")
+    named = materialize(values.join(comp, values.node == comp.node, "left").select("fp", "sketch", F.coalesce("component", values.node).alias("component")), "named")
+    return signed.join(named, ["fp", "sketch"], "left").select("doc_id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of its component; rows with a null id stay."""
-    found = simhash_components(docs, doc_id, text, shingle, radius)
+    found = similar_components(docs, doc_id, text, shingle, similarity)
     gone = found.where("doc_id <> component").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(materialize(gone, "gone"), doc_id, "left_anti")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def similarity_radius(similarity: float) -> int:
-    """Differing bits to expect at an angle whose cosine is ``similarity``."""
-    return int(BITS * math.acos(similarity) / math.pi)

@@ -68,6 +68,34 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("max_rows", [4, 1024])
+def test_near_copies_equal_brute_force(spark, max_rows):
+    rng = np.random.default_rng(5)
+    texts = [None, "", "", "one two", "One Two", "é long " * 9000]
+    for g, size in enumerate([1] * 30 + [2] * 12 + [40]):  # one text, pairs, and a group larger than a block
+        base = rng.choice(WORDS, 300)
+        for k in range(size):
+            own = base.copy()
+            own[rng.choice(300, k and 1 + (k + g) % 4, replace=False)] = "x"  # up to four words change: 20 of 296 shingles
+            texts.append(" ".join(own))
+        far = base.copy()
+        far[::12] = "y"  # shares the words, but few shingles
+        texts.append(" ".join(far))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (None, "of its own"), (7, texts[7])], "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    out = simhash.similar_components(df, max_rows=max_rows).collect()
+    assert sorted((r["doc_id"], r["component"]) for r in out if r["doc_id"] is not None) == sorted([*enumerate(want), (7, want[7])])
+    assert sorted((r["component"] for r in out if r["doc_id"] is None), key=str) == [3, None]
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.count() == len(set(want)) + 2 + (want[7] == 7)
+
+
 def test_bk_tree_and_shards():
     rng = np.random.default_rng(1)
     values = [int(x) for x in rng.integers(0, 2**20, 300)]
