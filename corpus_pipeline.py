@@ -21,7 +21,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts (five-word shingles): that with the smallest id."""
+    """One document of each component of texts with a similarity of 0.8 or more (five-word shingles): that with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
