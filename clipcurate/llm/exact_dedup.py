@@ -112,6 +112,7 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     repeated = materialize(found.where("kept").select("__id", "__sha").intersect(gone), "repeated")  # id and text of a row that stays and of one that goes
     keyed = docs.withColumn("__text", F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")).cast("binary"), 256))
     same = lambda other: keyed[doc_id].eqNullSafe(other["__id"]) & (keyed["__text"] == other["__sha"])
+    gone = gone.hint("merge")  # what goes grows with the input: one plan at every size
     stays = keyed.join(gone, same(gone), "left_anti").drop("__text")
     if repeated.isEmpty():
         return stays

@@ -136,13 +136,14 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of the mix: each row of ``docs``, all columns, as often as mix_sources says.
 
-    Rows that agree in id, source and size share the sum of their copies, one more or less each.
+    Rows that agree in id, source and size share the sum of their copies, one more or less each. ``copies`` has as many
+    rows as the mix has documents, so both sides are exchanged at every size.
     """
     mixed = mix_sources(docs, doc_id, text, source, **how)
     keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
     counts = materialize(mixed.groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")).where("__copies > 0"), "copies")
     sized = docs.withColumn("__words", word_count(F.col(text)))
-    out = sized.join(counts, sized[doc_id].eqNullSafe(F.col("__id")) & sized[source].eqNullSafe(F.col("__source")) & (sized["__words"] == F.col("__size")))
+    out = sized.join(counts.hint("merge"), sized[doc_id].eqNullSafe(F.col("__id")) & sized[source].eqNullSafe(F.col("__source")) & (sized["__words"] == F.col("__size")))
     repeat = lambda df, n: df.withColumn("__turn", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*docs.columns)
     if counts.where("__n > 1").isEmpty():
         return repeat(out, F.col("__copies"))
