@@ -202,7 +202,7 @@ ops AS (SELECT seed, operator, row_number() OVER (PARTITION BY seed ORDER BY md5
 scs AS (SELECT seed, scene, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'scene', scene)), scene) AS k, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT DISTINCT scene FROM cat), seeds),
 sp0 AS (SELECT s.seed, kept.*, coalesce(o.k <= greatest(1, floor(o.n * 0.25)), false) AS op, coalesce(c.k <= greatest(1, floor(c.n * 0.25)), false) AS sc FROM kept CROSS JOIN seeds s LEFT JOIN ops o ON o.seed = s.seed AND o.operator = kept.operator LEFT JOIN scs c ON c.seed = s.seed AND c.scene = kept.scene),
 sp AS (SELECT *, CASE WHEN op THEN 'eval_operator' WHEN sc THEN 'eval_scene' ELSE 'pool' END AS split, NOT op AND NOT sc AND keep AS pool_gated FROM sp0 WHERE NOT (op AND sc)),
-bud AS (SELECT seed, k_frac, greatest(5, floor(k_frac * count_if(pool_gated)))::BIGINT AS k FROM sp, (SELECT unnest([0.25, 0.5]) AS k_frac) GROUP BY seed, k_frac)"""
+bud AS (SELECT seed, k_frac, greatest(5, floor(k_frac * count_if(pool_gated)))::BIGINT AS k FROM sp, (SELECT unnest([0.25, 0.5]::DOUBLE[]) AS k_frac) GROUP BY seed, k_frac)"""
 _LENGTH_RULES = tuple(r for r in gate.RULES if r.signal == "duration_s")
 
 
