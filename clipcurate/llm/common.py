@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,26 @@ from pyspark.sql import functions as F
 #: ASCII upper-case letters, for lower-casing that touches nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_tables: dict[str, object] = {}
+
+
+def worker_tables(owner: str, make: Callable[[], object]) -> object:
+    """What tasks of one operator keep in a Python worker, made when the first of them asks. Workers outlive stages, so the
+    tables of the operator before are dropped then, and free memory goes back to the system."""
+    if owner not in _tables:
+        _tables.clear()
+        release_memory()
+        _tables[owner] = make()
+    return _tables[owner]
+
+
+def release_memory() -> None:
+    """Hand memory that earlier tasks of this process have freed back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,11 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from clipcurate.llm.common import materialize
+from clipcurate.llm.common import materialize, release_memory, worker_tables
 
 #: Entries of a table of token ids in a Python worker; a table that has more is replaced.
-MAX_WORDS = 150_000
-_encoders: dict[str, Encoder] = {}
+MAX_WORDS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -108,9 +107,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_tables(f"packing {path}", lambda: Encoder(path))
 
 
 def pieces(text: str) -> list[str]:
@@ -139,7 +136,7 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, size: int, tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this Python worker have left
+        release_memory()
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 b = batch.slice(low, 512)

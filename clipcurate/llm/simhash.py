@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipcurate.llm.common import connected_components, materialize, pair_blocks, sorted_groups
+from clipcurate.llm.common import connected_components, materialize, pair_blocks, sorted_groups, worker_tables
 
 BITS = 64
 #: Of similar_components: minimal hashes in a sketch, shards of a row and hashes in their keys, radius of the trees.
@@ -223,6 +223,7 @@ def with_signature(docs: DataFrame, text: str = "text", shingle: int = 5) -> Dat
 
     @F.pandas_udf("fp long, sketch binary, keys array<long>")
     def udf(texts: pd.Series) -> pd.DataFrame:
+        worker_tables("simhash", dict)  # none of its own; those of other operators go
         fp, sketch, keys = zip(*(signature(t, shingle) for t in texts), strict=True) if len(texts) else ((), (), ())
         return pd.DataFrame({"fp": np.array(fp, dtype=np.uint64).view(np.int64), "sketch": list(sketch), "keys": list(keys)})
 

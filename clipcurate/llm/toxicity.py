@@ -11,29 +11,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import materialize
+from clipcurate.llm.common import materialize, worker_tables
 
 #: Hashed features; a word gives itself and its beginnings of these lengths.
 DIMS, PREFIXES = 1 << 19, (4, 5)
 _word = re.compile(r"[^\W\d_]+")
-_features: dict[str, tuple[int, ...]] = {}
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    got = _features.get(word)
+def known_words() -> dict[str, tuple[int, ...]]:
+    return worker_tables("toxicity", dict)
+
+
+def word_features(word: str, known: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+    got = known.get(word)
     if got is None:
         keys = {f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)}
         got = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) % DIMS for k in keys)
-        if len(_features) > 100_000:  # words of one Python worker; what is forgotten is only hashed again
-            _features.clear()
-        _features[word] = got
+        if len(known) > 100_000:  # words of one Python worker; what is forgotten is only hashed again
+            known.clear()
+        known[word] = got
     return got
 
 
 def features(text: str | None) -> np.ndarray:
     """Ids of the features that a text has, each once. Null and empty texts have none."""
-    words = set(_word.findall((text or "").lower()))
-    return np.fromiter({f for w in words for f in word_features(w)}, dtype=np.int32)
+    words, known = set(_word.findall((text or "").lower())), known_words()
+    return np.fromiter({f for w in words for f in word_features(w, known)}, dtype=np.int32)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str, text: str, label: str, bound: int) -> tuple[DataFrame, float]:
@@ -140,13 +143,14 @@ def scorer(models: Iterable[tuple[np.ndarray, np.ndarray, float]]):
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         weighted: dict[str, tuple[int, ...]] = {}  # word -> its features that carry weight; of one batch
+        known = known_words()
 
         def of(text: str | None) -> float:
             hit: set[int] = set()
             for w in set(_word.findall((text or "").lower())):
                 got = weighted.get(w)
                 if got is None:
-                    got = weighted[w] = tuple(f for f in word_features(w) if f in table)
+                    got = weighted[w] = tuple(f for f in word_features(w, known) if f in table)
                 if got:
                     hit.update(got)
             s = bias + sum((table[f] for f in sorted(hit)), np.zeros(len(bias)))
