@@ -359,6 +359,42 @@ def out_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_camera(spark, sf_dir))
 
 
+@query(f"WITH {_CATALOG} SELECT seed, episode_hash, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'eval', episode_hash)), episode_hash) <= floor(count(*) OVER (PARTITION BY seed) * 0.25) AS is_eval FROM cat, (SELECT unnest([0, 1, 2]) AS seed)")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.random_split(bind.catalog(spark, sf_dir), [0, 1, 2], "episode_hash").select("seed", "episode_hash", "is_eval")
+
+
+@query(f"WITH {_MEMBERS} SELECT seed, k_frac, condition, lab, count(*) AS picks FROM m JOIN cat USING (episode_hash) GROUP BY ALL")
+def picks_per_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.picks_per_cluster(_members(spark, sf_dir), bind.catalog(spark, sf_dir), "episode_hash", "lab", ["seed", "k_frac", "condition"])
+
+
+@query(
+    f"WITH {_CATALOG} SELECT count_if(num_frames < 0) AS unset, count_if(num_frames > 3000) AS too_long, count_if(num_frames BETWEEN 0 AND 29) AS too_short, "
+    "coalesce((SELECT string_agg(v::VARCHAR, ',' ORDER BY v) FROM (SELECT DISTINCT num_frames::BIGINT AS v FROM cat WHERE num_frames < 30 OR num_frames > 3000 ORDER BY v LIMIT 10)), '') AS odd FROM cat"
+)
+def length_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.length_sanity(bind.catalog(spark, sf_dir)).withColumn("odd", F.concat_ws(",", F.transform("odd", lambda x: x.cast("long").cast("string"))))
+
+
+@query(f"WITH {_CATALOG}, ends AS (SELECT episode_hash, floor(num_frames * 0.08::DOUBLE) AS a, floor(num_frames * 0.92::DOUBLE) AS b FROM cat) SELECT episode_hash, i::INT AS pick, floor(a + (b - a) * i / 7)::INT AS frame_idx FROM ends, range(8) AS t(i)")
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.catalog(spark, sf_dir).select("episode_hash", F.posexplode(ingest.evenly_spaced(F.col("num_frames"), 8)).alias("pick", "frame_idx"))
+
+
+_FLAGS = {"fast_hand": "max_hand_speed > 2500", "fast_head": "max_head_speed > 200", "idle": "idle_frac > 0", "slow_start": "lead_in_s > 0"}
+
+
+@query(f"WITH {_FRAMES}, {_MOVES} " + " UNION ALL ".join(f"SELECT '{k}' AS flag, count_if({p}) AS n_flagged, round(100.0 * count_if({p}) / count(*), 6) AS pct FROM cand" for k, p in _FLAGS.items()))
+def flag_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gate.flag_prevalence(signals.candidate_signals(bind.frames(spark, sf_dir)), {k: F.expr(p) for k, p in _FLAGS.items()}))
+
+
+@query(f"WITH {_RUNS} SELECT seed, " + ", ".join(f"round(max(CASE WHEN condition = '{c}' THEN mse END), 6) AS \"{c}\"" for c in ("view", "click", "purchase")) + " FROM res GROUP BY seed")
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.pivot_runs(bind.results(spark, sf_dir), "seed", ["view", "click", "purchase"], "mse"))
+
+
 # not registered: it did not end within 75 s at the smallest scale
 def select_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two random halves of the suppliers, fitted and scored on the suppliers of one lab."""

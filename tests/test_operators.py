@@ -1,11 +1,13 @@
 """Operators on small inputs with known answers, and every query against its SQL at the smallest scale."""
 
+import hashlib
 import math
 import os
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clipcurate.jobs import queries as jobs
 from clipcurate.operators import compare, embed, gate, sampling, signals
@@ -74,6 +76,16 @@ def test_splits_are_disjoint(spark):
     assert sorted(map(tuple, out.select("seed", "k", "split").collect())) == sorted(map(tuple, again.select("seed", "k", "split").collect()))
 
 
+def test_running_sums_equal_those_of_one_window(spark):
+    rows = [(None if i % 3 == 0 else i % 3, i, 1 + i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, k int, w long")
+    got = sampling.running(df, ["g"], sampling.hash_order(F.lit(1), "t", "k"), "k", "w").collect()
+    want, sums = {}, {}
+    for g, k, w in sorted(rows, key=lambda r: hashlib.md5(f"1|t|{r[1]}".encode()).hexdigest()):
+        want[k] = sums[g] = sums.get(g, 0) + w
+    assert len(got) == len(rows) and {r["k"]: r["__upto"] for r in got} == want and all(r["__total"] == sums[r["g"]] for r in got)
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -87,7 +99,7 @@ def _plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center"])
+@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center", "random_split", "picks_per_lab", "length_sanity", "sampled_frames", "flag_prevalence", "run_table"])
 def test_query_equals_sql(spark, duck, name):
     got = jobs.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
