@@ -48,7 +48,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id:
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
     own = own.where(~held_out)
     n, positives = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = min(0.9, max(0.001, positives / n)) if n else 0.001
+    prior = min(0.999, max(0.001, positives / n)) if n else 0.001
     train = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out)
     total = train.select("doc_id").count()
     draw = lambda tag, share: F.pmod(F.xxhash64(F.lit(tag), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
@@ -62,14 +62,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id:
     return materialize(p.unionByName(u).select("doc_id", "positive", encode("text").alias("ids")), "training"), prior
 
 
-def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], z_least: float = 5.5, lift: float = 3.0) -> np.ndarray:
+def telling_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, z_least: float = 5.5, lift: float = 3.0) -> np.ndarray:
     """Ids of the features that positives hold more often than unlabelled texts do, beyond chance (a z-score that half a
-    million features hardly reach by luck) and by ``lift``: a word of toxic texts alone has a lift of one over the prior."""
+    million features hardly reach by luck), and by ``lift`` more often than clean texts do. The unlabelled hold positives
+    too, by the prior: their rate less that share is the clean rate, so that a word of toxic texts alone passes at any prior."""
     n_p, n_u = len(positive), len(unlabelled)
     c_p, c_u = (np.bincount(np.concatenate(rows), minlength=DIMS) for rows in (positive, unlabelled))
     f_p, f_u, pooled = c_p / n_p, c_u / n_u, (c_p + c_u + 1) / (n_p + n_u + 2)
     z = (f_p - f_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    return np.flatnonzero((z > z_least) & (f_p > lift * f_u) & (c_p >= 3)).astype(np.int32)
+    f_clean = np.maximum(f_u - prior * f_p, 0) / (1 - prior)
+    return np.flatnonzero((z > z_least) & (f_p > lift * f_clean) & (c_p >= 3)).astype(np.int32)
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
@@ -81,7 +83,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     none = np.zeros(0, np.int32), np.zeros(0), float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return none
-    ids = telling_features(positive, unlabelled)
+    ids = telling_features(positive, unlabelled, prior)
     if not len(ids):
         return none
     place = np.full(DIMS, -1, np.int32)

@@ -269,3 +269,17 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert all(out[i]["predicted"] == (i % 6 == 0) for i in held) and all(0 <= t["score"] <= 1 for t in out.values())
     none = toxicity.toxicity_scores(docs.limit(0), labels.limit(0))
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("toxic_of_20, copied", [(7, False), (12, False), (9, True)])
+def test_toxicity_where_toxic_texts_are_common(spark, toxic_of_20, copied):
+    """Priors of 0.35, 0.6 and 0.45; in the last, one toxic text is copied into a third of the rows."""
+    rng = np.random.default_rng(1)
+    toxic = [i % 20 < toxic_of_20 for i in range(1200)]
+    texts = [" ".join(rng.choice(WORDS, 30)).replace("w", "abcd") + (" vile" if t else "") for t in toxic]
+    texts = [texts[0] if copied and t and i % 20 < 7 else x for i, (x, t) in enumerate(zip(texts, toxic, strict=True))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic) if i % 40 < 20], "doc_id long, toxic int")
+    out = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    held = [i for i in out if out[i]["held_out"]]
+    assert sum(out[i]["predicted"] == toxic[i] for i in held) >= 0.99 * len(held)
