@@ -52,6 +52,12 @@ def fingerprint(text: str | None, shingle: int = 5, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
+def distinct_shingles(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The set of shingle_hashes, sorted."""
+    parts = list(shingle_hashes(text, shingle, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 5, name: str = "fingerprint") -> DataFrame:
     """``docs`` with a long column that holds the fingerprint's 64 bits."""
 
@@ -203,19 +209,19 @@ def resemblance(same: np.ndarray) -> np.ndarray:
 
 
 def signature(text: str | None, shingle: int = 5, seed: int = 42) -> tuple[int, bytes, np.ndarray]:
-    """``(fingerprint, sketch, keys)``. Sketch: four bits of each of HASHES minimal hashes of the set of shingles. Keys:
-    a hash of each of BANDS groups of BAND_ROWS whole ones. No words: zeros and no keys."""
-    hashes = list(shingle_hashes(text, shingle, seed))
-    if not hashes:
+    """``(fingerprint, sketch, keys)`` of the set of shingles: repeats, which a Jaccard similarity ignores, don't count.
+    Sketch: four bits of each of HASHES minimal hashes. Keys: a hash of each of BANDS groups of BAND_ROWS whole ones. No
+    words: zeros and no keys."""
+    hashes = distinct_shingles(text, shingle, seed)
+    if not len(hashes):
         return 0, bytes(HASHES // 2), np.zeros(0, np.int64)
     least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
-    for h in hashes:
-        for k in range(0, len(h), 128):
-            np.minimum(least, (h[k : k + 128, None] * _factors).min(axis=0), out=least)
+    for k in range(0, len(hashes), 128):
+        np.minimum(least, (hashes[k : k + 128, None] * _factors).min(axis=0), out=least)
     small = ((least >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
     bands, width = least[: BANDS * BAND_ROWS].astype("<u8").tobytes(), 8 * BAND_ROWS
     keys = np.array([xxhash.xxh64_intdigest(bands[k * width : (k + 1) * width], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
-    return majority(hashes), (small[: HASHES // 2] | small[HASHES // 2 :] << 4).tobytes(), keys
+    return majority(hashes[k : k + 4096] for k in range(0, len(hashes), 4096)), (small[: HASHES // 2] | small[HASHES // 2 :] << 4).tobytes(), keys
 
 
 def with_signature(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:

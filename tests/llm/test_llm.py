@@ -96,6 +96,30 @@ def test_near_copies_equal_brute_force(spark, max_rows):
     assert kept.columns == df.columns and kept.count() == len(set(want)) + 2 + (want[7] == 7)
 
 
+def _jaccard_components(texts, least=0.8):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_near_copies_with_repeated_lines(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for _ in range(12):
+        base = word(250)
+        texts += [" ".join(base + 20 * word(12)), " ".join(base + 20 * word(12))]
+    want = _jaccard_components(texts)
+    assert want == [i - i % 2 for i in range(24)]
+    out = simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["component"] for r in out.orderBy("doc_id").collect()] == want
+
+
 def test_bk_tree_and_shards():
     rng = np.random.default_rng(1)
     values = [int(x) for x in rng.integers(0, 2**20, 300)]
