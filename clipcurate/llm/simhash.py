@@ -121,8 +121,13 @@ def shard_keys(fp: Column, radius: int, n: int, per_shard: int = 64) -> Column:
     return F.array(*tables)
 
 
-def _tree_edges(radius: int, least: float | None = None):
-    """Links that the trees find; with ``least``, those whose sketches then show at least that similarity."""
+#: What _tree_edges returns with a band: links, of which only a and b are set, and members of groups, of which b is null.
+FOUND = "shard long, key long, bi int, bj int, a long, b long"
+
+
+def _tree_edges(radius: int, band: tuple[float, float] | None = None):
+    """Links that the trees find. With ``band``, links are pairs whose sketches show at least its upper end; if a group has
+    pairs between its two ends that these links leave apart, the rows of such pairs are returned too, with their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
@@ -132,7 +137,7 @@ def _tree_edges(radius: int, least: float | None = None):
             fp, node, block = g.column("fp").to_pylist(), g.column("node").to_numpy(), g.column("block").to_numpy()
             bi, bj = g.column("bi")[0].as_py(), g.column("bj")[0].as_py()
             tree, i, j = BKTree(), [], []
-            sketch = None if least is None else unpacked(g.column("sketch").to_pylist())
+            sketch, open_a, open_b = None if band is None else unpacked(g.column("sketch").to_pylist()), [], []
             for row, value in enumerate(fp):
                 value &= 0xFFFFFFFFFFFFFFFF
                 if bi == bj:
@@ -145,21 +150,43 @@ def _tree_edges(radius: int, least: float | None = None):
                     found = tree.within(value, radius)
                 if found and sketch is not None:
                     near = np.array(found)
-                    found = near[resemblance((sketch[near] == sketch[row]).mean(axis=1)) >= least].tolist()
+                    about = resemblance((sketch[near] == sketch[row]).mean(axis=1))
+                    found, doubtful = near[about >= band[1]].tolist(), near[(about >= band[0]) & (about < band[1])]
+                    if len(doubtful):
+                        open_a.append(doubtful)
+                        open_b.append(np.full(len(doubtful), row))
                 i += found
                 j += [row] * len(found)
                 if len(i) > 1_000_000:
                     a, b = spanning(len(fp), i, j)
                     i, j = a.tolist(), b.tolist()
+            label = np.arange(len(fp))
             if i:
                 a, b = spanning(len(fp), i, j)
                 out_a.append(node[a])
                 out_b.append(node[b])
+                label[b] = a
+            if band is not None and open_a:
+                a, b = np.concatenate(open_a), np.concatenate(open_b)
+                apart = label[a] != label[b]
+                members = np.unique(np.concatenate([a[apart], b[apart]]))
+                if len(members):
+                    group = [pa.array([g.column(c)[0].as_py()] * len(members), schema.field(c).type) for c in names[:4]]
+                    yield pa.record_batch([*group, pa.array(node[members]), pa.nulls(len(members), pa.int64())], names=names)
             if len(out_a) > 500:
-                yield pa.record_batch({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                yield links(out_a, out_b)
                 out_a, out_b = [], []
         if out_a:
-            yield pa.record_batch({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+            yield links(out_a, out_b)
+
+    names = ["shard", "key", "bi", "bj", "a", "b"]
+    schema = pa.schema([(c, pa.int32() if c in ("bi", "bj") else pa.int64()) for c in names])
+
+    def links(a, b):
+        a, b = np.concatenate(a), np.concatenate(b)
+        if band is None:
+            return pa.record_batch({"a": a, "b": b})
+        return pa.record_batch([*(pa.nulls(len(a), schema.field(c).type) for c in names[:4]), pa.array(a), pa.array(b)], names=names)
 
     def spanning(n, i, j):
         from clipcurate.llm.common import spanning_edges
@@ -236,17 +263,73 @@ def with_signature(docs: DataFrame, text: str = "text", shingle: int = 5) -> Dat
     return docs.withColumn("signature", udf(F.col(text)))
 
 
+def _exact_edges(similarity: float):
+    """Links between the components of the rows of a group whose sets have at least ``similarity``, as few as connect them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, ["group"]):
+            comp = g.column("comp").to_numpy()
+            sets = [np.frombuffer(h, "<u8") for h in g.column("hashes").to_pylist()]
+            sizes = np.array([len(h) for h in sets])
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            mark, label, out_a, out_b = np.zeros(len(values), dtype=np.int32), comp.copy(), [], []
+            for row in range(1, len(sets)):
+                own = ids[starts[row] : starts[row + 1]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[ids[: starts[row]]], starts[:row])
+                mark[own] = 0
+                near = np.flatnonzero((both >= similarity * (sizes[:row] + sizes[row] - both)) & (label[:row] != label[row]))
+                if len(near):
+                    joined, first = np.unique(label[near], return_index=True)
+                    out_a += comp[near[first]].tolist()
+                    out_b += [comp[row]] * len(first)
+                    label[np.isin(label, joined)] = label[row]
+                    if (label == label[0]).all():
+                        break
+            if out_a:
+                yield pa.record_batch({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+
+    return run
+
+
+def exact_links(rows: DataFrame, found: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links of components of ``comp`` by exact similarity, for the members of groups in ``found``.
+
+    Groups whose members are all of one component need no answer, and groups of equal members are asked once. Only the
+    texts of the members left are hashed again; a group has as many as a group of pair_blocks at most.
+    """
+    own = ["shard", "key", "bi", "bj"]
+    asked = found.where("b is null").select(*own, F.col("a").alias("id"))
+    asked = asked.join(comp, asked.id == comp.node, "left").select(*own, "id", F.coalesce("component", "id").alias("comp"))
+    groups = asked.groupBy(*own).agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    groups = materialize(groups.where("low < high").select("members").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+    members = groups.select("group", F.explode("members").alias("m")).select("group", "m.*")
+    needed = members.select("id").distinct().hint("merge")  # grows with the input: one plan at every size
+
+    @F.pandas_udf("binary")
+    def udf(texts: pd.Series) -> pd.Series:
+        worker_tables("simhash", dict)
+        return texts.map(lambda t: distinct_shingles(t, shingle).tobytes())
+
+    sets = rows.join(needed, rows.doc_id == needed.id).select("id", udf("text").alias("hashes")).where(F.length("hashes") > 0)
+    sets = materialize(sets.distinct(), "sets")
+    laid = members.join(sets.hint("merge"), "id").select("group", "id", "comp", "hashes").repartition("group").sortWithinPartitions("group", "id")
+    return materialize(laid.mapInArrow(_exact_edges(similarity), "a long, b long").distinct(), "exact")
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_rows: int = 1024) -> DataFrame:
     """``(doc_id, component)`` for each row: the smallest doc_id reachable over links between texts whose sets of
     ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``.
 
     Fingerprints alone don't tell 0.8 from 0.6: their distances spread too widely. So BK-trees find candidates within a
     wide radius (such pairs differ in 9 bits on the median, and hardly ever in more than RADIUS), and sketches of HASHES
-    minimal hashes confirm them: their estimate errs by 0.018 at 0.8, and a pair is taken from one such error below on.
+    minimal hashes sort them: their estimate errs by 0.018 at 0.8. Pairs from four such errors above ``similarity`` on are
+    links, pairs from four below are none, and those between that no link connects are decided by their sets of shingles.
     Trees are sharded by BANDS groups of minimal hashes; a pair of similarity 0.8 misses all common shards with odds of
     2 in 10,000. Only rows whose key another row has are laid out, each with 256 bytes, not with its text. A shard of more
     than ``max_rows`` values is cut into subtrees, each of which meets each block of queries in one task. A task returns a
-    spanning forest of the links that it found.
+    spanning forest of the links that it found, and the rows of open pairs, never the pairs.
 
     Rows of equal signature (copies, null and empty texts) count as one value. Rows with a null doc_id take part through
     rows of equal signature; if none of these has an id, their component is null. Repeated rows each get a row. Empty
@@ -263,9 +346,11 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = ["shard", "key", "bi", "bj"]
     laid = laid.select(*order, "block", "node", "fp", "sketch").repartition(*order).sortWithinPartitions(*order, "block", "fp")
     error = math.sqrt((similarity + (1 - similarity) / 16) * (1 - similarity) * 15 / 16 / HASHES) / (15 / 16)
-    edges = laid.mapInArrow(_tree_edges(RADIUS, similarity - error), "a long, b long")
-    comp = connected_components(materialize(edges.distinct(), "edges"), "a", "b")
-    named = materialize(values.join(comp, values.node == comp.node, "left").select("fp", "sketch", F.coalesce("component", values.node).alias("component")), "named")
+    found = materialize(laid.mapInArrow(_tree_edges(RADIUS, (similarity - 4 * error, similarity + 4 * error)), FOUND), "found")
+    sure = connected_components(materialize(found.where("b is not null").select("a", "b").distinct(), "edges"), "a", "b")
+    more = connected_components(exact_links(rows, found, sure, shingle, similarity), "a", "b").select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    at_first = values.join(sure, values.node == sure.node, "left").select("fp", "sketch", F.coalesce("component", values.node).alias("first"))
+    named = materialize(at_first.join(more, at_first["first"] == more.part, "left").select("fp", "sketch", F.coalesce("whole", "first").alias("component")), "named")
     return signed.join(named, ["fp", "sketch"], "left").select("doc_id", "component")
 
 

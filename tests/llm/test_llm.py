@@ -120,6 +120,23 @@ def test_near_copies_with_repeated_lines(spark):
     assert [r["component"] for r in out.orderBy("doc_id").collect()] == want
 
 
+@pytest.mark.parametrize("max_rows", [4, 1024])
+def test_near_copies_about_the_threshold(spark, max_rows):
+    """Sets of 200 shingles and parts of them: similarities of exactly 0.78 to 0.82, and a chain over 0.79 and 0.81."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for left in [156, 158, 160, 162, 164] * 8:
+        base = word(204)
+        texts += [" ".join(base), " ".join(base[: left + 4])]
+    base = word(204)
+    texts += [" ".join(base), " ".join(base[:162]), " ".join(base[:166]), " ".join(base[:138])]
+    want = _jaccard_components(texts)
+    assert len(set(want)) == 40 + 16 + 1
+    out = simhash.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), max_rows=max_rows)
+    assert [r["component"] for r in out.orderBy("doc_id").collect()] == want
+
+
 def test_bk_tree_and_shards():
     rng = np.random.default_rng(1)
     values = [int(x) for x in rng.integers(0, 2**20, 300)]
