@@ -105,3 +105,13 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({jobs.SQL[name]})").fetchall()
     assert _plain(got.select(*cols).collect()) == _plain(want)
+
+
+def test_k_center_of_large_pools_is_exact(spark):
+    rng = np.random.default_rng(4)
+    z = {pool: rng.normal(size=(n, 3)) for pool, n in [("a", 90), ("b", 30), ("c", 3)]}
+    rows = [(pool, f"{i:03}", x.tolist()) for pool, xs in z.items() for i, x in enumerate(xs)]
+    out = embed.select_varied(spark.createDataFrame(rows, "pool string, id string, z array<double>"), 5, "kcenter", "id", "z", ["pool"], max_exact=20).collect()
+    got = sorted((r["pool"], r["rank"], r["id"]) for r in out)
+    assert got == sorted((pool, k + 1, f"{i:03}") for pool, xs in z.items() for k, i in enumerate(embed.k_center(xs, 5)))
+    assert {r["mode"] for r in out} == {"exact"}
