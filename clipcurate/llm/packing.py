@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from clipcurate.llm.common import materialize, release_memory, worker_tables
 
-#: Entries of a table of token ids in a Python worker; a table that has more is replaced.
-MAX_WORDS = 100_000
+#: Characters of text that are tokenized at a time: what a Python worker holds of words and ids grows with this only.
+PART_CHARS = 4 << 20
+#: Entries of the tables of units and of words that recur.
+MAX_UNITS, MAX_COMMON = 50_000, 250_000
 
 
 def default_tokenizer() -> str:
@@ -30,9 +33,10 @@ class Encoder:
     """Token ids of texts under a byte-level tokenizer, as little-endian unsigned 32-bit integers.
 
     Such a tokenizer splits a text before it merges: before a space between words, around a line break between words,
-    and between letters and the punctuation after them. So texts are cut at single spaces into words, words that are new
-    are cut further, and only letters or marks that are new are tokenized. A space beside other white space, where the
-    split depends on both, stays inside its word, and such words are tokenized whole.
+    and between letters and the punctuation after them. So texts are cut at single spaces into words; the distinct words
+    of about PART_CHARS of text are tokenized once, unless they are known from the part before or among the words that
+    recurred from part to part, and the ids of a text are gathered by its words' numbers. A space beside other white space, where the split depends on both, stays
+    inside its word, and texts with such words are tokenized piece by piece.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,7 +50,8 @@ class Encoder:
         rest = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.words: dict[str, bytes] = {}  # by word, with the space before it understood
-        self.older: dict[str, bytes] = {}  # the table before it, in which words are still looked up
+        self.older: dict[str, bytes] = {}  # those of the part before
+        self.common: dict[str, bytes] = {}  # those that two parts in a row have held
         self.units: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -66,25 +71,32 @@ class Encoder:
         got = self.units.get(unit)
         if got is None:
             got = self.merged(unit) if unit.isalpha() else self.whole(unit)
-            if len(self.units) > MAX_WORDS:
+            if len(self.units) > MAX_UNITS:
                 self.units.clear()
             self.units[unit] = got
         return got
 
     def word(self, word: str) -> bytes:
         """Ids of a word after a space."""
+        got = self.common.get(word) or self.words.get(word)
+        if got is None:
+            got = self.older.get(word)
+            if got is None:
+                self.words[word] = got = self.new_word(word)
+            else:
+                self.common[word] = got
+        return got
+
+    def new_word(self, word: str) -> bytes:
         if word.isalpha():
-            got = self.words[word] = self.merged(" " + word)
-            return got
+            return self.merged(" " + word)
         base = word.rstrip(".,!?;:")
         if base != word and base.isalpha():
-            got = self.words.get(base)
-            return (self.word(base) if got is None else got) + self.unit(word[len(base) :])
+            return self.word(base) + self.unit(word[len(base) :])
         first, *lines = word.split("\n")
-        if not lines or first.split() != [first] or not first[-1].isalnum() and first[-1] not in ".,!?;:":
+        if not lines or first.split() != [first] or not first[-1].isalnum() and first[-1] not in ".,!?;:" or any(x.split() != [x] for x in lines):
             return self.whole(" " + word)
-        got = self.words.get(first)
-        return b"".join([self.word(first) if got is None else got, *(self.unit("\n") + self.line(x) for x in lines)]) if all(x.split() == [x] for x in lines) else self.whole(" " + word)
+        return b"".join([self.word(first), *(self.unit("\n") + self.line(x) for x in lines)])
 
     def line(self, start: str) -> bytes:
         """Ids of a word that begins a line or a text."""
@@ -93,17 +105,72 @@ class Encoder:
             return self.unit(base) + self.unit(start[len(base) :])
         return self.unit(start) if start else b""
 
+    def parts(self, texts: list[str], begins: list[bool]) -> list[np.ndarray]:
+        """Ids of each text; one that doesn't begin its document stands after a space."""
+        self.older, self.words = self.words, {}
+        if len(self.common) > MAX_COMMON:
+            self.common = {}
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        slow = np.logical_or.reduceat(odd[code], ends[:-1]) if len(texts) else odd
+        starts = [w.split(" ", 1)[0] for w in texts]
+        slow |= np.array([begin and bool(s) and s[-1].isspace() for s, begin in zip(starts, begins, strict=True)])
+        slow &= np.array([not (begin and not t) for t, begin in zip(texts, begins, strict=True)])  # an empty text is one empty word
+        clean = np.zeros(len(words), bool)
+        clean[code[np.repeat(~slow, np.diff(ends))]] = True
+        ids = [self.word(w) if ok and w else b"" for w, ok in zip(words, clean.tolist(), strict=True)]
+        at_begin = np.flatnonzero(np.array(begins) & ~slow)
+        code[ends[:-1][at_begin]] = len(ids) + np.arange(len(at_begin))
+        ids += [self.line(starts[k]) for k in at_begin.tolist()]
+        flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        out = []
+        for k, text in enumerate(texts):
+            if slow[k]:
+                pieces_ = pieces(text if begins[k] else " " + text)
+                out.append(np.frombuffer(b"".join(map(self.whole, pieces_)), "<u4"))
+                continue
+            c = code[ends[k] : ends[k + 1]]
+            n = size[c]
+            out.append(flat[np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        return out
+
+    def documents(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order; null counts as empty. A very long text goes through in several parts."""
+        part, begins, of, size = [], [], [], 0
+
+        def flush() -> list[tuple[bool, np.ndarray]]:
+            done = list(zip(of, self.parts(part, begins), strict=True)) if part else []
+            for x in (part, begins, of):
+                x.clear()
+            return done
+
+        held: list[np.ndarray] = []  # of the text whose parts go on
+        for text in texts:
+            pieces_ = long_pieces(text or "", PART_CHARS)
+            for k, piece in enumerate(pieces_):
+                if size + len(piece) > PART_CHARS:
+                    for last, ids in flush():
+                        held.append(ids)
+                        if last:
+                            yield np.concatenate(held) if len(held) > 1 else ids
+                            held = []
+                    size = 0
+                part.append(piece)
+                begins.append(k == 0)
+                of.append(k == len(pieces_) - 1)
+                size += len(piece)
+        for last, ids in flush():
+            held.append(ids)
+            if last:
+                yield np.concatenate(held) if len(held) > 1 else ids
+                held = []
+
     def text(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        new = set(words).difference(self.words)
-        if not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-            return b"".join(map(self.whole, pieces(text)))
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.older, self.words, new = self.words, {}, set(words)
-        for w in new:
-            got = self.older.get(w)
-            self.words[w] = self.word(w) if got is None else got
-        return b"".join([self.line(first), *map(self.words.__getitem__, words)])
+        return next(self.documents(iter([text]))).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -122,6 +189,21 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def long_pieces(text: str, most: int) -> list[str]:
+    """The text in parts of about ``most`` characters, cut at single spaces (which are left out) between two characters that
+    are no white space."""
+    out, low = [], 0
+    while len(text) - low > most:
+        at = text.find(" ", low + most)
+        while at > 0 and (at + 1 == len(text) or text[at - 1].isspace() or text[at + 1].isspace()):
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        out.append(text[low:at])
+        low = at + 1
+    return [*out, text[low:]]
+
+
 def cut(total: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a sequence's pieces: whole ones of ``size``, a shorter one first."""
     first = total % size or min(total, size)
@@ -130,27 +212,51 @@ def cut(total: int, size: int) -> list[tuple[int, int]]:
 
 def tokenize(docs: DataFrame, doc_id: str, text: str, size: int, tokenizer: str | None = None, end: int = 2, keep_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of each document's tokens and the ``end`` id."""
-    path, kind = tokenizer or default_tokenizer(), docs.schema[doc_id].dataType.simpleString()
+    kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids
-    final = np.array([end], dtype="<u4").tobytes()
+    final = np.array([end], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(tokenizer or default_tokenizer())  # a path is looked up where the worker is
         release_memory()
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                b = batch.slice(low, 512)
-                rows = []
-                for i, t in enumerate(b.column("text").to_pylist()):
-                    ids = enc.text(t or "") + final
-                    rows += [(i, k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
-                at, k, s, n, own = zip(*rows, strict=True)
-                out = {"doc_id": b.column("doc_id").take(pa.array(at)), "piece": pa.array(k, pa.int32()), "start": pa.array(s, pa.int64()), "length": pa.array(n, pa.int32()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64())}
-                yield pa.record_batch(out | ({"ids": pa.array(own, pa.binary())} if keep_ids else {}))
+            rows = []
+            for i, ids in enumerate(enc.documents(t.as_py() for t in batch.column("text"))):
+                raw = np.concatenate([ids, final]).tobytes()
+                rows += [(i, k, s, n, raw[4 * s : 4 * (s + n)] if keep_ids else b"", zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(raw) // 4, size))]
+                if len(rows) > 20_000:
+                    yield table(batch, rows)
+                    rows = []
+            if rows:
+                yield table(batch, rows)
+
+    def table(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, k, s, n, own, crc = zip(*rows, strict=True)
+        out = {"doc_id": batch.column("doc_id").take(pa.array(at)), "piece": pa.array(k, pa.int32()), "start": pa.array(s, pa.int64()), "length": pa.array(n, pa.int32()), "ids_crc32": pa.array(crc, pa.int64())}
+        return pa.record_batch(out | ({"ids": pa.array(own, pa.binary())} if keep_ids else {}))
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def sums_index(lengths: list[int], size: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For each sum below ``size``: the larger lengths a of the pairs (a, sum - a), and the largest lengths a of the triples
+    (a, and a pair of sum - a), ascending. At most size^2 / 4 entries each, whatever the number of pieces."""
+    own = [False] * (size + 1)
+    for x in lengths:
+        own[x] = True
+    pairs: list[list[int]] = [[] for _ in range(size + 1)]
+    triples: list[list[int]] = [[] for _ in range(size + 1)]
+    for a in lengths:
+        for b in range(1, min(a, size - a) + 1):
+            if own[b]:
+                pairs[a + b].append(a)
+    for a in lengths:
+        for rest in range(2, min(2 * a, size - a) + 1):
+            if pairs[rest]:
+                triples[a + rest].append(a)
+    return pairs, triples
+
+
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
     """How many sequences of which lengths, ``[(lengths, number)]``, for ``counts`` pieces of each length up to ``size``.
 
@@ -158,40 +264,42 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     every combination that fills it exactly is used as often as all its lengths last. What no combination fits is packed
     best-fit: longest first, into the fullest sequence that has room. Works on counts, so its time depends on ``size`` only.
     """
-    left = np.zeros(size + 1, dtype=np.int64)
+    left = [0] * (size + 1)
     for length, n in counts.items():
         left[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
-
-    def pair(gap: int, least: int = 1) -> tuple[int, int] | None:
-        """Two available lengths that add up to gap, the larger as large as it can be."""
-        have = np.flatnonzero(left[least : gap - least + 1]) + least
-        for a in have[::-1]:
-            b = gap - int(a)
-            if b > a:
-                return None
-            if left[b] and (b != a or left[a] > 1):
-                return int(a), b
+    pairs, triples = sums_index(sorted(counts), size)
+
+    def lasts(lengths: tuple[int, ...]) -> bool:
+        return all(left[x] >= lengths.count(x) for x in lengths)
+
+    def found(index: list[int], gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """The pair of the index with the largest first length that lasts beside those held. Pairs that no longer last at
+        all are taken out for good: lengths only become fewer."""
+        for at in range(len(index) - 1, -1, -1):
+            pair = index[at], gap - index[at]
+            if lasts((*held, *pair)):
+                return pair
+            if at == len(index) - 1 and not lasts(pair):
+                index.pop()
         return None
 
-    def complement(gap: int) -> tuple[int, ...] | None:
-        if left[gap]:
+    def complement(gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        if lasts((*held, gap)):
             return (gap,)
-        if two := pair(gap):
+        if two := found(pairs[gap], gap, held):
             return two
-        for a in (np.flatnonzero(left[1 : gap - 1]) + 1)[::-1]:
-            left[a] -= 1
-            two = pair(gap - int(a))
-            left[a] += 1
-            if two and (3 * a >= gap):
-                return (int(a), *two)
-            if 3 * a < gap:
-                return None
+        firsts = triples[gap]
+        for at in range(len(firsts) - 1, -1, -1):
+            a = firsts[at]
+            if lasts((*held, a)) and (two := found(pairs[gap - a], gap - a, (*held, a))):
+                return (a, *two)
+            if at == len(firsts) - 1 and not (left[a] and pairs[gap - a]):
+                firsts.pop()
         return None
 
     def use(lengths: tuple[int, ...]) -> None:
-        need = np.bincount(lengths)
-        n = int(min(left[x] // need[x] for x in set(lengths)))
+        n = min(left[x] // lengths.count(x) for x in lengths)
         for x in lengths:
             left[x] -= n
         out.append((lengths, n))
@@ -201,11 +309,9 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     residual: dict[int, int] = {}
     for length in range(size - 1, 0, -1):
         while left[length]:
-            left[length] -= 1  # the piece itself doesn't fill its own gap
-            rest = complement(size - length)
-            left[length] += 1
+            rest = complement(size - length, (length,))
             if rest is None:
-                residual[length] = int(left[length])
+                residual[length] = left[length]
                 left[length] = 0
             else:
                 use((length, *rest))

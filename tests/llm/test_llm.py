@@ -324,3 +324,15 @@ def test_toxicity_where_toxic_texts_are_common(spark, toxic_of_20, copied):
     out = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity_scores(docs, labels).collect()}
     held = [i for i in out if out[i]["held_out"]]
     assert sum(out[i]["predicted"] == toxic[i] for i in held) >= 0.99 * len(held)
+
+
+def test_encoder_equals_tokenizer_on_random_texts(monkeypatch):
+    """Words, spaces and marks in any order, also where a long text is taken in parts of a few characters."""
+    rng = np.random.default_rng(11)
+    bits = ["a", "b", "Zé", " ", "  ", "\n", "\t", ".", ",", "don't", "日本", "12", "3.5", "ñ!", "…", " ", "<|endoftext|>", "-", "_", "'s", "\r\n", " x", " y", "​", "Ⅷ"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(4000)]
+    enc = packing.Encoder(packing.default_tokenizer())
+    want = [np.frombuffer(enc.whole(t), "<u4").tolist() for t in texts]
+    for most in (40, 1 << 20):
+        monkeypatch.setattr(packing, "PART_CHARS", most)
+        assert [g.tolist() for g in enc.documents(iter(texts))] == want
