@@ -12,6 +12,8 @@ HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "exampl
 #: Rules for hosts of advertisements and adult content, which the host rules above overrule.
 PATTERN_RULES = ("|ads-track.", "|adult-x.", "/ads/", "/adult/")
 
+PSEUDONYM_KEY = "spark.clipcurate.pseudonym.key"
+
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.prefix_rule(r, a, rank=1) for a, r in HOST_RULES] + [url_filter.wildcard_rule(r, "block") for r in PATTERN_RULES]
@@ -90,7 +92,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [F.col(f"pii.{k}").alias(f"n_{k}") for k in pii.KINDS]
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-pseudonyms-v1").select("doc_id", "text", *kinds)
+    key = spark.conf.get(PSEUDONYM_KEY, "a key for synthetic tables only")  # real corpora: set a secret
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key).select("doc_id", "text", *kinds)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Each corpus operator against a plain version, on rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import datetime
+import hashlib
 import re
 import zlib
 
@@ -282,6 +284,94 @@ def test_pseudonyms(spark):
     assert "bob.1@" not in out[4]["text"] and out[4]["text"].endswith("@mail.example.com now") and out[6]["pii"]["date"] == 2
 
 
+def _python_pseudonym(kind, m, key="k"):
+    """The same pseudonyms by plain Python over integers and strings; None where a value isn't valid."""
+    sha = lambda *parts: hashlib.sha512("|".join(map(str, (key, *parts))).encode()).hexdigest()
+
+    def number(v, ra, rb, tweak):
+        a, b = divmod(v, rb)
+        for i in range(8):
+            if i % 2 == 0:
+                a = (a + int(sha(tweak, i, b)[:15], 16)) % ra
+            else:
+                b = (b + int(sha(tweak, i, a)[:15], 16)) % rb
+        return a * rb + b
+
+    def digits(d, tweak):
+        a, b = d[: len(d) // 2], d[len(d) // 2 :]
+        for i in range(8):
+            stream = bytes.fromhex(sha(tweak, i, b))
+            a, b = b, "".join(str((int(c) + stream[j % 64]) % 10) for j, c in enumerate(a))
+        return a + b
+
+    def check(d):
+        return str(-sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10)
+
+    def respell(new):
+        it = iter(new)
+        return "".join(next(it) if c.isdigit() else c for c in m)
+
+    d = re.sub(r"\D", "", m)
+    if kind == "card":
+        new = digits(d[:-1], "card")
+        return respell(new + check(new)) if check(d[:-1]) == d[-1] else None
+    if kind == "phone":
+        kept = max(0, len(d) - 9)
+        return respell(d[:kept] + digits(d[kept:], "phone"))
+    if kind == "ssn":
+        areas = [x for x in range(1, 900) if x != 666]
+        a, g, s = map(int, m.split("-"))
+        if a not in areas or not g or not s:
+            return None
+        v, s = divmod(number((areas.index(a) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999, "ssn"), 9999)
+        return f"{areas[v // 99]:03}-{v % 99 + 1:02}-{s + 1:04}"
+    first = datetime.date(1800, 1, 1)
+    day, month, year = map(int, m.split("/"))  # day first: the day is over 12
+    v = (datetime.date(year, month, day) - first).days
+    while True:
+        v = number(v, 189, 773, "date")
+        new = first + datetime.timedelta(v)
+        if new.day > 12:
+            return f"{new.day:02}/{new.month:02}/{new.year}"
+
+
+def test_pseudonyms_equal_plain_python_and_stay_valid(spark):
+    rng = np.random.default_rng(2)
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    body = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    full = lambda b: next(b + c for c in "0123456789" if luhn(b + c))
+    cards = [full(body(15)) for _ in range(600)] + [full(body(14)) for _ in range(100)] + [body(16) for _ in range(100)]
+    cards += [f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}" for c in cards[:50]] + [f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}" for c in cards[:50]] + [f"{c[:4]} {c[4:10]} {c[10:]}" for c in cards[600:620]]
+    ssns = [f"{a:03}-{g:02}-{s:04}" for a, g, s in zip(rng.integers(0, 1000, 900), rng.integers(0, 100, 900), rng.integers(0, 10000, 900), strict=True)]
+    tens = [f"{a}{b:03}{c:04}" for a, b, c in zip(rng.integers(200, 1000, 300), rng.integers(0, 1000, 300), rng.integers(0, 10000, 300), strict=True)]
+    phones = [f for t in tens for f in (f"({t[:3]}) {t[3:6]}-{t[6:]}", f"{t[:3]}-{t[3:6]}-{t[6:]}", f"+1 {t[:3]} {t[3:6]} {t[6:]}", f"+1{t}")]
+    dates = [f"{d:02}/{mo:02}/{y}" for d, mo, y in zip(rng.integers(13, 29, 300), rng.integers(1, 13, 300), rng.integers(1800, 2200, 300), strict=True)]
+    rows = [(k, m) for k, ms in (("card", cards), ("ssn", ssns), ("phone", phones), ("date", dates)) for m in ms]
+    df = spark.createDataFrame([(i, k, f"see {m}, please") for i, (k, m) in enumerate(rows)], "i long, pii string, text string")
+    out = sorted(pii.pseudonymize(df, "k").collect(), key=lambda r: r["i"])
+    got = [(k, m, r["text"][4:-8], r["pii_"][k]) for (k, m), r in zip(rows, out, strict=True)]
+    for k, m, new, n in got:
+        want = _python_pseudonym(k, m)
+        assert (new, n) == ((m, 0) if want is None else (want, 1)) or want is None and k == "card" and new != m and sum(c.isdigit() for c in m) <= 15, (k, m, new)
+    for k in ("card", "ssn", "phone", "date"):
+        maps = {m: new for kind, m, new, n in got if kind == k and n}
+        assert len(set(maps.values())) == len(maps) and all(a != b for a, b in maps.items())
+    new = {m: x for _, m, x, _ in got}
+    assert all(luhn(re.sub(r"\D", "", new[c])) for c in cards if luhn(re.sub(r"\D", "", c)))
+    plain = lambda m: re.sub(r"\D", "", new[m])
+    assert all(plain(f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}") == plain(f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}") == new[c] for c in cards[:50])
+    assert all(len({plain(p)[-10:] for p in phones[k : k + 4]}) == 1 for k in range(0, len(phones), 4))
+    assert all(_python_pseudonym("ssn", new[s]) for s in ssns if _python_pseudonym("ssn", s))
+
+
+def test_pseudonyms_of_cards_beside_other_digits(spark):
+    texts = ["4111 1111 1111 1111 123", "4111111111111111 12/27", "12 4111 1111 1111 1111", "call +15551234567 now", "31/12/1999 12/31/1999", "", None, "x" * 300_000 + " 4111111111111111"]
+    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert all("4111" not in out[k] for k in (0, 1, 2, 7)) and out[0].endswith(" 123") and out[1].endswith(" 12/27") and out[2].startswith("12 ")
+    assert "5551234567" not in out[3] and out[5:7] == ["", None] and "1999" not in out[4]
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string, pii int"), "k").columns == ["doc_id", "text", "pii", "pii_"]
+
+
 def test_feistel_numbers_are_a_permutation(spark):
     n = spark.range(189 * 7).select(pii.feistel_number(F.col("id"), (189, 7), "k", "t").alias("v"))
     assert sorted(r["v"] for r in n.collect()) == list(range(189 * 7))
