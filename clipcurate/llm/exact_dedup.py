@@ -2,101 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import ascii_lower, materialize
+from clipcurate.llm.common import ascii_lower, free_name, materialize
 
-#: Hashes that several different blocks share are joined by a broadcast up to this many (a bound on bytes: each is one block).
-MAX_BROADCAST = 1000
 
+def normal_text(text: Column) -> Column:
+    """The text in UTF-8, A-Z lower-cased; null counts as empty. Where all letters are ASCII, ``lower`` does that, and faster."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t)).cast("binary")
 
-def _name(hashed: Column) -> Column:
-    """The name that a block has unless another block wants the same: its hash without the sign."""
-    return hashed.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
+def _numbered(items: DataFrame, order: list[str], near: Column, weight: str) -> DataFrame:
+    """``items`` with ``name``: the sum of ``weight`` of all items before them in the order of ``near``, a long, and then
+    ``order``. Each of 4096 ranges of ``near`` is sorted by a task; the sums of the ranges before are added."""
+    ranged = items.withColumn("range", F.shiftright(near, 52).cast("int"))
+    sums = ranged.groupBy("range").agg(F.sum(weight).alias("in_range"))
+    before = F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # 4096 rows at most
+    inside = F.sum(weight).over(Window.partitionBy("range").orderBy(near, *order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sums.select("range", F.coalesce(before, F.lit(0)).alias("start")))
+    placed = ranged.withColumn("name", F.coalesce(inside, F.lit(0))).join(starts, "range")
+    return placed.withColumn("name", F.col("name") + F.col("start")).drop("range", "start")
 
-def _clashes(blocks: DataFrame, name: str, content: list[str], kind: str) -> DataFrame | None:
-    """Own names for blocks whose name another, different block has too; None when no two blocks clash.
 
-    All distinct blocks are sorted into groups by content; names that occur in two groups are clashes. Their blocks
-    are numbered by content: -1, -2, ..., which no hash can be. So a name stands for one content.
-    """
-    distinct = blocks.select(name, *content).distinct()
-    twice = materialize(distinct.groupBy(name).count().where("count > 1").select(name), kind)
-    if twice.isEmpty():
-        return None
-    from pyspark.sql import Window
-
-    own = blocks.join(twice, name, "left_semi").select(name, *content).distinct()
-    return materialize(own.withColumn("own", -F.row_number().over(Window.orderBy(*content)).cast("long")), kind)
-
-
-def _renamed(blocks: DataFrame, clash: DataFrame | None, name: str, content: list[str]) -> DataFrame:
-    if clash is None:
-        return blocks
-    if clash.count() <= MAX_BROADCAST:
-        clash = F.broadcast(clash)
-    return blocks.join(clash, [name, *content], "left").withColumn(name, F.coalesce("own", name)).drop("own")
+def name_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 16384, hash_fn=F.xxhash64) -> DataFrame:
+    """``(rid, doc_id, text_sha256, blocks, root)``, one row per input row.
 
+    ``(blocks, root)`` is the identity: equal for two rows exactly when their normalised texts are equal. The text is cut
+    into blocks of ``block`` bytes. All distinct blocks are sorted, by hash and then by content, and a block's name is
+    its number in that order. Then distinct pairs of adjacent names are sorted and numbered in turn (an odd last name
+    is paired with none), level by level, until a document has one name. Names are numbers in a sorted list of contents,
+    so no two contents share one; texts of a different number of blocks differ by that number.
 
-def name_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 4096, hash_fn=F.xxhash64) -> DataFrame:
-    """``(rid, doc_id, text_sha256, blocks, root)``, one row per input row, written to the shared folder.
-
-    ``(blocks, root)`` is the identity: equal for two rows exactly when their normalised texts are equal. The text is
-    cut into blocks of ``block`` characters; each distinct block gets an integer name, then each adjacent pair of names
-    gets one, level by level, until one name is left (an odd last name moves up as it is). A name starts as a hash of
-    its content; a sort of all distinct contents then finds names that two contents share and renames these, so no
-    collision stays. Texts of a different number of blocks differ by that number.
+    Text moves once, distinct blocks only; from then on rows are integers, and only documents of several blocks go on.
     """
-    low = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(ascii_lower(F.col(text)), F.lit("")).alias("t"))
-    parts = F.when(F.length("t") <= block, F.array("t")).otherwise(F.regexp_extract_all("t", F.lit("(?s).{1,%d}" % block), F.lit(0)))
-    cut = low.select("doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), parts.alias("parts"))
-    flat = cut.select(F.explode("parts").alias("content")).select(_name(hash_fn("content")).alias("name"), "content")
-    clash = _clashes(flat, "name", ["content"], "blocks")
-    if clash is None:
-        named = cut.select("doc_id", "text_sha256", F.transform("parts", lambda b: _name(hash_fn(b))).alias("names"))
-    else:
-        each = materialize(cut.withColumn("rid", F.monotonically_increasing_id()), "cut")
-        rows = each.select("rid", F.posexplode("parts").alias("pos", "content")).withColumn("name", _name(hash_fn("content")))
-        rows = _renamed(rows, clash, "name", ["content"])
-        names = rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("x")).select("rid", F.col("x.name").alias("names"))
-        named = each.select("rid", "doc_id", "text_sha256").join(names, "rid").drop("rid")
-    state = materialize(named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text_sha256", F.size("names").alias("blocks"), "names"), "names")
-    level = 0
-    while (state.agg(F.max(F.size("names"))).first()[0] or 0) > 1:
-        level += 1
-        state = _name_pairs(state, level, hash_fn)
-    return state.select("rid", "doc_id", "text_sha256", "blocks", F.element_at("names", 1).alias("root"))
-
-
-def _name_pairs(state: DataFrame, level: int, hash_fn) -> DataFrame:
+    t = F.col("t")
+    count = F.ceil(F.octet_length(t) / block)
+    several = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.substring(t, i * block + 1, F.lit(block)))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), normal_text(F.col(text)).alias("t"))
+    cut = cut.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.when(count <= 1, F.array("t")).otherwise(several).alias("parts"))
+    flat = cut.select(F.explode("parts").alias("content")).select(hash_fn("content").alias("h"), "content")
+    hashes = materialize(flat.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("k")), "hashes")
+    shared, places = hashes.where("k > 1").select("h"), None
+    rid = F.monotonically_increasing_id()
+    if not shared.isEmpty():  # hashes of several contents: these are numbered within their hash, by content
+        cut = materialize(cut.withColumn("rid", rid), "cut")
+        rid = F.col("rid")
+        each = cut.select("rid", F.posexplode("parts").alias("pos", "content")).withColumn("h", hash_fn("content")).join(shared, "h", "left_semi")
+        contents = each.select("h", "content").distinct().withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("content")) - 1)
+        places = each.join(contents, ["h", "content"]).select("rid", "pos", "place")
+    rows = materialize(cut.select(rid.alias("rid"), "doc_id", "text_sha256", F.size("parts").alias("blocks"), F.transform("parts", lambda b: hash_fn(b)).alias("hs")), "rows")
+    names = _numbered(hashes, [], F.col("h"), "k").select("h", "name")
+    level = rows.select("rid", "blocks", F.posexplode("hs").alias("pos", "h")).join(names, "h")
+    if places is not None:
+        level = level.join(places, ["rid", "pos"], "left").withColumn("name", F.col("name") + F.coalesce("place", F.lit(0)))
+    level = materialize(level.select("rid", F.col("blocks").alias("n"), "pos", "name"), "level")
+    roots = level.where("n = 1").select("rid", "name")
+    most = rows.agg(F.max("blocks")).first()[0] or 0
+    while most > 1:
+        most = -(-most // 2)
+        level = materialize(_paired(level.where("n > 1")), "level")
+        roots = roots.unionByName(level.where("n = 1").select("rid", "name"))
+    return rows.drop("hs").join(roots.withColumnRenamed("name", "root"), "rid")
+
+
+def _paired(level: DataFrame) -> DataFrame:
     """One level up: names of adjacent pairs in place of the names."""
-    half = F.expr("sequence(0, int((size(names) - 1) / 2))")
-    pairs = F.transform(half, lambda i: F.struct(F.get("names", 2 * i).alias("l"), F.get("names", 2 * i + 1).alias("r")))
-    up = lambda p: F.when(p.r.isNull(), p.l).otherwise(_name(hash_fn(F.lit(level), p.l, p.r)))
-    paired = state.withColumn("pairs", pairs)
-    flat = paired.where("size(names) > 1").select(F.explode("pairs").alias("p")).where("p.r is not null").select(_name(hash_fn(F.lit(level), "p.l", "p.r")).alias("name"), "p.l", "p.r")
-    clash = _clashes(flat, "name", ["l", "r"], "pairs")
-    if clash is None:
-        return materialize(paired.withColumn("names", F.transform("pairs", up)).drop("pairs"), "names")
-    rows = paired.select("rid", F.posexplode("pairs").alias("pos", "p")).select("rid", "pos", up(F.col("p")).alias("name"), "p.l", "p.r")
-    rows = _renamed(rows, clash, "name", ["l", "r"])
-    names = rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("x")).select("rid", F.col("x.name").alias("names"))
-    return materialize(state.drop("names").join(names, "rid"), "names")
-
-
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 4096, hash_fn=F.xxhash64) -> DataFrame:
+    half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
+    left, right = (F.max(F.when(F.col("pos") % 2 == k, F.col("name"))) for k in (0, 1))
+    pairs = level.groupBy("rid", "n", half).agg(left.alias("l"), F.coalesce(right, F.lit(-1)).alias("r"))
+    distinct = pairs.select("l", "r").distinct().withColumn("one", F.lit(1).cast("long"))
+    names = _numbered(distinct, ["l", "r"], F.xxhash64("l", "r"), "one").select("l", "r", "name")
+    return pairs.join(names, ["l", "r"]).select("rid", F.ceil(F.col("n") / 2).cast("int").alias("n"), "pos", "name")
+
+
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 16384, hash_fn=F.xxhash64) -> DataFrame:
     """``(rid, doc_id, keep_id, group_size, kept, text_sha256)`` for every row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
     doc_id stays; if that row is repeated, one of the repeats does (``rid`` tells rows apart). A null doc_id is smaller than
     any other. Empty table: no rows. Other columns are not read.
     """
-    named = name_documents(docs, doc_id, text, block, hash_fn)
+    named = materialize(name_documents(docs, doc_id, text, block, hash_fn), "named")
     best = F.max(F.struct("doc_id", "rid"))
     groups = named.groupBy("blocks", "root").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = materialize(groups.select("blocks", "root", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size"), "groups")
+    groups = groups.select("blocks", "root", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
     out = named.join(groups, ["blocks", "root"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
@@ -106,14 +97,15 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Rows without an id are told apart by text alone and stay once each."""
-    found = materialize(exact_duplicates(docs, doc_id, text), "dups").select("kept", F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    gone = materialize(found.where("not kept").select("__id", "__sha").distinct(), "gone")
-    repeated = materialize(found.where("kept").select("__id", "__sha").intersect(gone), "repeated")  # id and text of a row that stays and of one that goes
-    keyed = docs.withColumn("__text", F.sha2(F.coalesce(ascii_lower(F.col(text)), F.lit("")).cast("binary"), 256))
-    same = lambda other: keyed[doc_id].eqNullSafe(other["__id"]) & (keyed["__text"] == other["__sha"])
+    """The rows of ``docs`` that stay, all columns. Rows that agree in id and text are told apart by nothing else, one stays."""
+    found = materialize(exact_duplicates(docs, doc_id, text), "dups").select("kept", F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    gone = materialize(found.where("not kept").select("id", "sha").distinct(), "gone")
+    repeated = materialize(found.where("kept").select("id", "sha").intersect(gone), "repeated")  # id and text of a row that stays and of one that goes
+    own = free_name(docs, "__text")
+    keyed = docs.withColumn(own, F.sha2(normal_text(F.col(text)), 256))
+    same = lambda other: keyed[doc_id].eqNullSafe(other["id"]) & (keyed[own] == other["sha"])
     gone = gone.hint("merge")  # what goes grows with the input: one plan at every size
-    stays = keyed.join(gone, same(gone), "left_anti").drop("__text")
+    stays = keyed.join(gone, same(gone), "left_anti").drop(own)
     if repeated.isEmpty():
         return stays
-    return stays.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, "__text"]).drop("__text"))
+    return stays.unionByName(keyed.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, own]).drop(own))

@@ -56,10 +56,11 @@ FROM embeddings e JOIN c ON c.node = e.vec_id GROUP BY e.vec_id
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("placement")
+    p, path = F.col("placement"), scratch_path(spark, "shards")
     placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
-    text = F.coalesce("text", F.lit(""))
-    return placed.select(
+    sharding.write_shards(placed, path)
+    written, text = sharding.read_shards(spark, path, placed.schema), F.coalesce("text", F.lit(""))
+    return written.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
         p.shard.alias("shard"), p.slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

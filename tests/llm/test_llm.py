@@ -185,14 +185,37 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert all(out[i] == 0 for i in range(41)) and all(out[100 + i] == 100 for i in range(31))
 
 
-def test_sharding_law(spark):
+def test_sharding_law_and_round_trip(spark):
     df, rows = documents(spark)
-    out = sharding.shuffle_into_shards(df, 8, bucket_bytes=4000)
-    assert set(df.columns) < set(out.columns)
-    got = out.select("placement.*").collect()
-    shards = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(8)}
+    df = df.unionByName(df.where("doc_id is null").crossJoin(spark.range(300)).drop("id")).withColumn("placement", F.lit("own")).withColumn("shard", F.lit("own"))
+    rows = rows + [r for r in rows if r[0] is None] * 300
+    placed = sharding.shuffle_into_shards(df, 8, bucket_bytes=4000)
+    assert placed.columns == [*df.columns, "placement_"]
+    path = common.scratch_path(spark, "shards")
+    sharding.write_shards(placed, path, "placement_")
+    got = sharding.read_shards(spark, path, placed.schema).collect()
+    assert sorted((tuple(r[:7]) for r in got), key=str) == sorted(map(tuple, rows), key=str)
+    shards = {s: sorted(r["placement_"]["slot"] for r in got if r["placement_"]["shard"] == s) for s in range(8)}
     assert all(v == list(range(len(v))) for v in shards.values()) and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
-    assert len(got) == len(rows) and sharding.shuffle_into_shards(empty(spark), 8).count() == 0
+    in_bucket = {}
+    for r in got:
+        in_bucket[r["placement_"]["bucket"]] = in_bucket.get(r["placement_"]["bucket"], 0) + (r["doc_id"] is None)
+    assert max(in_bucket.values()) < 60  # rows without an id are spread
+    again = sharding.shuffle_into_shards(df, 8, bucket_bytes=4000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, sharding.read_shards(spark, path, placed.schema).select(placed.columns).collect()))
+    assert sharding.shuffle_into_shards(empty(spark), 8).count() == 0
+
+
+def test_sharding_moves_rows_anywhere(spark):
+    """Slots of one shard: no order of the input is left, and each eighth of the input is spread over all shards."""
+    out = sharding.shuffle_into_shards(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 8, bucket_bytes=20_000)
+    got = out.select("doc_id", "placement.*").collect()
+    order = np.array([r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))])
+    assert abs(np.corrcoef(order, np.arange(4000))[0, 1]) < 0.06
+    table = np.zeros((8, 8))
+    for r in got:
+        table[r["doc_id"] // 500, r["shard"]] += 1
+    assert ((table - 62.5) ** 2 / 62.5).sum() < 100
 
 
 def test_packing_round_trip(spark):
