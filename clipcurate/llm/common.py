@@ -41,9 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one is made for a local
+    master (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         path = tempfile.mkdtemp(prefix="clipcurate-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -79,7 +82,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Labels only fall, by hooking a root onto the smallest label next to its tree and by halving paths, so that a
     chain takes a logarithmic number of rounds. Each round reads tables that the round before has written; both
     sides of the joins on a label or a neighbour are plain exchanges, so a hub's rows can be split at run time.
-    Edges with a null end or from a node to itself say nothing. No edges: no rows.
+    Edges with a null end or from a node to itself say nothing. No edges: no rows. Nodes are longs.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     pairs = materialize(e.union(e.select("v", "u")).distinct(), "pairs")
@@ -99,6 +102,16 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return f.select("node", F.col("label").alias("component"))
 
 
+def with_components(values: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """``values`` with ``group`` and ``component``: which nodes (its column ``node``, a long for each row) the edges ``(a, b)``
+    connect, and the smallest ``label`` of a group; labels may be of any kind, shared or null."""
+    comp = connected_components(edges, "a", "b").select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
+    joined = values.join(comp, values.node == comp["__node"], "left").drop("__node")
+    least = materialize(joined.where("__comp is not null").groupBy(F.col("__comp").alias("__of")).agg(F.min(label).alias("__least")), "least")
+    out = joined.join(least, joined["__comp"] == least["__of"], "left")
+    return out.select(*values.columns, F.coalesce("__comp", "node").alias("group"), F.coalesce("__least", label).alias("component"))
+
+
 def pair_blocks(rows: DataFrame, keys: list[str], spread: Column, max_rows: int, keys_only: DataFrame | None = None) -> DataFrame:
     """Lay rows of one key out so that every pair of them meets in exactly one group ``(keys, bi, bj)`` of at most about
     ``2 * max_rows`` rows, however many rows the key has.

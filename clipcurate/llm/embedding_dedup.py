@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import connected_components, materialize, pair_blocks, sorted_groups, spanning_edges
+from clipcurate.llm.common import materialize, pair_blocks, sorted_groups, spanning_edges, with_components
 
 
 @lru_cache(maxsize=64)
@@ -58,7 +58,14 @@ def estimate(code: np.ndarray, factor: np.ndarray, query: np.ndarray, sigmas: fl
     return bits @ query.T / math.sqrt(dim) / f, sigmas * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))
 
 
-def _codes(cosine: float, n: int, seed: int, keys_only: bool = False):
+def unit_rows(packed: list[bytes], kind: str) -> np.ndarray:
+    """The vectors in double precision and of unit length; scaled first, so that no square over- or underflows."""
+    x = np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _codes(cosine: float, n: int, seed: int, kind: str, keys_only: bool = False):
     bits, bands = band_plan(n, cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +73,9 @@ def _codes(cosine: float, n: int, seed: int, keys_only: bool = False):
             node, copies, vec = batch.column("node").to_numpy(), batch.column("copies").to_numpy(), batch.column("vec").to_pylist()
             by_dim: dict[int, list[int]] = {}
             for row, v in enumerate(vec):
-                by_dim.setdefault(len(v) // 4, []).append(row)
+                by_dim.setdefault(len(v) // np.dtype(kind).itemsize, []).append(row)
             for dim, rows in by_dim.items():
-                x = np.frombuffer(b"".join(vec[r] for r in rows), "<f4").reshape(-1, dim).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                code, factor, keys = encode(x, bits, bands, seed)
+                code, factor, keys = encode(unit_rows([vec[r] for r in rows], kind), bits, bands, seed)
                 for a in range(0, len(rows), 256):
                     part = rows[a : a + 256]
                     m = len(part)
@@ -88,7 +93,7 @@ def _codes(cosine: float, n: int, seed: int, keys_only: bool = False):
     return run
 
 
-def _links(cosine: float, seed: int, sigmas: float):
+def _links(cosine: float, seed: int, sigmas: float, kind: str):
     """Links within each group; a pair that meets in an earlier band too is left to that band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +110,8 @@ def _links(cosine: float, seed: int, sigmas: float):
                 continue
             band, bi, bj = (g.column(c)[0].as_py() for c in ("band", "bi", "bj"))
             node, copies, block = (g.column(c).to_numpy() for c in ("node", "copies", "block"))
-            get = lambda c, kind: np.frombuffer(b"".join(g.column(c).to_pylist()), kind).reshape(m, -1)  # noqa: E731,B023
-            x = get("vec", "<f4").astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            get = lambda c, of: np.frombuffer(b"".join(g.column(c).to_pylist()), of).reshape(m, -1)  # noqa: E731,B023
+            x = unit_rows(g.column("vec").to_pylist(), kind)
             left, right = (np.arange(m),) * 2 if bi == bj else (np.flatnonzero(block == bi), np.flatnonzero(block == bj))
             if not len(left) or not len(right):
                 continue
@@ -149,30 +153,34 @@ def embedding_components(vectors: DataFrame, vec_id: str = "vec_id", embedding:
     only if all bands separate it (1e-5 at the threshold, far less above it) or its estimate errs by ``sigmas``
     deviations. Tasks return counts and a spanning forest of links, not the links.
 
-    Vectors that are null, empty, all zero or hold null or non-finite components link with nothing, nor do rows without
-    an id. Rows that repeat an id are one node to components. Empty table: no rows. Other columns are not read.
+    Vectors that are null, empty, all zero or hold null or non-finite components link with nothing. Rows that repeat an id
+    are vectors of their own, each with its links; a component is named by the smallest id of its vectors. Rows without an
+    id link too; where no vector of a component has an id, it is null. Components of floats are kept as such, all others
+    as doubles. Empty table: no rows. Other columns are not read.
     """
-    v = F.col("v").cast("array<float>")
+    narrow = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind, v = ("<f4" if narrow else "<f8"), F.col("v").cast("array<float>" if narrow else "array<double>")
     bad = F.coalesce(F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), F.lit(True)) | ~F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).withColumn("v", v)
-    rows = rows.withColumn("v", F.when(bad | F.col("vec_id").isNull(), F.lit(None)).otherwise(F.col("v")))
+    rows = rows.withColumn("v", F.when(bad, F.lit(None)).otherwise(F.col("v")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [None if x is None else (np.asarray(x, "<f4") + 0).tobytes() for x in b.column("v").to_pylist()]
+            packed = [None if x is None else (np.asarray(x, kind) + 0).tobytes() for x in b.column("v").to_pylist()]
             yield pa.record_batch({"vec_id": b.column("vec_id"), "vec": pa.array(packed, pa.binary())})
 
     packed = materialize(rows.mapInArrow(pack, "vec_id long, vec binary"), "packed")
-    values = materialize(packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "values")
+    values = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    values = materialize(values.withColumn("node", F.monotonically_increasing_id()), "values")
     n = values.count()
-    coded = values.mapInArrow(_codes(cosine, n, seed), "band long, key long, node long, copies long, vec binary, code binary, factor double, sig binary")
-    keys = values.mapInArrow(_codes(cosine, n, seed, True), "band long, key long")
+    sent = values.select("node", "copies", "vec")
+    coded = sent.mapInArrow(_codes(cosine, n, seed, kind), "band long, key long, node long, copies long, vec binary, code binary, factor double, sig binary")
+    keys = sent.mapInArrow(_codes(cosine, n, seed, kind, True), "band long, key long")
     laid = pair_blocks(coded, ["band", "key"], F.xxhash64("vec"), max_rows, keys)
     order = ["band", "key", "bi", "bj"]
-    found = materialize(laid.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links(cosine, seed, sigmas), "a long, b long, n long"), "links")
+    found = materialize(laid.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links(cosine, seed, sigmas, kind), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    comp = connected_components(found.where("n = 0").select("a", "b").distinct(), "a", "b")
-    named = values.join(counts, "node", "left").join(comp, "node", "left")
-    named = materialize(named.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "named")
+    named = with_components(values, found.where("n = 0").select("a", "b").distinct(), "low").join(counts, "node", "left")
+    named = materialize(named.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "named")
     out = packed.join(named, "vec", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))

@@ -84,6 +84,25 @@ def _round_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([*same, pa.array(taken, pa.int32()), pa.array(ps), pa.array(open_)], names=["rid", "node", "source_key", "size", "more", "p", "open"])
 
 
+def _with_turns(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``turn``: 0, but for rows that agree in id, source and size with over ``most`` others their number among
+    these. Each task's rows are numbered apart, and the counts of the tasks before are added."""
+    key = ["doc_id", "source", "size"]
+    hot = materialize(rows.groupBy(*key).count().where(F.col("count") > most).drop("count"), "hot")  # few: each has many rows
+    if hot.isEmpty():
+        return rows.withColumn("turn", F.lit(0).cast("long"))
+    other = hot.select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    of = rows.withColumn("task", F.shiftright("rid", 33))
+    many = of.join(other, same, "left_semi")
+    counts = many.groupBy(*key, "task").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("task").alias("__task"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key, "task").orderBy("rid")) - 1
+    numbered = many.withColumn("inside", inside).join(starts, [*same, F.col("task") == F.col("__task")]).select(*rows.columns, (F.col("inside") + F.col("__before")).cast("long").alias("turn"))
+    return rows.join(other, same, "left_anti").withColumn("turn", F.lit(0).cast("long")).unionByName(numbered)
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 29, leaf_rows: int = 512, fan_in: int = 16) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies)`` for each row of ``docs``: how often the mix takes it.
 
@@ -93,18 +112,19 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     leaves open meets those of the next leaves, ``fan_in`` to a node, and so on up a reduction tree. The last open row of
     a source is rounded by its probability. So a source comes within one document's size of its target.
 
-    A source of any size is spread over many leaves. Leaves and draws come from hashes of id, source and size, so that
+    A source of any size is spread over many leaves, and so are rows that agree in id, source and size, if there are more of
+    them than a leaf has. Leaves and draws come from hashes of these three and of the number among such rows, so that
     reruns agree; repeated rows are interchangeable. Empty and null texts are taken 0 times. A null source is a source of
     its own, the last. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    rows = materialize(_with_turns(materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes"), leaf_rows), "turns")
     totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "totals")
     leaves = F.ceil(F.col("rows") / leaf_rows).cast("long").alias("leaves")
     targets = source_targets(totals.drop("rows"), weights, most).withColumnRenamed("source", "__of")
     targets = materialize(targets.join(totals.select(F.col("source").alias("__source"), leaves), F.col("__of").eqNullSafe(F.col("__source"))).drop("__of"), "targets")
     most_leaves = targets.agg(F.max("leaves")).first()[0] or 1
-    draw = lambda tag: F.xxhash64(F.lit(seed), F.lit(tag), F.col("doc_id"), F.col("source"), F.col("size"))
+    draw = lambda tag: F.xxhash64(F.lit(seed), F.lit(tag), F.col("doc_id"), F.col("source"), F.col("size"), F.col("turn"))
     uniform = lambda c: F.pmod(c, F.lit(1 << 40)) / float(1 << 40)
     known = rows.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     wanted = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -142,12 +162,13 @@ def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     mixed = mix_sources(docs, doc_id, text, source, **how)
     keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
     counts = materialize(mixed.groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")).where("__copies > 0"), "copies")
-    sized = docs.withColumn("__words", word_count(F.col(text)))
-    out = sized.join(counts.hint("merge"), sized[doc_id].eqNullSafe(F.col("__id")) & sized[source].eqNullSafe(F.col("__source")) & (sized["__words"] == F.col("__size")))
-    repeat = lambda df, n: df.withColumn("__turn", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*docs.columns)
+    sized = docs.select(F.struct(*docs.columns).alias("__row"), word_count(F.col(text)).alias("__words"))
+    own = F.col("__row")
+    out = sized.join(counts.hint("merge"), own[doc_id].eqNullSafe(F.col("__id")) & own[source].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    repeat = lambda df, n: df.withColumn("__turn", F.explode(F.sequence(F.lit(1), n.cast("int")))).select("__row.*")
     if counts.where("__n > 1").isEmpty():
         return repeat(out, F.col("__copies"))
-    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(text))
+    turn = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(own[text]))
     each = F.floor(F.col("__copies") / F.col("__n")) + (turn <= F.col("__copies") % F.col("__n")).cast("int")
     again = out.where("__n > 1").withColumn("__each", each).where("__each > 0")
     return repeat(out.where("__n = 1"), F.col("__copies")).unionByName(repeat(again, F.col("__each")))

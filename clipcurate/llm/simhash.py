@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clipcurate.llm.common import connected_components, materialize, pair_blocks, sorted_groups, worker_tables
+from clipcurate.llm.common import connected_components, free_name, materialize, pair_blocks, sorted_groups, with_components, worker_tables
 
 BITS = 64
 #: Of similar_components: minimal hashes in a sketch, shards of a row and hashes in their keys, radius of the trees.
@@ -205,22 +205,21 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shard with more is cut into subtrees, each of which goes to one task per block of queries. A task returns a
     spanning forest of the links that it found, never the pairs.
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null doc_id take part through rows that
-    share their fingerprint; if none of these has an id, their component is null. Repeated rows each get a row. Empty
-    tables give empty results; other columns are not read.
+    Null and empty texts have fingerprint 0 and link like any other. Rows with a null doc_id take part like any other; where
+    no row of a component has an id, it is null. Ids may be of any kind. Repeated rows each get a row. Empty tables give
+    empty results; other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(with_fingerprint(rows, "text", shingle, "fp").select("doc_id", "fp"), "prints")
-    values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "values")
+    values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "values")
     n = values.count()
-    keyed = values.where("node is not null").select("fp", "node", F.explode(shard_keys(F.col("fp"), radius, n)).alias("s")).select("s.*", "fp", "node")
+    keyed = values.select("fp", "node", F.explode(shard_keys(F.col("fp"), radius, n)).alias("s")).select("s.*", "fp", "node")
     keyed = keyed.withColumn("shard", F.col("shard").cast("long"))
     laid = pair_blocks(keyed, ["shard", "key"], F.xxhash64("fp"), max_rows)
     order = ["shard", "key", "bi", "bj"]
     laid = laid.repartition(*order).sortWithinPartitions(*order, "block", "fp")
     edges = laid.mapInArrow(_tree_edges(radius), "a long, b long")
-    comp = connected_components(materialize(edges.distinct(), "edges"), "a", "b")
-    named = materialize(values.join(comp, values.node == comp.node, "left").select("fp", F.coalesce("component", values.node).alias("component")), "named")
+    named = materialize(with_components(values, materialize(edges.distinct(), "edges"), "low").select("fp", "component"), "named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component")
 
 
@@ -293,31 +292,60 @@ def _exact_edges(similarity: float):
     return run
 
 
-def exact_links(rows: DataFrame, found: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def exact_links(rows: DataFrame, values: DataFrame, found: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(a, b)``: links of components of ``comp`` by exact similarity, for the members of groups in ``found``.
 
     Groups whose members are all of one component need no answer, and groups of equal members are asked once. Only the
-    texts of the members left are hashed again; a group has as many as a group of pair_blocks at most.
+    texts of the members left are hashed again, one row of ``rows`` for each; a group has as many as a group of
+    pair_blocks at most.
     """
     own = ["shard", "key", "bi", "bj"]
-    asked = found.where("b is null").select(*own, F.col("a").alias("id"))
-    asked = asked.join(comp, asked.id == comp.node, "left").select(*own, "id", F.coalesce("component", "id").alias("comp"))
-    groups = asked.groupBy(*own).agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    asked = found.where("b is null").select(*own, F.col("a").alias("node"))
+    asked = asked.join(comp.select("node", F.col("component").alias("of")), "node", "left").select(*own, "node", F.coalesce("of", "node").alias("comp"))
+    groups = asked.groupBy(*own).agg(F.sort_array(F.collect_set(F.struct("node", "comp"))).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     groups = materialize(groups.where("low < high").select("members").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
     members = groups.select("group", F.explode("members").alias("m")).select("group", "m.*")
-    needed = members.select("id").distinct().hint("merge")  # grows with the input: one plan at every size
+    needed = values.join(members.select("node").distinct(), "node").select("node", "one.*").withColumnRenamed("doc_id", "id")
+    needed = needed.hint("merge")  # grows with the input: one plan at every size
 
     @F.pandas_udf("binary")
     def udf(texts: pd.Series) -> pd.Series:
         worker_tables("simhash", dict)
         return texts.map(lambda t: distinct_shingles(t, shingle).tobytes())
 
-    sets = rows.join(needed, rows.doc_id == needed.id).select("id", udf("text").alias("hashes")).where(F.length("hashes") > 0)
-    sets = materialize(sets.distinct(), "sets")
-    laid = members.join(sets.hint("merge"), "id").select("group", "id", "comp", "hashes").repartition("group").sortWithinPartitions("group", "id")
+    keyed = rows.select("doc_id", "text", text_hash(F.col("text")).alias("own"))
+    texts = keyed.join(needed, keyed.doc_id.eqNullSafe(needed.id) & (keyed.own == needed.h)).select("node", "text").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", udf("text").alias("hashes")).where(F.length("hashes") > 0), "sets")
+    laid = members.join(sets.hint("merge"), "node").select("group", "node", "comp", "hashes").repartition("group").sortWithinPartitions("group", "node")
     return materialize(laid.mapInArrow(_exact_edges(similarity), "a long, b long").distinct(), "exact")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, max_rows: int) -> DataFrame:
+    """``(doc_id, h, group, component)`` for each row; h is the text_hash."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = with_signature(rows, "text", shingle).select("doc_id", text_hash(F.col("text")).alias("h"), "signature.*")
+    signed = materialize(signed, "signed")
+    values = signed.groupBy("fp", "sketch").agg(F.min("doc_id").alias("low"), F.min("keys").alias("keys"), F.min(F.struct("doc_id", "h")).alias("one"))
+    values = materialize(values.withColumn("node", F.monotonically_increasing_id()), "values")
+    keyed = values.select("node", F.posexplode("keys").alias("shard", "key")).withColumn("shard", F.col("shard").cast("long"))
+    common = keyed.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard", "key")
+    shared = materialize(keyed.join(common, ["shard", "key"]), "shared")
+    laid = pair_blocks(shared.join(values.select("node", "fp", "sketch"), "node"), ["shard", "key"], F.xxhash64("fp", "sketch"), max_rows, shared)
+    order = ["shard", "key", "bi", "bj"]
+    laid = laid.select(*order, "block", "node", "fp", "sketch").repartition(*order).sortWithinPartitions(*order, "block", "fp")
+    error = math.sqrt((similarity + (1 - similarity) / 16) * (1 - similarity) * 15 / 16 / HASHES) / (15 / 16)
+    found = materialize(laid.mapInArrow(_tree_edges(RADIUS, (similarity - 4 * error, similarity + 4 * error)), FOUND), "found")
+    sure = materialize(found.where("b is not null").select("a", "b").distinct(), "edges")
+    more = exact_links(rows, values, found, connected_components(sure, "a", "b"), shingle, similarity)
+    named = materialize(with_components(values, sure.unionByName(more), "low").select("fp", "sketch", "group", "component"), "named")
+    return signed.join(named, ["fp", "sketch"], "left").select("doc_id", "h", "group", "component")
+
+
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_rows: int = 1024) -> DataFrame:
     """``(doc_id, component)`` for each row: the smallest doc_id reachable over links between texts whose sets of
     ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``.
@@ -331,34 +359,33 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     than ``max_rows`` values is cut into subtrees, each of which meets each block of queries in one task. A task returns a
     spanning forest of the links that it found, and the rows of open pairs, never the pairs.
 
-    Rows of equal signature (copies, null and empty texts) count as one value. Rows with a null doc_id take part through
-    rows of equal signature; if none of these has an id, their component is null. Repeated rows each get a row. Empty
-    tables give empty results; other columns are not read.
+    Rows of equal signature (copies, null and empty texts) count as one value. Rows with a null doc_id take part like any
+    other; where no row of a component has an id, it is null. Repeated rows each get a row. Empty tables give empty
+    results; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(with_signature(rows, "text", shingle).select("doc_id", "signature.*"), "signed")
-    values = materialize(signed.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys")), "values")
-    known = values.where("node is not null")
-    keyed = known.select("node", F.posexplode("keys").alias("shard", "key")).withColumn("shard", F.col("shard").cast("long"))
-    common = keyed.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard", "key")
-    shared = materialize(keyed.join(common, ["shard", "key"]), "shared")
-    laid = pair_blocks(shared.join(known.select("node", "fp", "sketch"), "node"), ["shard", "key"], F.xxhash64("fp", "sketch"), max_rows, shared)
-    order = ["shard", "key", "bi", "bj"]
-    laid = laid.select(*order, "block", "node", "fp", "sketch").repartition(*order).sortWithinPartitions(*order, "block", "fp")
-    error = math.sqrt((similarity + (1 - similarity) / 16) * (1 - similarity) * 15 / 16 / HASHES) / (15 / 16)
-    found = materialize(laid.mapInArrow(_tree_edges(RADIUS, (similarity - 4 * error, similarity + 4 * error)), FOUND), "found")
-    sure = connected_components(materialize(found.where("b is not null").select("a", "b").distinct(), "edges"), "a", "b")
-    more = connected_components(exact_links(rows, found, sure, shingle, similarity), "a", "b").select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    at_first = values.join(sure, values.node == sure.node, "left").select("fp", "sketch", F.coalesce("component", values.node).alias("first"))
-    named = materialize(at_first.join(more, at_first["first"] == more.part, "left").select("fp", "sketch", F.coalesce("whole", "first").alias("component")), "named")
-    return signed.join(named, ["fp", "sketch"], "left").select("doc_id", "component")
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component; rows with a null id stay."""
-    found = similar_components(docs, doc_id, text, shingle, similarity)
-    gone = found.where("doc_id <> component").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(materialize(gone, "gone"), doc_id, "left_anti")
+    return _grouped(docs, doc_id, text, shingle, similarity, max_rows).select("doc_id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, max_rows: int = 1024) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component that with the smallest doc_id (null last; of rows of one
+    id, by a hash of the text). Rows are told apart by id and text, so a row of another text stays whatever its id. Of
+    rows that agree in both, one stays."""
+    found = materialize(_grouped(docs, doc_id, text, shingle, similarity, max_rows), "grouped")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = found.groupBy("group").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "best")
+    several = materialize(found.join(groups, "group").select("doc_id", "h", (rank == F.col("best")).alias("stays")), "several")
+    gone = several.where("not stays").select(F.col("doc_id").alias("id"), F.col("h").alias("sha")).distinct()
+    again = several.where("stays").groupBy(F.col("doc_id").alias("id"), F.col("h").alias("sha")).count().where("count > 1").drop("count")
+    own = free_name(docs, "__text")
+    keyed = docs.withColumn(own, text_hash(F.col(text)))
+    same = lambda other: keyed[doc_id].eqNullSafe(other["id"]) & (keyed[own] == other["sha"])
+    again = materialize(again, "again")
+    left_out = gone if again.isEmpty() else gone.unionByName(again)
+    left_out = materialize(left_out, "gone").hint("merge")  # grows with the input: one plan at every size
+    stays = keyed.join(left_out, same(left_out), "left_anti").drop(own)
+    if again.isEmpty():
+        return stays
+    return stays.unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates([doc_id, own]).drop(own))
 
 
 def hex_fingerprint(fp: Column) -> Column:

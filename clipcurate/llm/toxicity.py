@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import materialize, worker_tables
+from clipcurate.llm.common import free_name, materialize, worker_tables
 
 #: Hashed features; a word gives itself and its beginnings of these lengths.
 DIMS, PREFIXES = 1 << 19, (4, 5)
@@ -42,16 +42,16 @@ def features(text: str | None) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str, text: str, label: str, bound: int) -> tuple[DataFrame, float]:
     """Features of at most about ``bound`` confirmed positives and twice as many unlabelled texts, and the class prior.
 
-    Rows are chosen by a hash of their id. Unlabelled texts are any of the training side, labels unseen. The prior is the
+    Rows are chosen by a hash of their id and text; those without an id are not. Unlabelled texts are any of the training side, labels unseen. The prior is the
     positive share of the labelled training rows. A row labelled twice counts as positive if one label says so.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
     own = own.where(~held_out)
     n, positives = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(0.999, max(0.001, positives / n)) if n else 0.001
-    train = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~held_out)
+    train = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out)
     total = train.select("doc_id").count()
-    draw = lambda tag, share: F.pmod(F.xxhash64(F.lit(tag), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
+    draw = lambda tag, share: F.pmod(F.xxhash64(F.lit(tag), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
     p = train.where(draw("p", bound / max(1, positives))).join(own.where("y = 1").select("doc_id"), "doc_id", "left_semi").withColumn("positive", F.lit(True))
     u = train.where(draw("u", 2 * bound / max(1, total))).withColumn("positive", F.lit(False))
 
@@ -164,7 +164,7 @@ def scorer(models: Iterable[tuple[np.ndarray, np.ndarray, float]]):
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 4000, members: int = 3) -> DataFrame:
-    """``docs`` with ``toxicity``, a struct of held_out, score and predicted.
+    """``docs`` with ``toxicity``, a struct of held_out, score and predicted (if there is a column of that name, see ``free_name``).
 
     Rows whose crc32(id as text) mod 5 is 0 are held out: no label of theirs is used. ``sample`` bounds the confirmed
     positives that are fitted on (and twice as many unlabelled texts); every row is scored, over its whole text.
@@ -174,6 +174,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     out_of = lambda c: F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
     rows, prior = training_rows(docs, labels, out_of(F.col("doc_id")), doc_id, text, label, sample)
     score = scorer(train(rows, prior, members))
-    scored = docs.withColumn("toxicity", score(F.col(text)))
-    s = F.col("toxicity")
-    return scored.withColumn("toxicity", F.struct(out_of(F.col(doc_id)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted")))
+    into = free_name(docs, "toxicity")
+    scored = docs.withColumn(into, score(F.col(text)))
+    s = F.col(into)
+    return scored.withColumn(into, F.struct(out_of(F.col(doc_id)).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted")))

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import UPPER, LOWER
+from clipcurate.llm.common import LOWER, UPPER, free_name
 
-#: Rules up to this many are broadcast to every task; with more, they are joined by token like any table.
-BROADCAST_RULES = 100_000
+#: Rules up to this many (of a few hundred bytes each) are broadcast to every task; with more, they are joined by token like
+#: any table.
+BROADCAST_RULES = 50_000
 TOKEN = r"[0-9A-Za-z]+"
 
 
@@ -72,7 +73,7 @@ def _indexed(places: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with a struct column ``url_verdict``: host, path, rule (null if none fits), verdict.
+    """``pages`` with a struct column ``url_verdict`` (or see ``free_name``): host, path, rule (null if none fits), verdict.
 
     Each distinct host + path is split into tokens; a token fetches the rules indexed under it, and only these run their
     regular expression. Rules without a sure token are tried on every url. No rule fits: ``default``. Null and empty
@@ -80,18 +81,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     Repeated rows are judged once and each returned; all other columns are returned as they are.
     """
     host, path = host_and_path(F.col(url))
-    keyed = pages.withColumn("url_verdict", F.struct(host.alias("host"), path.alias("path")))
-    places = keyed.select(F.concat("url_verdict.host", "url_verdict.path").alias("place")).distinct()
+    into = free_name(pages, "url_verdict")
+    at = lambda c: F.col(into)[c]
+    keyed = pages.withColumn(into, F.struct(host.alias("host"), path.alias("path")))
+    places = keyed.select(F.concat(at("host"), at("path")).alias("place")).distinct()
     places = places.withColumn("tokens", F.array_distinct(F.regexp_extract_all(F.lower("place"), F.lit(TOKEN), F.lit(0))))
     index, loose = _indexed(places, rules)
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     fetched = places.select("place", F.explode("tokens").alias("token")).join(index, "token").where(F.expr("regexp(place, regex)"))
-    fits = fetched.select("place", "rank", "rule", "action")
-    for r in loose:
-        fits = fits.unionByName(places.where(F.col("place").rlike(r.regex)).select("place", F.lit(r.rank).alias("rank"), F.lit(r.rule).alias("rule"), F.lit(r.action).alias("action")))
-    best = fits.groupBy("place").agg(F.max(F.struct("rank", F.length("rule").alias("n"), "rule", "action")).alias("best"))
-    best = best.select(F.col("place").alias("__place"), F.col("best.rank").alias("__rank"), F.col("best.rule").alias("__rule"), F.col("best.action").alias("__action"))
-    out = keyed.join(best, F.concat("url_verdict.host", "url_verdict.path") == F.col("__place"), "left")
-    verdict = F.struct("url_verdict.host", "url_verdict.path", F.col("__rule").alias("rule"), F.coalesce("__action", F.lit(default)).alias("verdict"), F.col("__rank").alias("rank"))
-    return out.withColumn("url_verdict", verdict).drop("__place", "__rank", "__rule", "__action")
+    fits = fetched.select("place", F.struct("rank", F.length("rule").alias("n"), "rule", "action").alias("fit"))
+    if loose:  # all in one pass
+        each = [F.when(F.col("place").rlike(r.regex), F.struct(F.lit(r.rank).alias("rank"), F.lit(len(r.rule)).alias("n"), F.lit(r.rule).alias("rule"), F.lit(r.action).alias("action"))) for r in loose]
+        fits = fits.unionByName(places.select("place", F.explode(F.array_compact(F.array(*each))).alias("fit")))
+    best = fits.groupBy("place").agg(F.max("fit").alias("best"))
+    verdict = F.struct(at("host").alias("host"), at("path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), F.col("best.rank").alias("rank"))
+    joined = keyed.select(F.struct(*pages.columns).alias("page"), into).join(best, F.concat(at("host"), at("path")) == F.col("place"), "left")
+    return joined.select("page.*", verdict.alias(into))

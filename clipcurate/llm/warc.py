@@ -86,24 +86,24 @@ def _concatenate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_warc(records: DataFrame, path: str, archive_bytes: int = 32 << 20) -> DataFrame:
     """Write ``records`` as gzipped WARC files ``path/archive=N/*`` and, first, their index ``path-index``; returns the index.
 
-    Index: ``(archive, offset, length, page_id, url, digest, payload_bytes)``. A record's archive is a hash of its id and
-    digest, its place in it follows these; so offsets are running sums over one archive of about ``archive_bytes``, known
+    Index: ``(archive, offset, length, page_id, url, digest, payload_bytes)``. A record's archive is a hash of its id, digest
+    and number among the records written, its place in it follows these; so records that repeat are spread, and offsets are running sums over one archive of about ``archive_bytes``, known
     before a byte of it is written. Then each archive's records are sorted the same way, put together in one task, and
     written by Spark's text writer, which commits whole files only, on whatever file system the path is. The writer ends
     each file with a zero byte, padding that gzip readers skip.
     """
     kinds = {"page_id": "long", "url": "string", "digest": "string", "payload_bytes": "long", "record": "string"}
     members = records.select(*kinds).mapInArrow(_gzip, ", ".join(f"{k} {v}" for k, v in kinds.items() if k != "record") + ", member binary")
-    members = materialize(members, "members")
+    members = materialize(members.withColumn("rid", F.monotonically_increasing_id()), "members")
     size = F.octet_length("member").cast("long")
     total = members.agg(F.sum(size)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    placed = members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")).withColumn("o", F.xxhash64("digest", "page_id"))
-    order = ["o", "page_id", "digest", "url"]
+    placed = members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest", "rid"), F.lit(archives)).cast("int")).withColumn("o", F.xxhash64("digest", "page_id"))
+    order = ["o", "rid"]
     before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", "o")
-    index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("o").write.parquet(f"{path}-index")
-    ordered = placed.repartition("archive").sortWithinPartitions("archive", *order).select("archive", "member")
+    index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", *order)
+    index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop(*order).write.parquet(f"{path}-index")
+    ordered = placed.repartition(archives, "archive").sortWithinPartitions("archive", *order).select("archive", "member")
     files = ordered.mapInArrow(_concatenate, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
     files.write.option("lineSep", "\0").partitionBy("archive").text(path)
     return records.sparkSession.read.parquet(f"{path}-index")
@@ -111,8 +111,8 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
 
 def _files(spark, path: str) -> DataFrame:
     """``(archive, file)`` of the written archives, from Spark's own listing of their folders."""
-    seen = spark.read.format("binaryFile").load(path)
-    return seen.select(F.col("archive").cast("int").alias("archive"), F.col("path").alias("file"))
+    seen = spark.read.format("binaryFile").load(path)  # the content isn't read
+    return seen.select(F.regexp_extract("path", r"archive=(\d+)/[^/]*$", 1).cast("int").alias("archive"), F.col("path").alias("file"))
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:

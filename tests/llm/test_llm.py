@@ -94,8 +94,23 @@ def test_near_copies_equal_brute_force(spark, max_rows):
     out = simhash.similar_components(df, max_rows=max_rows).collect()
     assert sorted((r["doc_id"], r["component"]) for r in out if r["doc_id"] is not None) == sorted([*enumerate(want), (7, want[7])])
     assert sorted((r["component"] for r in out if r["doc_id"] is None), key=str) == [3, None]
+    kept = simhash.drop_near_duplicates(df, max_rows=max_rows)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*set(want), None], key=str)
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of one id stand for themselves: what is unlike everything stays, of equal rows one does."""
+    rng = np.random.default_rng(6)
+    base = [str(x) for x in rng.integers(0, 10**9, 300)]
+    near, other = " ".join(base[:-2] + ["x", "y"]), " ".join(str(x) for x in rng.integers(0, 10**9, 300))
+    rows = [(1, " ".join(base)), (2, near), (2, other), (None, near), (3, other), (3, other), (None, "alone"), (None, "alone"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.lit(1))
     kept = simhash.drop_near_duplicates(df)
-    assert kept.columns == df.columns and kept.count() == len(set(want)) + 2 + (want[7] == 7)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], (None, "alone"), (4, None)], key=str)
+    out = simhash.simhash_components(df, shingle=4, radius=4).collect()
+    assert {r["component"] for r in out if r["fp"] == 0} == {4} and all(r["component"] is None for r in out if r["fp"] not in (0, *(x["fp"] for x in out if x["doc_id"] is not None)))
 
 
 def _jaccard_components(texts, least=0.8):
@@ -169,6 +184,16 @@ def test_embeddings_equal_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i for i in (500, 501, 502, 504))
 
 
+def test_embeddings_of_repeated_ids_and_in_doubles(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1e300, 0.0, 0.0]), (None, [0.0, 0.0, 1e-300]), (None, [0.0, 0.0, 2.0])]
+    out = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, 1, None), (None, 1, None)], key=str)
+    edge = [(0, [1.0, 0.0]), (1, [0.95, float(np.sqrt(1 - 0.95**2)) - 1e-12]), (2, [0.95 - 1e-12, float(np.sqrt(1 - (0.95 - 1e-12) ** 2))])]
+    out = embedding_dedup.embedding_components(spark.createDataFrame(edge, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in out] == [1, 2, 1]
+    assert embedding_dedup.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
 def test_rabitq_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 64))
@@ -285,6 +310,24 @@ def test_mixing_meets_targets(spark):
     assert mixed.columns == df.columns and mixing.take_mix(empty(spark)).count() == 0
 
 
+def test_mixing_spreads_rows_that_agree(spark):
+    rows = [(None, "a b c", "s0")] * 900 + [(i, "a b c d", "s1") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    out = mixing.mix_sources(df, leaf_rows=32, fan_in=4)
+    got = out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(abs(r["words"] - r["target"]) <= 4 and r["n"] == 900 for r in got) and len(got) == 2
+    assert mixing.take_mix(df.withColumn("__row", F.lit(1))).count() == out.agg(F.sum("copies")).first()[0]
+
+
+def test_url_rules_clashing_and_empty(spark):
+    rules = [url_filter.wildcard_rule("x*", "block"), url_filter.wildcard_rule("/ads/", "block"), url_filter.wildcard_rule("y", "allow", rank=2)]
+    df = spark.createDataFrame([(1, "http://ax/", 5), (2, "http://b/ads/", 6), (3, "http://xy/" + "z" * 200_000, 7)], "page_id long, url string, url_verdict int")
+    out = url_filter.judge_urls(df, rules)
+    assert out.columns == ["page_id", "url", "url_verdict", "url_verdict_"]
+    assert {r["page_id"]: (r["url_verdict"], r["url_verdict_"]["verdict"]) for r in out.collect()} == {1: (5, "block"), 2: (6, "block"), 3: (7, "allow")}
+    assert url_filter.judge_urls(df.limit(0), rules).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["https://A.Example.org/es/x", "http://example.org/en/12", "http://example.org/en/2?x=/es/", "http://b.com/fr/a", "http://b.com/de/", "http://example.org?x", None, "", "no scheme/org/", "http://notexample.org/es/", "http://x.com/ads/1"]
     df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)] + [(0, urls[0], "k")], "page_id long, url string, rule string")
@@ -412,6 +455,18 @@ def test_warc_round_trip(spark):
     assert len(some) == 1 and some[0]["payload_bytes"] == 100_000
 
 
+def test_warc_of_empty_tables_and_repeated_rows(spark):
+    schema = "page_id long, url string, html string"
+    path = common.scratch_path(spark, "warc")
+    index = warc.write_warc(warc.warc_records(spark.createDataFrame([], schema)), path)
+    assert warc.read_records(index, path).count() == 0
+    path = common.scratch_path(spark, "warc")
+    rows = [(7, "http://a", "x" * 50)] * 400 + [(None, None, None)] * 3
+    index = warc.write_warc(warc.warc_records(spark.createDataFrame(rows, schema)), path, archive_bytes=10_000)
+    out = warc.read_records(index, path).collect()
+    assert len(out) == 403 and sum(r["page_id"] == 7 for r in out) == 400 and index.groupBy("archive").count().agg(F.max("count")).first()[0] < 120
+
+
 def test_toxicity_learns_from_positives_and_unlabelled(spark):
     rng = np.random.default_rng(0)
     rows = [(i, " ".join(rng.choice(WORDS, 30)).replace("w", "abcd") + (" vile" if i % 6 == 0 else "")) for i in range(600)] + [(9000, None), (9001, "")]
@@ -425,6 +480,19 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert none.count() == 0
 
 
+def test_toxicity_of_rows_without_id(spark):
+    """Half a table without ids doesn't train; its rows are scored, and a column of the result's name stays."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(WORDS, 30)).replace("w", "abcd") + (" vile" if i % 6 == 0 else "") for i in range(600)]
+    docs = spark.createDataFrame([*enumerate(texts), *((None, t) for t in texts)], "doc_id long, text string").withColumn("toxicity", F.lit("own"))
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600) if i % 12 < 6], "doc_id long, toxic int")
+    rows, _ = toxicity.training_rows(docs, labels, F.lit(False), "doc_id", "text", "toxic", 10_000)
+    assert rows.where("doc_id is null").count() == 0 and rows.where("not positive").count() == 600
+    out = toxicity.toxicity_scores(docs, labels)
+    assert out.columns == ["doc_id", "text", "toxicity", "toxicity_"] and out.where("toxicity <> 'own'").count() == 0
+    assert out.where("(toxicity_.predicted = 1) <> (text like '%vile')").count() == 0
+
+
 @pytest.mark.parametrize("toxic_of_20, copied", [(7, False), (12, False), (9, True)])
 def test_toxicity_where_toxic_texts_are_common(spark, toxic_of_20, copied):
     """Priors of 0.35, 0.6 and 0.45; in the last, one toxic text is copied into a third of the rows."""
