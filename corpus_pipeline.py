@@ -12,7 +12,7 @@ from clipcurate.llm.common import materialize, table
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from the labels of the training side."""
     scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("toxicity.predicted") == 0).select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1])["predicted"] == 0).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
