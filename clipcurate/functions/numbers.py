@@ -38,7 +38,3 @@ def norm(parts: list[Column]) -> Column:
 def nonfinite(a: Column) -> Column:
     """How many elements of an array are NaN or infinite."""
     return F.size(F.filter(a, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
-
-
-def greatest(*cs: Column) -> Column:
-    return F.greatest(*cs) if len(cs) > 1 else cs[0]

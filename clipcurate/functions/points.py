@@ -10,35 +10,33 @@ def _count(kp: Column) -> Column:
     return F.floor(F.size(kp) / 3).cast("int")
 
 
-def _sum(kp: Column, of) -> Column:
-    return F.aggregate(F.sequence(F.lit(0), _count(kp) - 1), F.lit(0.0), lambda s, i: s + of(i))
-
-
-def centroid(kp: Column, axis: int) -> Column:
-    return _sum(kp, lambda i: F.get(kp, i * 3 + axis)) / _count(kp)
-
-
 def off_axis_deg(kp: Column) -> Column:
-    """Angle between the camera's viewing direction, -z, and the direction of the centroid."""
-    x, y, z = (centroid(kp, k) for k in range(3))
-    return F.degrees(F.atan2(F.sqrt(x * x + y * y), -z))
+    """Angle between the camera's viewing direction, -z, and the direction of the points' sum, which is that of their centroid."""
+    zero = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+    add = lambda s, i: F.struct(*[(s[a] + F.get(kp, i * 3 + k)).alias(a) for k, a in enumerate("xyz")])
+    angle = lambda s: F.degrees(F.atan2(F.sqrt(s.x * s.x + s.y * s.y), -s.z))
+    return F.aggregate(F.sequence(F.lit(0), _count(kp) - 1), zero, add, angle)
 
 
 def aperture(kp: Column) -> Column:
     """Mean distance of all points (the first included) to the first."""
     far = lambda i: F.sqrt(sum((F.get(kp, i * 3 + k) - F.get(kp, F.lit(k))) ** 2 for k in range(3)))
-    return _sum(kp, far) / _count(kp)
-
-
-def into_head(p: list[Column], head: Column) -> list[Column]:
-    """World point p in the frame of a head pose (xyz + quaternion xyzw): (p - t) R; a null rotation is the identity."""
-    q = [F.get(head, F.lit(k)) for k in range(3, 7)]
-    n = F.sqrt(sum(c * c for c in q))
-    unit = [F.when(n < 1e-12, F.lit(1.0 if k == 3 else 0.0)).otherwise(c / n) for k, c in enumerate(q)]
-    x, y, z, w = unit
-    d = [p[k] - F.get(head, F.lit(k)) for k in range(3)]
-    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
-    return [d[0] * rows[0][k] + d[1] * rows[1][k] + d[2] * rows[2][k] for k in range(3)]
+    return F.aggregate(F.sequence(F.lit(0), _count(kp) - 1), F.lit(0.0), lambda s, i: s + far(i)) / _count(kp)
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[(k + 1) % 3] * b[(k + 2) % 3] - a[(k + 2) % 3] * b[(k + 1) % 3] for k in range(3)]
+
+
+def into_head(p: list[Column], head: list[Column]) -> list[Column]:
+    """World point p as a head pose (x, y, z and a quaternion x, y, z, w) sees it: turned back by the conjugate quaternion, with
+    two cross products. A null rotation turns nothing."""
+    length = F.sqrt(sum(c * c for c in head[3:]))
+    part = lambda c, none: F.when(length < 1e-12, F.lit(none)).otherwise(c / length)
+    axis, w = [-part(c, 0.0) for c in head[3:6]], part(head[6], 1.0)
+    d = [a - b for a, b in zip(p, head[:3], strict=True)]
+    t = [2 * c for c in _cross(axis, d)]
+    return [a + w * b + c for a, b, c in zip(d, t, _cross(axis, t), strict=True)]
 
 
 def pinhole(p: list[Column], f: float, cx: float, cy: float) -> tuple[Column, Column, Column]:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipcurate.functions.points import into_head, pinhole
-from clipcurate.operators import compare, embed, gate, profile, ridge, sampling, signals
+from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals
 from clipcurate.sources import bind, ingest
+from clipcurate.sources.store import settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,6 +96,11 @@ def candidate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signals.candidate_signals(bind.frames(spark, sf_dir)).drop("lab"))
 
 
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that rules and audits read, computed once."""
+    return settled(signals.quality_signals(bind.frames(spark, sf_dir)).select("episode_hash", "lab", *_SIGNAL_COLUMNS))
+
+
 def _gate_sql(rules, scope: str = "") -> str:
     flags = []
     for r in rules:
@@ -113,7 +119,7 @@ _RULE_COLUMNS = [f"rule_{r.name}" for r in BOUND_RULES]
 
 @query(f"WITH {_SIGNALS}, {_gate_sql(BOUND_RULES)} SELECT episode_hash, lab, {', '.join(_RULE_COLUMNS)}, drop_reason, drop_reason = '' AS keep FROM gated")
 def gate_keep_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gated = gate.apply_gate(signals.quality_signals(bind.frames(spark, sf_dir)), BOUND_RULES)
+    gated = gate.apply_gate(_signals(spark, sf_dir), BOUND_RULES)
     return gated.select("episode_hash", "lab", *_RULE_COLUMNS, "drop_reason", "keep")
 
 
@@ -123,7 +129,7 @@ def _line(r) -> str:
 
 @query(f"WITH {_SIGNALS}, {_gate_sql(BOUND_RULES)} {' UNION ALL '.join(map(_line, BOUND_RULES))} UNION ALL SELECT 'ANY', '', '', count_if(drop_reason <> ''), round(100.0 * count_if(drop_reason <> '') / count(*), 6), 'any rule' FROM gated")
 def gate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gate.gate_audit(gate.apply_gate(signals.quality_signals(bind.frames(spark, sf_dir)), BOUND_RULES), BOUND_RULES))
+    return rounded(gate.gate_audit(gate.apply_gate(_signals(spark, sf_dir), BOUND_RULES), BOUND_RULES))
 
 
 _CROSS = tuple(r for r in BOUND_RULES if r.name not in ("jitter", "head_jump", "off_axis"))
@@ -134,12 +140,15 @@ _CROSS = tuple(r for r in BOUND_RULES if r.name not in ("jitter", "head_jump", "
     "round(100.0 * avg((drop_reason <> '')::INT), 6) AS pct_any, round(median(duration_s), 6) AS median_dur_s, round(median(motion_energy), 6) AS median_motion FROM gated GROUP BY lab"
 )
 def cross_lab_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gate.cross_group_audit(signals.quality_signals(bind.frames(spark, sf_dir)), rules=_CROSS))
+    return rounded(gate.cross_group_audit(_signals(spark, sf_dir), rules=_CROSS))
+
+
+_COMPARED = ("duration_s", "motion_energy", "path_len_total", "offaxis_deg_max", "frozen_run_max_s")
 
 
-@query("".join(["WITH ", _SIGNALS, " ", " UNION ALL ".join(f"SELECT lab, '{c}' AS signal, round(median({c}), 6) AS p50, round(quantile_cont({c}, 0.95), 6) AS p95 FROM sig GROUP BY lab" for c in ("duration_s", "motion_energy", "hand_speed_max"))]))
+@query("".join(["WITH ", _SIGNALS, " ", " UNION ALL ".join(f"SELECT lab, '{c}' AS signal, round(median({c}), 6) AS p50, round(quantile_cont({c}, 0.95), 6) AS p95 FROM sig GROUP BY lab" for c in _COMPARED)]))
 def lab_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gate.distribution_compare(signals.quality_signals(bind.frames(spark, sf_dir)), ["duration_s", "motion_energy", "hand_speed_max"]))
+    return rounded(gate.distribution_compare(signals.quality_signals(bind.frames(spark, sf_dir)).select("lab", *_COMPARED), list(_COMPARED)))
 
 
 _CATALOG = "cat AS (SELECT doc_id AS episode_hash, lang AS lab, source AS operator, (doc_id % 16)::VARCHAR AS scene, n_chars::DOUBLE AS num_frames, n_chars / 30.0::DOUBLE AS duration_s FROM documents)"
@@ -221,8 +230,8 @@ def selection_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _split(spark, sf_dir)
-    k, pool = sampling.budgets(split, [0.25, 0.5]), split.where("pool_gated")
+    split = settled(_split(spark, sf_dir).select("seed", "episode_hash", "operator", "scene", "split", "pool_gated"))
+    k, pool = settled(sampling.budgets(split, [0.25, 0.5])), split.where("pool_gated")
     arms = [sampling.select_random(pool, k, "episode_hash"), sampling.select_random(split.where("split = 'pool'"), k, "episode_hash", "random_nogate")]
     return sampling.union_all([*arms, sampling.select_concentrated(pool, k, "episode_hash", ["operator", "scene"])]).withColumn("rank", F.col("rank").cast("long"))
 
@@ -315,7 +324,7 @@ def _k_center_sql(k: int) -> str:
     out = "WITH v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings), p1 AS MATERIALIZED (SELECT pool, min(id) AS id FROM v GROUP BY pool), " + f"d1 AS MATERIALIZED (SELECT v.*, {dist('v.z', 'c.z')} AS d, v.id = c.id AS used FROM v JOIN p1 USING (pool) JOIN v c ON c.id = p1.id)"
     for i in range(2, k + 1):
         out += f", p{i} AS MATERIALIZED (SELECT pool, id FROM d{i - 1} WHERE NOT used QUALIFY row_number() OVER (PARTITION BY pool ORDER BY d DESC, id) = 1), d{i} AS MATERIALIZED (SELECT a.id, a.pool, a.z, least(a.d, {dist('a.z', 'c.z')}) AS d, a.used OR a.id = c.id AS used FROM d{i - 1} a JOIN p{i} USING (pool) JOIN v c ON c.id = p{i}.id)"
-    return out + " " + " UNION ALL ".join(f"SELECT pool, 'kcenter' AS condition, {i}::INT AS rank, id AS episode_hash, 'exact' AS mode FROM p{i}" for i in range(1, k + 1))
+    return out + " " + " UNION ALL ".join(f"SELECT pool, 'kcenter' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
 
 
 @query(_k_center_sql(5))
@@ -323,16 +332,58 @@ def select_k_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.select_varied(bind.vectors(spark, sf_dir), 5, "kcenter", "episode_hash", "z", ["pool"])
 
 
-@query()
+_PAIRS = """v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
+d AS MATERIALIZED (SELECT a.pool, a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1]-p[2])**2)) AS d FROM v a JOIN v b USING (pool))"""
+
+
+def _log_det_sql(k: int) -> str:
+    """Residuals of kernel vectors; the coefficients of earlier picks are columns."""
+    out = f"WITH {_PAIRS}, g AS (SELECT pool, 1 / greatest(median(d), 1e-9) AS g FROM d WHERE a < b AND d > 1e-12 GROUP BY pool), kern AS MATERIALIZED (SELECT pool, a, b, exp(-g * d) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS k FROM d JOIN g USING (pool)), s0 AS MATERIALIZED (SELECT pool, id, 1 + 1e-6 AS rest, false AS used FROM v)"
+    for i in range(1, k + 1):
+        before = "".join(f" - s.c{j} * q.c{j}" for j in range(1, i))
+        coef = f"(kern.k{before}) / sqrt(q.rest)"
+        kept = "".join(f"s.c{j}, " for j in range(1, i))
+        out += f", p{i} AS MATERIALIZED (SELECT * FROM s{i - 1} WHERE NOT used QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(rest, 12) DESC, id) = 1)"
+        out += f", s{i} AS MATERIALIZED (SELECT s.pool, s.id, {kept}{coef} AS c{i}, greatest(s.rest - ({coef})**2, 1e-12) AS rest, s.used OR s.id = q.id AS used FROM s{i - 1} s JOIN p{i} q USING (pool) JOIN kern ON kern.pool = s.pool AND kern.a = q.id AND kern.b = s.id)"
+    return out + " " + " UNION ALL ".join(f"SELECT pool, 'logdet' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
+
+
+def _facility_sql(k: int) -> str:
+    out = f"WITH {_PAIRS}, p1 AS MATERIALIZED (SELECT pool, a AS id FROM d GROUP BY pool, a QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(sum(d), 9), a) = 1), n1 AS MATERIALIZED (SELECT d.pool, d.b AS id, d.d AS gap FROM d JOIN p1 ON p1.pool = d.pool AND p1.id = d.a)"
+    for i in range(2, k + 1):
+        used = " UNION ALL ".join(f"SELECT id FROM p{j}" for j in range(1, i))
+        out += f", p{i} AS MATERIALIZED (SELECT d.pool, d.a AS id FROM d JOIN n{i - 1} n ON n.id = d.b WHERE d.a NOT IN ({used}) GROUP BY d.pool, d.a QUALIFY row_number() OVER (PARTITION BY d.pool ORDER BY round(sum(greatest(gap - d.d, 0)), 9) DESC, d.a) = 1)"
+        out += f", n{i} AS MATERIALIZED (SELECT n.pool, n.id, least(gap, d.d) AS gap FROM n{i - 1} n JOIN p{i} p USING (pool) JOIN d ON d.a = p.id AND d.b = n.id)"
+    return out + " " + " UNION ALL ".join(f"SELECT pool, 'facility' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
+
+
+@query(_log_det_sql(5))
 def select_log_det(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.select_varied(bind.vectors(spark, sf_dir), 5, "logdet", "episode_hash", "z", ["pool"])
 
 
-@query()
+@query(_facility_sql(5))
 def select_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.select_varied(bind.vectors(spark, sf_dir), 5, "facility", "episode_hash", "z", ["pool"])
 
 
+@query(f"WITH {_PAIRS} SELECT pool, round(1 / greatest(median(d), 1e-9), 6) AS gamma FROM d WHERE a < b AND d > 1e-12 GROUP BY pool")
+def bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embed.median_bandwidth(bind.vectors(spark, sf_dir), "episode_hash", "z", ["pool"]))
+
+
+@query("SELECT round(sum((x - m)**2), 4) AS spread FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) JOIN (SELECT k, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k) USING (k)")
+def pca_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All principal coordinates keep the points' squared distances from their mean."""
+    coords = embed.pca_coords(bind.vectors(spark, sf_dir), "z", 64)
+    return coords.select(F.explode("coords").alias("c")).agg(F.round(F.sum(F.col("c") ** 2), 4).alias("spread"))
+
+
+@query()
+def pca_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.pca_coords(bind.vectors(spark, sf_dir), "z", 20).select("episode_hash", "coords")
+
+
 _LZ = "v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings), c AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pool ORDER BY id) <= 3)"
 
 
@@ -345,7 +396,7 @@ def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bind.frames(spark, sf_dir)
-    p = into_head([F.get("left_ee", F.lit(k)) for k in range(3)], F.col("head"))
+    p = into_head([F.get("left_ee", F.lit(k)) for k in range(3)], [F.get("head", F.lit(k)) for k in range(7)])
     u, v, ok = pinhole(p, 133.0, 320.0, 240.0)
     inside: Column = ok & u.between(0, 640) & v.between(0, 480)
     return f.groupBy("episode_hash").agg((1 - F.avg(F.coalesce(inside, F.lit(False)).cast("double"))).alias("out_of_frame"))
@@ -395,14 +446,233 @@ def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.pivot_runs(bind.results(spark, sf_dir), "seed", ["view", "click", "purchase"], "mse"))
 
 
-# not registered: it did not end within 75 s at the smallest scale
+
+_TRACKS = ["left_ee", "right_ee", "head"]
+_SETTING = experiment.Setting(features=64)
+
+
+def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.frames(spark, sf_dir).select("episode_hash", "frame_idx", *[F.slice(t, 1, 3).alias(t) for t in _TRACKS])
+
+
+def _episodes(spark: SparkSession, sf_dir: str, features: bool = True) -> DataFrame:
+    """Gated suppliers with operators, scenes and features."""
+    rules = tuple(r for r in BOUND_RULES if r.signal == "duration_s")
+    f = signals.embedding_features(bind.frames(spark, sf_dir)).withColumn("duration_s", F.col("f_duration_s"))
+    meta = bind.suppliers(spark, sf_dir)
+    return settled(ingest.join_meta(gate.apply_gate(settled(f), rules), meta, ["operator", "scene"]))
+
+
+_POSES = """po AS (SELECT l_suppkey AS ep, row_number() OVER w - 1 AS f, l_quantity::FLOAT::DOUBLE AS q, (l_extendedprice / 1000)::FLOAT::DOUBLE AS e, (l_discount * 100)::FLOAT::DOUBLE AS d, (l_tax * 100)::FLOAT::DOUBLE AS t, (l_quantity / 10)::FLOAT::DOUBLE AS q10
+ FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)),
+wn AS (SELECT ep, unnest(range(10, n - 30, 15)) AS s FROM (SELECT ep, count(*) AS n FROM po GROUP BY ep) WHERE n >= 41),
+xs AS (SELECT wn.ep, s, (po.f - (s - 10)) * 9 + k AS k, [q, e, d, t, q, d, q10, t, d][k + 1] AS v FROM wn JOIN po ON po.ep = wn.ep AND po.f BETWEEN s - 10 AND s - 1, range(9) AS r(k)),
+ys AS (SELECT wn.ep, s, sum(abs((po.q - b.q)::FLOAT)::DOUBLE + abs((po.e - b.e)::FLOAT)::DOUBLE + abs((po.d - b.d)::FLOAT)::DOUBLE + abs((po.t - b.t)::FLOAT)::DOUBLE + abs((po.q - b.q)::FLOAT)::DOUBLE + abs((po.d - b.d)::FLOAT)::DOUBLE) AS moved FROM wn JOIN po b ON b.ep = wn.ep AND b.f = s - 1 JOIN po ON po.ep = wn.ep AND po.f BETWEEN s AND s + 29 GROUP BY ALL)"""
+
+
+@query(f"WITH {_POSES} SELECT ep AS episode_hash, s::INT AS start, count(*) AS n_x, round(sum(v * (k + 1)), 2) AS sum_x, round(any_value(moved), 2) AS moved FROM xs JOIN ys USING (ep, s) GROUP BY ep, s")
+def episode_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)
+    total = lambda a, of: F.round(F.aggregate(F.transform(a, of), F.lit(0.0), lambda s, x: s + x), 2)
+    return w.select("episode_hash", "start", F.size("x").cast("long").alias("n_x"), total("x", lambda x, i: x.cast("double") * (i + 1)).alias("sum_x"), total("y", lambda x: F.abs(x).cast("double")).alias("moved"))
+
+
+@query(f"WITH {_POSES} SELECT 'lab' || (s_nationkey % 3) AS run, k::INT AS k, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_pop(v) + 1e-6, 5) AS std FROM xs JOIN supplier ON s_suppkey = ep GROUP BY 1, 2")
+def train_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)
+    return rounded(ridge.moments(w, bind.suppliers(spark, sf_dir).select("episode_hash", F.col("lab").alias("run")), ["run"]), 5)
+
+
+@query()
 def select_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two random halves of the suppliers, fitted and scored on the suppliers of one lab."""
-    tracks = ["left_ee", "right_ee", "head"]
-    f = bind.frames(spark, sf_dir).select("episode_hash", "lab", "frame_idx", *[F.slice(t, 1, 3).alias(t) for t in tracks])
-    w = ridge.episode_windows(f, tracks)
-    eps = f.select("episode_hash", "lab").distinct()
-    seeded = sampling.random_split(eps.where("lab <> 'lab0'"), [0, 1], "episode_hash", 0.5).where("is_eval")
-    train = seeded.select(F.concat(F.lit("seed"), F.col("seed").cast("string")).alias("run"), "episode_hash")
+    w, eps = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)), bind.suppliers(spark, sf_dir)
+    seeded = settled(sampling.random_split(eps.where("lab <> 'lab0'"), [0, 1], "episode_hash", 0.5)).where("is_eval")
+    train = seeded.select(F.concat(F.lit("seed"), F.col("seed").cast("string")).alias("run"), "episode_hash", "seed")
     sides = eps.where("lab = 'lab0'").withColumn("run", F.explode(F.array(F.lit("seed0"), F.lit("seed1")))).select("run", F.lit("unseen_lab").alias("side"), "episode_hash")
-    return ridge.fit_and_score(w, train, sides, features=64)
+    return ridge.fit_and_score(w, train, sides, features=_SETTING.features)
+
+
+@query()
+def window_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, eps = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)), bind.suppliers(spark, sf_dir)
+    models = ridge.fit_models(w, eps.where("lab <> 'lab0'").select(F.lit("all").alias("run"), "episode_hash"), features=_SETTING.features)
+    own = w.join(eps.where("lab = 'lab0'").select("episode_hash"), "episode_hash", "left_semi")
+    return ridge.error_by_window(own, models["all"]) if models else own.select("episode_hash", "start")
+
+
+def _experiment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.assign_split(_episodes(spark, sf_dir), [0, 1, 2])
+
+
+@query()
+def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS))
+    return experiment.run_experiment(w, _experiment_split(spark, sf_dir), FEATURES, [0.25, 0.5], setting=_SETTING)
+
+
+@query()
+def geometric_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.run_selectors(_experiment_split(spark, sf_dir), FEATURES, [0.25, 0.5], experiment.VARIED)
+
+
+@query()
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = (_SETTING, experiment.Setting(alpha=0.1, features=64), experiment.Setting(features=32), experiment.Setting(features=64, history=5))
+    sweep = experiment.sensitivity_sweep(_poses(spark, sf_dir), _TRACKS, _experiment_split(spark, sf_dir), FEATURES, grid, conditions=("random", "kcenter", "concentrated"))
+    return compare.sensitivity_summary(sweep, experiment.METRICS)
+
+
+@query()
+def gate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS))
+    return experiment.gate_value(w, _episodes(spark, sf_dir), [0, 1, 2], _SETTING)
+
+
+@query()
+def gate_value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.gate_value_summary(settled(gate_value(spark, sf_dir)))
+
+
+_ARM = "row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'pick', episode_hash)), episode_hash)"
+_UPTO = "sum(n_windows) OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'until', episode_hash)), episode_hash ROWS UNBOUNDED PRECEDING) AS upto"
+_GATE_ARMS = f"""{_CATALOG}, med AS (SELECT median(duration_s) AS m FROM cat), g0 AS (SELECT episode_hash, {_W} AS n_windows, NOT (duration_s < 3 OR duration_s > 3 * m OR duration_s < 0.15 * m) AS keep FROM cat, med),
+rs AS (SELECT g0.*, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'eval', episode_hash)), episode_hash) <= floor(count(*) OVER (PARTITION BY seed) * 0.25) AS is_eval FROM g0, (SELECT unnest([0, 1]) AS seed)),
+bud AS (SELECT seed, count(*) AS k, sum(n_windows) AS target FROM rs WHERE keep AND NOT is_eval GROUP BY seed)"""
+
+
+@query(f"""WITH {_GATE_ARMS} SELECT seed, condition, episode_hash FROM (
+SELECT seed, 'gated_equal_episodes' AS condition, episode_hash FROM rs WHERE keep AND NOT is_eval
+UNION ALL SELECT seed, 'ungated_equal_episodes', episode_hash FROM (SELECT rs.*, k, {_ARM.replace("seed", "rs.seed")} AS r FROM rs JOIN bud ON bud.seed = rs.seed WHERE NOT is_eval) WHERE r <= k
+UNION ALL SELECT seed, 'gated_equal_frames', episode_hash FROM (SELECT rs.seed, episode_hash, n_windows, target, {_UPTO.replace("seed", "rs.seed")} FROM rs JOIN bud ON bud.seed = rs.seed WHERE keep AND NOT is_eval AND n_windows > 0) WHERE upto - n_windows < target
+UNION ALL SELECT seed, 'ungated_equal_frames', episode_hash FROM (SELECT rs.seed, episode_hash, n_windows, target, {_UPTO.replace("seed", "rs.seed")} FROM rs JOIN bud ON bud.seed = rs.seed WHERE NOT is_eval AND n_windows > 0) WHERE upto - n_windows < target)""")
+def gate_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = gate.apply_gate(bind.catalog(spark, sf_dir), _LENGTH_RULES).withColumn("n_windows", ridge.window_count("num_frames"))
+    return experiment.gate_arms(gated, [0, 1])[0].select("seed", "condition", "episode_hash")
+
+
+_KEPT = f"{_CATALOG}, med AS (SELECT median(duration_s) AS m FROM cat), kept AS (SELECT cat.*, NOT (duration_s < 3 OR duration_s > 3 * m OR duration_s < 0.15 * m) AS keep, concat_ws('|', CASE WHEN duration_s < 3 THEN 'too_short' END, CASE WHEN duration_s > 3 * m THEN 'runaway' END, CASE WHEN duration_s < 0.15 * m THEN 'fragment' END) AS why, m FROM cat, med)"
+
+
+@query(f"WITH {_KEPT} SELECT count(*) AS n_total, count_if(NOT keep) AS n_dropped, round(max(CASE WHEN NOT keep THEN duration_s END), 6) AS longest_dropped, round(median(duration_s), 6) AS median_dur, round(100.0 * count_if(NOT keep) / count(*), 6) AS pct_dropped, count_if(keep) AS n_pool, greatest(5, floor(count_if(keep) * 0.25))::BIGINT AS k FROM kept")
+def headline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.headline_stats(gate.apply_gate(bind.catalog(spark, sf_dir), _LENGTH_RULES)))
+
+
+@query(f"WITH {_RUNS}, m AS (SELECT condition, avg(mse) AS mean FROM res GROUP BY condition) SELECT condition, round(mean, 6) AS mean, round(100.0 * (mean / (SELECT mean FROM m WHERE condition = 'view') - 1), 6) AS pct FROM m")
+def condition_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(compare.condition_headline(bind.results(spark, sf_dir), "mse", "view"))
+
+
+@query(f"WITH {_KEPT}, o AS (SELECT operator, row_number() OVER (ORDER BY operator) - 1 AS op FROM (SELECT DISTINCT coalesce(operator, '') AS operator FROM cat)), s AS (SELECT scene, row_number() OVER (ORDER BY scene) - 1 AS sc FROM (SELECT DISTINCT scene FROM cat)) SELECT episode_hash, op, sc, round(duration_s, 1) AS dur, keep, why FROM kept JOIN o ON o.operator = coalesce(kept.operator, '') JOIN s USING (scene)")
+def episode_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported records, parsed again."""
+    cat = bind.catalog(spark, sf_dir)
+    gated = gate.apply_gate(cat, _LENGTH_RULES).withColumn("motion_energy", F.lit(float("nan")))
+    out = compare.export_episodes_json(gated, profile.ordinal_codes(cat, "operator"), profile.ordinal_codes(cat, "scene"))
+    return out.select("episode_hash", F.inline(F.array(F.from_json("json", "op long, sc long, dur double, keep boolean, why string"))))
+
+
+_SEEN = "SELECT conv_id AS episode_hash, count(*) AS n_frames, round(avg((length(text) % 3 > 0)::INT), 6) AS hand_visible_frac, round(avg(length(text) % 3), 6) AS mean_hands_per_frame, count_if(length(text) % 3 >= 2) AS frames_with_two_hands FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
+
+
+@query(_SEEN)
+def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("episode_hash"), (F.length("text") % 3).alias("n_hands"))
+    return rounded(camera.visibility_rollup(seen))
+
+
+_KP = {"left": ("q", "d", "t-5"), "right": ("t", "d", "q-30")}
+
+
+def _camera_sql() -> str:
+    turned = "(SELECT [x + w*(2*(ay*z - az*y)) + ay*2*(ax*y - ay*x) - az*2*(az*x - ax*z), y + w*(2*(az*x - ax*z)) + az*2*(ay*z - az*y) - ax*2*(ax*y - ay*x), z + w*(2*(ax*y - ay*x)) + ax*2*(az*x - ax*z) - ay*2*(ay*z - az*y)])"
+    arms = []
+    for hand, (a, b, c) in _KP.items():
+        pts = [(a, b, c), (f"{a}+1", f"{b}+{c}", c), (a, f"{b}-2", f"{c}+d"), (f"({a})/2", b, f"{c}-3")]
+        arms.append(" UNION ALL ".join(f"SELECT ep, f, '{hand}' AS hand, ({x})::DOUBLE AS px, ({y})::DOUBLE AS py, ({z})::DOUBLE AS pz, q/10 AS hx, t AS hy, d AS hz, t/8/m AS ux, d/10/m AS uy, q/50/m AS uz, 1/m AS w FROM n" for x, y, z in pts))
+    return f"""WITH l AS (SELECT l_suppkey AS ep, row_number() OVER (PARTITION BY l_suppkey) AS f, l_quantity AS q, l_discount*100 AS d, l_tax*100 AS t FROM lineitem), n AS (SELECT *, sqrt((t/8)**2 + (d/10)**2 + (q/50)**2 + 1) AS m FROM l),
+p AS ({" UNION ALL ".join(arms)}), h AS (SELECT *, px-hx AS x, py-hy AS y, pz-hz AS z, -ux AS ax, -uy AS ay, -uz AS az FROM p), c AS (SELECT ep, f, hand, px, py, pz, {turned} AS g FROM h),
+s AS (SELECT ep, f, hand, coalesce(pz > 0.01 AND 133*px/pz+320 >= 0 AND 133*px/pz+320 < 640 AND 133*py/pz+240 >= 0 AND 133*py/pz+240 < 480, false) AS raw, coalesce(g[3] > 0.01 AND 133*g[1]/g[3]+320 >= 0 AND 133*g[1]/g[3]+320 < 640 AND 133*g[2]/g[3]+240 >= 0 AND 133*g[2]/g[3]+240 < 480, false) AS head FROM c)
+""" + " UNION ALL ".join(f"SELECT ep AS episode_hash, '{m}' AS model, round(1 - avg(CASE WHEN hand = 'left' THEN {m}::INT END), 5) AS left, round(1 - avg(CASE WHEN hand = 'right' THEN {m}::INT END), 5) AS right FROM s GROUP BY ep" for m in ("raw", "head"))
+
+
+@query(_camera_sql())
+def keypoints_out_of_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(camera.out_of_frame_fraction(bind.frames(spark, sf_dir)), 5)
+
+
+@query("SELECT doc_id AS episode_hash, (quality IS NOT NULL)::INT AS has_annotations FROM labels")
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("episode_hash"), F.when(F.col("quality").isNotNull(), 1).alias("n_annotations"))
+    return ingest.has_annotations(log)
+
+
+@query("SELECT d.doc_id AS episode_hash, l.quality FROM documents d LEFT JOIN (SELECT doc_id, any_value(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
+def with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "episode_hash")
+    return ingest.join_meta(bind.catalog(spark, sf_dir).select("episode_hash"), labels, ["quality"])
+
+
+@query("SELECT doc_id AS episode_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def having_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("episode_hash"))
+    return ingest.having(bind.catalog(spark, sf_dir), done, "episode_hash").select("episode_hash")
+
+
+_LOG = "lg AS (SELECT o_orderstatus AS status, o_orderkey % 50 + 40 AS total_frames, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 51 + 40 END AS sql_num_frames, o_orderkey % 2 AS n_annotations, o_orderkey % 53 + 40 AS padded_len FROM orders)"
+
+
+@query(f"WITH {_LOG} SELECT status, count(*) AS episodes, count_if(total_frames <> sql_num_frames) AS length_differs, count_if(n_annotations > 0) AS annotated, count_if(padded_len > total_frames) AS padded FROM lg GROUP BY status")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("status"), (k % 50 + 40).alias("total_frames"), F.when(k % 3 > 0, k % 51 + 40).alias("sql_num_frames"), (k % 2).alias("n_annotations"), (k % 53 + 40).alias("padded_len"))
+    return ingest.ingest_report(log)
+
+
+@query("SELECT l_suppkey AS episode_hash, count(*) AS frames FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey) - 1 AS f FROM lineitem) WHERE l_suppkey % 3 = 0 OR f < l_suppkey % 7 * 100 OR l_suppkey % 7 = 0 GROUP BY l_suppkey")
+def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("episode_hash")
+    attrs = bind.suppliers(spark, sf_dir).select("episode_hash", F.when(k % 3 > 0, k % 7 * 100).alias("total_frames"))
+    return ingest.trim_padding(bind.frames(spark, sf_dir).select("episode_hash", "frame_idx"), attrs).groupBy("episode_hash").agg(F.count(F.lit(1)).alias("frames"))
+
+
+_LIST = '''ls AS (SELECT page_id % 40 AS episode, CASE WHEN page_id % 5 < 2 THEN 'images' || (page_id % 2) WHEN page_id % 5 < 4 THEN 'poses' ELSE 'gaze' END AS "array", length(html) AS size FROM pages)'''
+
+
+@query(f'''WITH {_LIST} SELECT "array", count(DISTINCT episode) AS episodes, sum(size)::BIGINT AS bytes, round(sum(size) / count(DISTINCT episode), 6) AS mean_bytes, starts_with("array", 'images') AS is_image FROM ls GROUP BY "array"''')
+def storage_by_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_storage(spark, sf_dir))
+
+
+def _storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    name = F.when(k % 5 < 2, F.concat(F.lit("images"), (k % 2).cast("string"))).when(k % 5 < 4, "poses").otherwise("gaze")
+    listing = spark.read.parquet(f"{sf_dir}/pages.parquet").select((k % 40).alias("episode"), F.concat(F.lit("data/"), (k % 40).cast("string"), F.lit("/"), name, F.lit("/c/0")).alias("key"), F.length("html").alias("size"), F.concat(F.lit("data/"), (k % 40).cast("string")).alias("prefix"))
+    return ingest.storage_by_array(listing, prefix="prefix")
+
+
+@query(f'''WITH {_LIST} SELECT starts_with("array", 'images') AS is_image, sum(size)::BIGINT AS bytes, round(sum(size) / 40 * 572, 6) AS projected_bytes FROM ls GROUP BY 1''')
+def storage_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ingest.storage_projection(_storage(spark, sf_dir), 40, 572))
+
+
+@query("SELECT doc_id AS episode_hash FROM documents WHERE lang = 'en' AND doc_id % 4 <> 0 AND trim(coalesce(text, '')) <> ''")
+def catalog_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = ingest.read_catalog(spark, f"{sf_dir}/documents.parquet").withColumn("is_deleted", F.when(F.col("doc_id") % 4 == 0, True))
+    return ingest.slice_catalog(ingest.live(d), path="text", lang="en").select(F.col("doc_id").alias("episode_hash"))
+
+
+@query("SELECT l_suppkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
+def pruned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.read_frames(spark, f"{sf_dir}/lineitem.parquet", ["l_suppkey", "l_quantity"], "R", "l_returnflag")
+
+
+@query(f"WITH {_CATALOG} SELECT DISTINCT scene FROM cat ORDER BY scene LIMIT 15")
+def first_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.first_values(bind.catalog(spark, sf_dir))
+
+
+@query(f"WITH {_KEPT}, t AS (SELECT 'typical' AS kind, episode_hash, duration_s AS value FROM kept WHERE keep ORDER BY abs(duration_s - m), episode_hash LIMIT 2), l AS (SELECT 'longest_dropped' AS kind, episode_hash, duration_s AS value FROM kept WHERE NOT keep ORDER BY duration_s DESC, episode_hash LIMIT 2) SELECT kind, episode_hash, round(value, 6) AS value FROM t UNION ALL SELECT kind, episode_hash, round(value, 6) FROM l")
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gate.exemplars(gate.apply_gate(bind.catalog(spark, sf_dir), _LENGTH_RULES)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipcurate.functions.numbers import number, test
+from clipcurate.operators.profile import exact_percentiles
 
 
 @dataclass(frozen=True)
@@ -53,13 +54,12 @@ def apply_gate(df: DataFrame, rules: tuple[GateRule, ...] = RULES, median_scope:
     out = df
     signals = sorted({r.signal for r in rules if r.of_median and r.signal in df.columns})
     if signals:
-        medians = [F.median(number(F.col(s))).alias(f"__median_{s}") for s in signals]
-        if median_scope:
-            few = df.groupBy(*[F.col(c).alias(f"__{c}") for c in median_scope]).agg(*medians)
+        for sig in signals:
+            few = exact_percentiles(df, list(median_scope), sig, {f"__median_{sig}": 0.5})
+            few = few.select(*[F.col(c).alias(f"__{c}") for c in median_scope], f"__median_{sig}")
             on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in median_scope]
-            out = out.join(few, on, "left").drop(*(f"__{c}" for c in median_scope))
-        else:
-            out = out.join(F.broadcast(df.agg(*medians)), how="cross")  # one row
+            out = out.join(few, on, "left") if on else out.join(F.broadcast(few), how="left")  # without a scope: one row
+            out = out.drop(*(f"__{c}" for c in median_scope))
     for r in rules:
         if r.signal not in df.columns or r.labs and lab not in df.columns:
             flag = F.lit(False)
@@ -91,25 +91,31 @@ def cross_group_audit(signals: DataFrame, by: str = "lab", rules: tuple[GateRule
     """Per group: episodes, percent that each rule flags (medians of the group), ANY, median duration and motion."""
     gated = apply_gate(signals, rules, median_scope=(by,))
     pct = [(100.0 * F.avg(F.col(f"rule_{r.name}").cast("double"))).alias(f"pct_{r.name}") for r in rules]
-    return gated.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_episodes"), *pct, (100.0 * F.avg((~F.col("keep")).cast("double"))).alias("pct_any"),
-        F.median(number(F.col("duration_s"))).alias("median_dur_s"), F.median(number(F.col("motion_energy"))).alias("median_motion"),
-    )
+    out = gated.groupBy(by).agg(F.count(F.lit(1)).alias("n_episodes"), *pct, (100.0 * F.avg((~F.col("keep")).cast("double"))).alias("pct_any"))
+    for col, name in (("duration_s", "median_dur_s"), ("motion_energy", "median_motion")):
+        out = out.join(exact_percentiles(signals, [by], col, {name: 0.5}).withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+    return out
 
 
 def distribution_compare(df: DataFrame, cols: list[str], by: str = "lab", points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """(group, signal, p50, p95, ...), long."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), number(F.col(c)).alias("value")) for c in cols])).alias("x")
-    return df.select(by, each).select(by, "x.*").groupBy(by, "signal").agg(*[F.percentile("value", F.lit(p)).alias(f"p{round(100 * p)}") for p in points])
-
-
-def exemplars(gated: DataFrame, n: int = 3, key: str = "episode_hash", length: str = "duration_s") -> DataFrame:
-    """The n kept episodes nearest the median length, the n longest dropped ones, and the n shortest dropped; ties by key."""
-    middle = F.broadcast(gated.where("keep").agg(F.median(length).alias("__middle")))
-    near = gated.where("keep").join(middle, how="cross").orderBy(F.abs(F.col(length) - F.col("__middle")), key).limit(n).select(F.lit("typical").alias("kind"), key, length)
-    gone = gated.where("not keep")
-    long_ = gone.orderBy(F.desc(length), key).limit(n).select(F.lit("longest_dropped").alias("kind"), key, length)
-    return near.unionByName(long_).unionByName(gone.orderBy(length, key).limit(n).select(F.lit("shortest_dropped").alias("kind"), key, length))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")
+    return exact_percentiles(df.select(by, each).select(by, "x.*"), [by, "signal"], "value", {f"p{round(100 * p)}": p for p in points})
+
+
+def exemplars(gated: DataFrame, n: int = 2, key: str = "episode_hash", length: str = "duration_s", off_axis: tuple[str, str] | None = None) -> DataFrame:
+    """(kind, episode, value): the n kept episodes nearest the median length, and the n longest dropped ones; if fewer are
+    dropped, the shortest dropped fill up. With the names of the angle and share columns, also the n kept ones of the least
+    ``off_axis`` angle and the n off-axis ones of the largest share. Ties by key."""
+    pick = lambda rows, order, kind, col: rows.orderBy(order, key).limit(n).select(F.lit(kind).alias("kind"), key, F.col(col).cast("double").alias("value"))
+    middle = F.broadcast(exact_percentiles(gated, [], length, {"__middle": 0.5}))  # one row
+    kept, gone = gated.where("keep"), gated.where("not keep")
+    out = pick(kept.join(middle, how="cross"), F.abs(F.col(length) - F.col("__middle")), "typical", length)
+    out = out.unionByName(pick(gone, F.desc(length), "longest_dropped", length))
+    if off_axis:
+        angle, share = off_axis
+        out = out.unionByName(pick(kept, F.asc_nulls_last(angle), "least_off_axis", angle)).unionByName(pick(gated.where("rule_off_axis"), F.desc(share), "most_off_axis", share))
+    return out
 
 
 def flag_prevalence(df: DataFrame, flags: dict[str, Column]) -> DataFrame:

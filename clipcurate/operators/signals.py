@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipcurate.functions.numbers import clean_array, nonfinite, norm
 from clipcurate.functions.points import aperture, off_axis_deg
+from clipcurate.sources.store import settled
 
 FPS = 30.0
 TRACKS, HANDS, KEYPOINTS = ("left_ee", "right_ee", "head"), ("left", "right"), ("left_kp", "right_kp")
@@ -14,37 +15,35 @@ TRACKS, HANDS, KEYPOINTS = ("left_ee", "right_ee", "head"), ("left", "right"), (
 
 def frame_scalars(frames: DataFrame) -> DataFrame:
     """Numbers of each frame alone, before the exchange: what they stand for (the wide keypoints) needn't be shuffled."""
-    out = frames
+    own = {}
     for c in (*TRACKS, *KEYPOINTS):
-        out = out.withColumn(f"bad_{c}", nonfinite(F.col(c))).withColumn(f"size_{c}", F.size(c))
+        own |= {f"bad_{c}": nonfinite(F.col(c)), f"size_{c}": F.size(c)}
     for h in HANDS:
-        out = out.withColumn(f"angle_{h}", off_axis_deg(F.col(f"{h}_kp"))).withColumn(f"aperture_{h}", aperture(F.col(f"{h}_kp")))
-    for c in TRACKS:
-        out = out.withColumn(c, clean_array(F.col(c)))
-    both = norm([F.get("left_ee", F.lit(k)) - F.get("right_ee", F.lit(k)) for k in range(3)])
-    return out.withColumn("hand_dist", both).drop(*KEYPOINTS)
+        own |= {f"angle_{h}": off_axis_deg(F.col(f"{h}_kp")), f"aperture_{h}": aperture(F.col(f"{h}_kp"))}
+    clean = {c: clean_array(F.col(c)) for c in TRACKS}
+    out = frames.withColumns(own | clean).drop(*KEYPOINTS)
+    xyz = {f"{c}_{a}": F.get(c, F.lit(k)) for c in TRACKS for k, a in enumerate("xyz")}
+    return out.withColumns(xyz | {"hand_dist": norm([F.get("left_ee", F.lit(k)) - F.get("right_ee", F.lit(k)) for k in range(3)])})
 
 
 def steps(frames: DataFrame, episode: str = "episode_hash", order: str = "frame_idx") -> DataFrame:
     """Adds, for each track: ``step_*`` (distance from the frame before), ``same_*`` (nothing changed), ``run_*`` (unchanged
-    steps up to here), and the head's quaternion step ``turn``; all NULL on an episode's first frame."""
+    steps up to here), the hands' ``acc_*`` and the head's quaternion step ``turn``; all NULL on an episode's first frame.
+    The tracks themselves are left behind, but for the coordinates ``*_x``, ``*_y``, ``*_z``."""
     w = Window.partitionBy(episode).orderBy(order)
-    out = frames.withColumn("pos", F.row_number().over(w))
-    for c in TRACKS:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
-    for c in TRACKS:
-        gone = F.col(c).isNull() | F.col(f"prev_{c}").isNull()
-        moved = lambda low, high, c=c: norm([F.get(c, F.lit(k)) - F.get(f"prev_{c}", F.lit(k)) for k in range(low, high)])
-        out = out.withColumn(f"step_{c}", F.when(~gone, moved(0, 3))).withColumn(f"same_{c}", F.when(~gone, F.col(c) == F.col(f"prev_{c}")))
-        if c == "head":
-            out = out.withColumn("turn", F.when(~gone, moved(3, 7)))
+    now = F.struct(*TRACKS)
+    out = frames.withColumns({"pos": F.row_number().over(w), "prev": F.lag(now).over(w), "prev2": F.lag(now, 2).over(w)})
+
+    def moved(a: Column, b: Column, low: int, high: int) -> Column:
+        return F.when(a.isNotNull() & b.isNotNull(), norm([F.get(a, F.lit(k)) - F.get(b, F.lit(k)) for k in range(low, high)]))
+
+    own = {f"step_{c}": moved(F.col(c), F.col("prev")[c], 0, 3) for c in TRACKS} | {f"same_{c}": F.col(c) == F.col("prev")[c] for c in TRACKS}
+    own |= {"turn": moved(F.col("head"), F.col("prev")["head"], 3, 7)}
+    own |= {f"acc_{h}": (own[f"step_{h}_ee"] - moved(F.col("prev")[f"{h}_ee"], F.col("prev2")[f"{h}_ee"], 0, 3)) * FPS * FPS for h in HANDS}
+    out = out.withColumns(own).drop("prev", "prev2", *TRACKS)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    for c in TRACKS:
-        broken = F.last(F.when(~F.coalesce(F.col(f"same_{c}"), F.lit(False)), F.col("pos")), ignorenulls=True).over(upto)
-        out = out.withColumn(f"run_{c}", F.col("pos") - broken)
-    for h in HANDS:
-        out = out.withColumn(f"acc_{h}", (F.col(f"step_{h}_ee") - F.lag(f"step_{h}_ee").over(w)) * FPS * FPS)
-    return out.drop(*(f"prev_{c}" for c in TRACKS))
+    broken = lambda c: F.last(F.when(~F.coalesce(F.col(f"same_{c}"), F.lit(False)), F.col("pos")), ignorenulls=True)
+    return out.withColumns({f"run_{c}": F.col("pos") - broken(c).over(upto) for c in TRACKS})
 
 
 def _pooled(of) -> tuple[Column, Column]:
@@ -55,7 +54,7 @@ def _pooled(of) -> tuple[Column, Column]:
 
 def signal_columns() -> list[Column]:
     """Aggregates for the quality signals; an absent track has its default, not a missing value."""
-    n = F.count("left_ee").cast("long")
+    n = F.count("left_ee_x").cast("long")
     out = [n.alias("n_frames"), (n / FPS).alias("duration_s")]
     nan = {c: F.coalesce(F.sum(f"bad_{c}") / F.sum(f"size_{c}"), F.lit(1.0)) for c in (*TRACKS, *KEYPOINTS)}
     out += [v.alias(f"nan_{k}") for k, v in nan.items()] + [F.greatest(*nan.values()).alias("nan_max")]
@@ -69,9 +68,10 @@ def signal_columns() -> list[Column]:
     out += [F.greatest(*share.values()).alias("offaxis_max"), F.greatest(*angle.values()).alias("offaxis_deg_max")]
     for h in HANDS:
         t = f"{h}_ee"
-        first, last = (f(F.when(F.col(t).isNotNull(), F.col(t)), F.when(F.col(t).isNotNull(), F.col("pos"))) for f in (F.min_by, F.max_by))
+        there = F.struct(*[f"{t}_{a}" for a in "xyz"])
+        first, last = (f(there, F.when(F.col(f"{t}_x").isNotNull(), F.col("pos"))) for f in (F.min_by, F.max_by))
         out += [F.coalesce(F.sum(f"step_{t}"), F.lit(0.0)).alias(f"path_len_{h}"), F.coalesce(F.avg(f"step_{t}") * FPS, F.lit(0.0)).alias(f"speed_mean_{h}")]
-        out += [norm([F.get(last, F.lit(k)) - F.get(first, F.lit(k)) for k in range(3)]).alias(f"net_disp_{h}")]
+        out += [norm([last[f"{t}_{a}"] - first[f"{t}_{a}"] for a in "xyz"]).alias(f"net_disp_{h}")]
     fast, count = _pooled(lambda v: (v > 10).cast("double"))
     total, _ = _pooled(lambda v: v)
     out += [sum(F.coalesce(F.sum(f"step_{h}_ee"), F.lit(0.0)) for h in HANDS).alias("path_len_total")]
@@ -82,16 +82,16 @@ def signal_columns() -> list[Column]:
 
 def feature_columns() -> list[Column]:
     """Aggregates for the 41 features ``f_*``; a hand or head of fewer than 3 frames has none of its own."""
-    n = F.count("left_ee").cast("long")
+    n = F.count("left_ee_x").cast("long")
     out = [(n / FPS).alias("f_duration_s"), F.log1p(n / FPS).alias("f_log_duration")]
     for h in HANDS:
-        t, enough = f"{h}_ee", F.count(f"{h}_ee") >= 3
+        t, enough = f"{h}_ee", F.count(f"{h}_ee_x") >= 3
         v = F.col(f"step_{t}") * FPS
-        ext = [F.max(F.get(t, F.lit(k))) - F.min(F.get(t, F.lit(k))) for k in range(3)]
+        ext = [F.max(f"{t}_{a}") - F.min(f"{t}_{a}") for a in "xyz"]
         box = F.greatest(ext[0], F.lit(1e-6)) * F.greatest(ext[1], F.lit(1e-6)) * F.greatest(ext[2], F.lit(1e-6))
         own = {"path": F.sum(f"step_{t}"), "speed_mean": F.avg(v), "speed_std": F.stddev_pop(v), "speed_p90": F.percentile(v, F.lit(0.9)), "acc_std": F.stddev_pop(f"acc_{h}")}
         own |= dict(zip(("ext_x", "ext_y", "ext_z"), ext, strict=True)) | {"bbox_vol": box}
-        own |= {f"centroid_{a}": F.avg(F.get(t, F.lit(k))) for k, a in enumerate("xyz")} | {"active_frac": F.avg((v > 0.02).cast("double"))}
+        own |= {f"centroid_{a}": F.avg(f"{t}_{a}") for a in "xyz"} | {"active_frac": F.avg((v > 0.02).cast("double"))}
         out += [F.when(enough, x).alias(f"f_{h}_{k}") for k, x in own.items()]
     a, b = (F.when(F.col("step_left_ee").isNotNull() & F.col("step_right_ee").isNotNull(), F.col(f"step_{h}_ee") * FPS) for h in HANDS)
     steady = (F.count(a) <= 2) | (F.stddev_pop(a) <= 1e-9) | (F.stddev_pop(b) <= 1e-9)
@@ -100,14 +100,14 @@ def feature_columns() -> list[Column]:
     for h in HANDS:
         c = f"aperture_{h}"
         out += [F.avg(c).alias(f"f_{h}_aperture_mean"), F.stddev_pop(c).alias(f"f_{h}_aperture_std"), (F.max(c) - F.min(c)).alias(f"f_{h}_aperture_range")]
-    enough = F.count("head") >= 3
-    reach = norm([F.max(F.get("head", F.lit(k))) - F.min(F.get("head", F.lit(k))) for k in range(3)])
+    enough = F.count("head_x") >= 3
+    reach = norm([F.max(f"head_{a}") - F.min(f"head_{a}") for a in "xyz"])
     return out + [F.when(enough, F.sum("step_head")).alias("f_head_path"), F.when(enough, reach).alias("f_head_ext"), F.when(enough, F.avg("turn") * FPS).alias("f_head_rot_energy")]
 
 
 def candidate_columns(still: float = 0.05, idle: float = 0.02) -> list[Column]:
     """Aggregates for signals without a threshold yet. An episode that never moves is dead air from both ends: 2.0."""
-    n = F.count("left_ee")
+    n = F.count("left_ee_x")
     sp = F.greatest(*(F.col(f"step_{h}_ee") * FPS for h in HANDS))
     fast, count = _pooled(lambda v: (v > 5).cast("double"))
     at = F.when(sp > still, F.col("pos") - 2)  # steps are counted from 0
@@ -122,24 +122,28 @@ def candidate_columns(still: float = 0.05, idle: float = 0.02) -> list[Column]:
     ]
 
 
-def per_episode(frames: DataFrame, columns: list[Column], by: tuple[str, ...] = ("episode_hash", "lab"), most: int = 24) -> DataFrame:
-    """One row an episode. The window of ``steps`` has dealt the frames by episode already; the grouping reuses that. One
-    projection of very many aggregates takes the code generator minutes, so ``most`` are taken at a time: the groupings
-    share the exchange and are joined where they lie."""
+def per_episode(frames: DataFrame, columns: list[Column], uses: tuple[str, ...], by: tuple[str, ...] = ("episode_hash", "lab"), most: int = 24) -> DataFrame:
+    """One row an episode. What frames and steps say (those that ``uses`` names the beginnings of) is written once, as narrow
+    numbers; groupings read it, each the columns that it needs. Percentiles, which Spark groups without generated code, have
+    a grouping of their own, and of the other aggregates ``most`` share one: more in one take the code generator minutes."""
     stepped = steps(frame_scalars(frames), by[0])
-    out = stepped.groupBy(by[0]).agg(*[F.first(c).alias(c) for c in by[1:]], *columns[:most])
-    for k in range(most, len(columns), most):
-        out = out.join(stepped.groupBy(by[0]).agg(*columns[k : k + most]), by[0])
+    kept = [c for c in stepped.columns if c in (*by, "pos") or c.startswith(uses)]
+    stepped = settled(stepped.select(kept))
+    slow = [c for c in columns if "percentile(" in str(c)]
+    fast = [c for c in columns if not any(c is s for s in slow)]
+    out = stepped.groupBy(by[0]).agg(*[F.first(c).alias(c) for c in by[1:]], *fast[:most])
+    for part in [fast[k : k + most] for k in range(most, len(fast), most)] + [slow] * bool(slow):
+        out = out.join(stepped.groupBy(by[0]).agg(*part), by[0])
     return out
 
 
 def quality_signals(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, signal_columns())
+    return per_episode(frames, signal_columns(), ("left_ee_", "right_ee_", "step_", "same_", "run_", "bad_", "size_", "angle_"))
 
 
 def embedding_features(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, feature_columns())
+    return per_episode(frames, feature_columns(), ("left_ee_", "right_ee_", "head_", "step_", "turn", "acc_", "aperture_", "hand_dist"))
 
 
 def candidate_signals(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, candidate_columns())
+    return per_episode(frames, candidate_columns(), ("left_ee_x", "step_", "turn"))

@@ -24,6 +24,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(labs, "episode_hash").withColumn("frame_idx", F.row_number().over(w) - 1).drop("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes of ``frames``: the nation is the operator, an eighth of the ids a scene."""
+    s = _read(spark, sf_dir, "supplier")
+    lab = F.concat(F.lit("lab"), (F.col("s_nationkey") % 3).cast("string"))
+    return s.select(F.col("s_suppkey").alias("episode_hash"), lab.alias("lab"), F.concat(F.lit("o"), F.col("s_nationkey").cast("string")).alias("operator"), F.concat(F.lit("s"), (F.col("s_suppkey") % 8).cast("string")).alias("scene"))
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as a catalog of clips: language is the lab, source the operator, a 16th of the ids a scene."""
     d = _read(spark, sf_dir, "documents")

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_catalog(spark: SparkSession, source: str, jdbc: dict[str, str] | None = None) -> DataFrame:
-    """The episode table: a Parquet folder, or a database table if ``jdbc`` has the reader's options."""
-    return spark.read.format("jdbc").options(dbtable=source, **jdbc).load() if jdbc else spark.read.parquet(source)
+def read_catalog(spark: SparkSession, source: str, jdbc: dict[str, str] | None = None, column: str | None = None, low: int = 0, high: int = 1, parts: int = 16) -> DataFrame:
+    """The episode table: a Parquet folder, or a database table if ``jdbc`` has the reader's options; with a numeric or date
+    ``column`` and its bounds, it is read in ``parts`` ranges of that at a time."""
+    if jdbc is None:
+        return spark.read.parquet(source)
+    ranges = {} if column is None else {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(dbtable=source, **jdbc, **ranges).load()
 
 
-def read_frames(spark: SparkSession, path: str, columns: list[str], lab: str | None = None) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, columns: list[str], lab: str | None = None, lab_column: str = "lab") -> DataFrame:
     """Only the wanted tracks, and of one lab's folder if that is asked for: both reach the scan."""
     frames = spark.read.parquet(path)
-    return (frames if lab is None else frames.where(F.col("lab") == lab)).select(*columns)
+    return (frames if lab is None else frames.where(F.col(lab_column) == lab)).select(*columns)
 
 
 def trim_padding(frames: DataFrame, attrs: DataFrame, key: str = "episode_hash") -> DataFrame:
@@ -41,9 +45,27 @@ def ingest_report(log: DataFrame) -> DataFrame:
     )
 
 
-def storage_by_array(listing: DataFrame, key: str = "key", size: str = "size", episode: str = "episode") -> DataFrame:
-    """(array, episodes, bytes, mean_bytes): the first part of a key names the array."""
-    return listing.groupBy(F.substring_index(key, "/", 1).alias("array")).agg(F.countDistinct(episode).alias("episodes"), F.sum(size).alias("bytes"), (F.sum(size) / F.countDistinct(episode)).alias("mean_bytes"))
+def storage_by_array(listing: DataFrame, key: str = "key", size: str = "size", episode: str = "episode", prefix: str | None = None) -> DataFrame:
+    """(array, episodes, bytes, mean_bytes, is_image): the first part of a key, after the row's ``prefix`` if there is such a
+    column, names the array."""
+    name = F.col(key) if prefix is None else F.when(F.startswith(key, prefix), F.substring(F.col(key), F.length(prefix) + 1, F.length(key))).otherwise(F.col(key))
+    array = F.substring_index(F.ltrim(name, F.lit("/")), "/", 1)
+    out = listing.groupBy(array.alias("array")).agg(F.countDistinct(episode).alias("episodes"), F.sum(size).alias("bytes"), (F.sum(size) / F.countDistinct(episode)).alias("mean_bytes"))
+    return out.withColumn("is_image", F.col("array").startswith("images"))
+
+
+def storage_projection(by_array: DataFrame, episodes_seen: int, episodes: int) -> DataFrame:
+    """(is_image, bytes, projected_bytes): images against the rest, and what ``episodes`` would take at the mean of those seen."""
+    return by_array.groupBy("is_image").agg(F.sum("bytes").alias("bytes")).withColumn("projected_bytes", F.col("bytes") / episodes_seen * episodes)
+
+
+def join_meta(features: DataFrame, catalog: DataFrame, columns: list[str], key: str = "episode_hash") -> DataFrame:
+    """``features`` with catalog columns; an episode that the catalog lacks keeps NULLs. A key that it has twice counts once."""
+    return features.join(catalog.select(key, *columns).dropDuplicates([key]), key, "left")
+
+
+def has_annotations(log: DataFrame, key: str = "episode_hash") -> DataFrame:
+    return log.select(key, (F.coalesce("n_annotations", F.lit(0)) > 0).cast("int").alias("has_annotations"))
 
 
 def live(catalog: DataFrame, flag: str = "is_deleted") -> DataFrame:
@@ -59,14 +81,32 @@ def slice_catalog(catalog: DataFrame, path: str | None = None, **equal: str) ->
     return out if path is None else out.where(F.trim(F.coalesce(F.col(path), F.lit(""))) != "")
 
 
-def attr_constancy(attrs: DataFrame, json: str, path: str, n: int = 5) -> DataFrame:
-    """(value, episodes, is_constant): the n commonest values at a path of a JSON attribute, ties by value."""
+def attr_constancy(attrs: DataFrame, json: str, path: str, n: int = 5, expected: list[float] | None = None, atol: float = 1e-6) -> DataFrame:
+    """(value, episodes, is_constant[, matches]): the n commonest values at a path of a JSON attribute, ties by value. ``matches``:
+    the value, a number or an array of numbers, nested or not, is within atol + 1e-5 * |expected| of ``expected``."""
     seen = attrs.select(F.get_json_object(json, path).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("episodes"))
     kinds = F.broadcast(seen.agg((F.count(F.lit(1)) == 1).alias("is_constant")))
-    return seen.orderBy(F.desc("episodes"), "value").limit(n).join(kinds, how="cross")
+    out = seen.orderBy(F.desc("episodes"), "value").limit(n).join(kinds, how="cross")
+    if expected is None:
+        return out
+    numbers = F.transform(F.regexp_extract_all("value", F.lit(r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
+    want = F.array(*[F.lit(float(x)) for x in expected])
+    near = F.forall(F.zip_with(numbers, want, lambda a, b: F.abs(a - b) <= atol + 1e-5 * F.abs(b)), lambda ok: F.coalesce(ok, F.lit(False)))
+    return out.withColumn("matches", near)
 
 
 def evenly_spaced(total: Column, n: int, low: float = 0.08, high: float = 0.92) -> Column:
     """Array of n frame numbers, evenly spaced over the middle of an episode."""
     a, b = F.floor(total * low), F.floor(total * high)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(a + (b - a) * i / max(1, n - 1)).cast("int"))
+
+
+def fixed_frames(total: Column) -> Column:
+    """Array of the frames at a quarter, the middle and three quarters of an episode."""
+    return F.array(*[F.floor(total * x).cast("int") for x in (0.25, 0.5, 0.75)])
+
+
+def sampled_frames(frames: DataFrame, attrs: DataFrame, picks: Column, key: str = "episode_hash") -> DataFrame:
+    """The frames at the places that ``picks``, an array over ``attrs``, names; ``pick`` numbers them from 0."""
+    places = attrs.select(key, F.posexplode(picks).alias("pick", "frame_idx"))
+    return frames.join(places, [key, "frame_idx"])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipcurate.jobs import queries as jobs
-from clipcurate.operators import compare, embed, gate, sampling, signals
+from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals
 from clipcurate.sources import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -59,13 +59,159 @@ def test_exact_tests():
     assert compare.wilcoxon_p(0, 0, False) is None
 
 
-def test_selectors():
-    z = np.random.default_rng(0).normal(size=(30, 3))
-    z[1] = z[0]
-    for f in embed.SELECTORS.values():
-        got = f(z, 8)
-        assert len(got) == len(set(got)) == 8
-        assert len(f(z[:4], 9)) == 4
+def _by_definition(z, k, method):
+    """Picks straight from what each selector maximises, over matrices of a small pool."""
+    d, n, out = ((z[:, None] - z[None]) ** 2).sum(-1), len(z), []
+    kernel = np.exp(-d / np.median(d[d > 1e-12])) + 1e-6 * np.eye(n) if n > 1 else np.ones((1, 1))
+    while len(out) < min(k, n):
+        def value(j):
+            if method == "kcenter":
+                return d[out, j].min() if out else 0.0
+            if method == "facility":
+                return -d[[*out, j]].min(axis=0).sum()
+            return round(np.linalg.slogdet(kernel[np.ix_([*out, j], [*out, j])])[1], 9)
+
+        out.append(max((j for j in range(n) if j not in out), key=lambda j: (value(j), -j)))
+    return out
+
+
+@pytest.mark.parametrize("method", list(embed.SELECTORS))
+@pytest.mark.parametrize("max_group", [20, 4096])
+def test_selectors_are_exact_at_every_size(spark, method, max_group):
+    rng = np.random.default_rng(4)
+    z = {pool: rng.normal(size=(n, 3)) for pool, n in [("a", 60), ("b", 30), ("c", 3)]}
+    z["b"][1] = z["b"][0]
+    rows = [(pool, f"{i:03}", x.tolist()) for pool, xs in z.items() for i, x in enumerate(xs)]
+    out = embed.select_varied(spark.createDataFrame(rows, "pool string, id string, z array<double>"), 4, method, "id", "z", ["pool"], max_group=max_group).collect()
+    assert sorted((r["pool"], r["rank"], r["id"]) for r in out) == sorted((p, k + 1, f"{j:03}") for p, xs in z.items() for k, j in enumerate(_by_definition(xs, 4, method)))
+
+
+def test_k_center_of_twenty_thousand_points(spark):
+    z = np.random.default_rng(1).normal(size=(20_000, 4))
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(z)], "pool int, id int, z array<double>")
+    out = embed.select_varied(df, 4, "kcenter", "id", "z", ["pool"]).orderBy("rank").collect()
+    assert [r["id"] for r in out] == embed.farthest(z, 4, 0.0)
+
+
+def test_pca_keeps_distances(spark):
+    z = np.random.default_rng(2).normal(size=(40, 3))
+    out = embed.pca_coords(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(z)], "id int, z array<double>"), "z", 2).orderBy("id").collect()
+    c = z - z.mean(axis=0)
+    _, _, axes = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(np.abs([r["coords"] for r in out]), np.abs(c @ axes[:2].T))
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in ("a", None, "b") for v in rng.integers(0, 9, 50)] + [("a", math.nan), ("a", None), ("c", math.nan)]
+    got = profile.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p10": 0.1, "p50": 0.5, "p100": 1.0}).collect()
+    for r in got:
+        own = [v for g, v in rows if g == r["g"] and v is not None and not math.isnan(v)]
+        assert [r["p10"], r["p50"], r["p100"]] == pytest.approx(list(np.quantile(own, [0.1, 0.5, 1.0])))
+    assert {r["g"] for r in got} == {"a", None, "b"}
+
+
+def _windows(left, right, head, h, horizon, stride=15):
+    clean = lambda a: np.nan_to_num(np.array(a, dtype=np.float32))
+    seen, act = np.concatenate([clean(left), clean(right), clean(head)], axis=1), np.concatenate([clean(left), clean(right)], axis=1)
+    starts = range(h, len(seen) - horizon, stride) if len(seen) > h + horizon else []
+    return [(s, seen[s - h : s].ravel(), (act[s : s + horizon] - act[s - 1]).ravel()) for s in starts]
+
+
+def _tracks(rng, episodes):
+    rows, plain = [], {}
+    for e, n in episodes.items():
+        left, right, head = (rng.normal(size=(n, 3)) for _ in range(3))
+        left[n // 2, 0], right[n // 3, 1] = math.nan, math.inf
+        plain[e] = left, right, head
+        rows += [(e, t, left[t].tolist(), None if e == "no_right" else right[t].tolist(), head[t].tolist()) for t in range(n)]
+    return rows, plain
+
+
+POSES = "episode_hash string, frame_idx int, left_ee array<double>, right_ee array<double>, head array<double>"
+
+
+def test_windows_equal_numpy(spark):
+    rows, plain = _tracks(np.random.default_rng(0), {"a": 100, "b": 41, "c": 40, "no_right": 90})
+    out = ridge.episode_windows(spark.createDataFrame(rows, POSES).repartition(5), ["left_ee", "right_ee", "head"]).collect()
+    got = {(r["episode_hash"], r["start"]): r for r in out}
+    want = {(e, s): (x, y) for e in "abc" for s, x, y in _windows(*plain[e], 10, 30)}
+    assert set(got) == set(want) and len(want) == 5
+    assert all(np.array_equal(np.array(got[k]["x"], "f4"), x) and np.array_equal(np.array(got[k]["y"], "f4"), y) for k, (x, y) in want.items())
+
+
+def test_fit_and_score_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    rows, plain = _tracks(rng, {f"e{i}": 60 + 20 * i for i in range(8)})
+    for x in plain.values():
+        for t in x:
+            t[~np.isfinite(t)] = 0
+    rows = [(e, t, left[t].tolist(), right[t].tolist(), head[t].tolist()) for e, (left, right, head) in plain.items() for t in range(len(left))]
+    w = ridge.episode_windows(spark.createDataFrame(rows, POSES), ["left_ee", "right_ee", "head"])
+    member = {"r1": ["e0", "e1", "e2", "e6"], "r2": ["e3", "e4"]}
+    train = spark.createDataFrame([(r, e, 5) for r, es in member.items() for e in es], "run string, episode_hash string, seed int")
+    sides = spark.createDataFrame([(r, s, e) for r in member for s, e in (("x", "e5"), ("x", "e7"), ("y", "e6"), ("none", "absent"))], "run string, side string, episode_hash string")
+    out = {(r["run"], r["alpha"], r["side"]): r for r in ridge.fit_and_score(w, train, sides, 16, (0.5, 2.0), per_pass=1).collect()}
+    own = {e: _windows(*plain[e], 10, 30) for e in plain}
+    stack = lambda es: (np.array([x for e in es for _, x, _ in own[e]], float), np.array([y for e in es for *_, y in own[e]], float))
+    models = ridge.fit_models(w, train, 16, 2.0)
+    for run, es in member.items():
+        x, y = stack(es)
+        p, b = ridge.random_features(x.shape[1], 16, 5)
+        lift = lambda v, x=x, p=p, b=b: np.hstack([np.cos((v - x.mean(0)) / (x.std(0) + 1e-6) @ p + b), np.ones((len(v), 1))])
+        for alpha in (0.5, 2.0):
+            h = lift(x)
+            weights = np.linalg.solve(h.T @ h + alpha * np.eye(17), h.T @ y)
+            for side, tested in (("x", ["e5", "e7"]), ("y", ["e6"])):
+                xe, ye = stack(tested)
+                assert out[run, alpha, side]["mse"] == pytest.approx(((lift(xe) @ weights - ye) ** 2).mean(), rel=1e-7) and out[run, alpha, side]["n"] == len(xe)
+            assert out[run, alpha, "none"]["mse"] is None and out[run, alpha, "none"]["n"] == 0
+        assert np.allclose(models[run]["w"], weights)
+    errors = ridge.error_by_window(w.where("episode_hash in ('e5', 'e7')"), models["r2"]).collect()
+    assert np.mean([r["mse"] for r in errors]) == pytest.approx(out["r2", 2.0, "x"]["mse"]) and sum(r["shown"] for r in errors) == 2
+
+
+def test_experiment_and_gate_value_rows(spark):
+    rng = np.random.default_rng(2)
+    rows, _ = _tracks(rng, {f"e{i:02}": 80 + i for i in range(36)})
+    frames = spark.createDataFrame(rows, POSES).withColumns({t: F.transform(t, lambda x: F.when(F.abs(x) < 100, x).otherwise(0.0)) for t in ("left_ee", "right_ee")})
+    meta = spark.createDataFrame([(f"e{i:02}", f"o{i % 5}", f"s{i % 7}", i % 9 > 0, float(i), float(i * i % 11)) for i in range(36)], "episode_hash string, operator string, scene string, keep boolean, f_a double, f_b double")
+    w = ridge.episode_windows(frames, ["left_ee", "right_ee", "head"])
+    split = sampling.assign_split(meta, [0, 1])
+    out = experiment.run_experiment(w, split, ["f_a", "f_b"], [0.25, 0.5], setting=experiment.Setting(features=8), least=5).collect()
+    seen = {(r["seed"], r["k_frac"], r["condition"]) for r in out}
+    assert len(seen) == len(out) and {c for *_, c in seen} == {"random", *experiment.VARIED, "concentrated", "random_nogate", "all_gated"}
+    pool = {s: split.where(f"seed = {s} and pool_gated").count() for s in (0, 1)}
+    for r in out:
+        k = pool[r["seed"]] if r["condition"] == "all_gated" else max(5, int(r["k_frac"] * pool[r["seed"]]))
+        assert r["n_train_eps"] == k and (r["n_groups"] == -1) == (r["condition"] == "random_nogate") and all(r[m] > 0 for m in experiment.METRICS)
+    assert experiment.run_experiment(w, split, ["f_a", "f_b"], [0.25], ("random",), experiment.Setting(features=8), least=10**6).count() == 0
+    sweep = experiment.sensitivity_sweep(frames, ["left_ee", "right_ee", "head"], split, ["f_a", "f_b"], (experiment.Setting(features=8), experiment.Setting(alpha=9.0, features=8), experiment.Setting(features=8, history=5)), conditions=("random", "kcenter"), least=5)
+    same = {(r["seed"], r["condition"]): r[experiment.METRICS[0]] for r in sweep.where("alpha = 1 and history = 10").collect()}
+    assert all(same[r["seed"], r["condition"]] == pytest.approx(r[experiment.METRICS[0]]) for r in out if r["k_frac"] == 0.25 and (r["seed"], r["condition"]) in same) and len(same) == 4
+    summary = compare.sensitivity_summary(sweep, experiment.METRICS).collect()
+    assert len(summary) == 3 and all(r["condition"] == "kcenter" for r in summary)
+    value = experiment.gate_value(w, meta, [0, 1, 2], experiment.Setting(features=8), least=5)
+    rows = value.collect()
+    assert len(rows) == 12
+    by = {(r["seed"], r["condition"]): r for r in rows}
+    for s in (0, 1, 2):
+        assert by[s, "gated_equal_episodes"]["n_train_eps"] == by[s, "ungated_equal_episodes"]["n_train_eps"]
+        assert by[s, "ungated_equal_frames"]["n_train_win"] >= by[s, "gated_equal_frames"]["n_train_win"] == by[s, "gated_equal_episodes"]["n_train_win"]
+    for r in compare.gate_value_summary(value).collect():
+        d = [by[s, f"gated_{r['mode']}"]["avg_mse"] - by[s, f"ungated_{r['mode']}"]["avg_mse"] for s in (0, 1, 2)]
+        assert (r["n"], r["wins"]) == (3, sum(x < 0 for x in d))
+
+
+def test_reports(spark):
+    seen = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("b", None)], "episode_hash string, n_hands int")
+    out = {r["episode_hash"]: tuple(r)[1:] for r in camera.visibility_rollup(seen, spark.createDataFrame([("a",), ("b",)], "episode_hash string")).collect()}
+    assert out["a"] == (3, pytest.approx(2 / 3), 1.0, 1) and out["b"][:2] == (0, None)
+    attrs = spark.createDataFrame([('{"K": [[133.0, 0], [0, 133.0]]}',)] * 2 + [('{"K": [[133.0, 0], [0, 134]]}',)], "json string")
+    got = ingest.attr_constancy(attrs, "json", "$.K", expected=[133, 0, 0, 133]).collect()
+    assert [(r["episodes"], r["is_constant"], r["matches"]) for r in got] == [(2, False, True), (1, False, False)]
+    log = spark.createDataFrame([("ok", 5, 9, 5.0, 1), ("ok", 5, 5, None, 0), ("error", None, None, 7.0, None)], "status string, total_frames int, padded_len int, sql_num_frames double, n_annotations int")
+    assert {r["status"]: tuple(r)[1:] for r in ingest.ingest_report(log).collect()} == {"ok": (2, 0, 1, 1), "error": (1, 0, 0, 0)}
 
 
 def test_splits_are_disjoint(spark):
@@ -99,19 +245,9 @@ def _plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center", "random_split", "picks_per_lab", "length_sanity", "sampled_frames", "flag_prevalence", "run_table"])
+@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center", "random_split", "picks_per_lab", "length_sanity", "sampled_frames", "flag_prevalence", "run_table", "select_log_det", "select_facility", "bandwidths", "episode_windows", "train_moments", "gate_arms", "episode_records", "keypoints_out_of_frame", "storage_by_array", "exemplars", "headline_stats", "lab_distributions"])
 def test_query_equals_sql(spark, duck, name):
     got = jobs.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
     want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({jobs.SQL[name]})").fetchall()
     assert _plain(got.select(*cols).collect()) == _plain(want)
-
-
-def test_k_center_of_large_pools_is_exact(spark):
-    rng = np.random.default_rng(4)
-    z = {pool: rng.normal(size=(n, 3)) for pool, n in [("a", 90), ("b", 30), ("c", 3)]}
-    rows = [(pool, f"{i:03}", x.tolist()) for pool, xs in z.items() for i, x in enumerate(xs)]
-    out = embed.select_varied(spark.createDataFrame(rows, "pool string, id string, z array<double>"), 5, "kcenter", "id", "z", ["pool"], max_exact=20).collect()
-    got = sorted((r["pool"], r["rank"], r["id"]) for r in out)
-    assert got == sorted((pool, k + 1, f"{i:03}") for pool, xs in z.items() for k, i in enumerate(embed.k_center(xs, 5)))
-    assert {r["mode"] for r in out} == {"exact"}
