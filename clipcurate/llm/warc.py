@@ -103,7 +103,7 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
     before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", *order)
     index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop(*order).write.parquet(f"{path}-index")
-    ordered = placed.repartition(archives, "archive").sortWithinPartitions("archive", *order).select("archive", "member")
+    ordered = placed.repartitionById(archives, F.col("archive")).sortWithinPartitions("archive", *order).select("archive", "member")
     files = ordered.mapInArrow(_concatenate, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
     files.write.option("lineSep", "\0").partitionBy("archive").text(path)
     return records.sparkSession.read.parquet(f"{path}-index")
