@@ -92,9 +92,10 @@ def cross_group_audit(signals: DataFrame, by: str = "lab", rules: tuple[GateRule
     gated = apply_gate(signals, rules, median_scope=(by,))
     pct = [(100.0 * F.avg(F.col(f"rule_{r.name}").cast("double"))).alias(f"pct_{r.name}") for r in rules]
     out = gated.groupBy(by).agg(F.count(F.lit(1)).alias("n_episodes"), *pct, (100.0 * F.avg((~F.col("keep")).cast("double"))).alias("pct_any"))
-    for col, name in (("duration_s", "median_dur_s"), ("motion_energy", "median_motion")):
-        out = out.join(exact_percentiles(signals, [by], col, {name: 0.5}).withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
-    return out
+    middles = distribution_compare(signals, ["duration_s", "motion_energy"], by, (0.5,))
+    of = lambda c: F.max(F.when(F.col("signal") == c, F.col("p50")))
+    middles = middles.groupBy(F.col(by).alias("__by")).agg(of("duration_s").alias("median_dur_s"), of("motion_energy").alias("median_motion"))
+    return out.join(middles, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 def distribution_compare(df: DataFrame, cols: list[str], by: str = "lab", points: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
