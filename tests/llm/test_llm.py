@@ -184,6 +184,25 @@ def test_embeddings_equal_brute_force(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i for i in (500, 501, 502, 504))
 
 
+def test_embeddings_near_the_threshold_are_decided_by_their_cosines(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3, 16))
+    noise = rng.standard_normal((180, 16))
+    x = base[np.arange(180) % 3] + noise * (0.23 * np.linalg.norm(base[np.arange(180) % 3], axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+    x = np.concatenate([x, x[:5]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    close = np.abs(unit @ unit.T - 0.95)[np.triu_indices(len(x), 1)]
+    assert (close < 0.01).sum() > 500  # pairs that bytes can't decide
+    out = {r["vec_id"]: r for r in embedding_dedup.embedding_components(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), max_rows=32).collect()}
+    low = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.minimum(low, np.where(linked, low[None, :], len(x)).min(axis=1))
+    assert [out[k]["n_links"] for k in range(len(x))] == linked.sum(axis=1).tolist()
+    assert [out[k]["component_id"] for k in range(len(x))] == low.tolist()
+
+
 def test_embeddings_of_repeated_ids_and_in_doubles(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1e300, 0.0, 0.0]), (None, [0.0, 0.0, 1e-300]), (None, [0.0, 0.0, 2.0])]
     out = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
