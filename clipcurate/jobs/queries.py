@@ -286,9 +286,24 @@ def signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.significance(_deltas(spark, sf_dir), ["condition"]).select("condition", "n", "wins", "rank_minus", "rank_plus"))
 
 
-@query()
+#: Sign test: binomial terms by log-gamma. Rank test: counts of rank subsets by sum (up to 50 pairs without ties), else the normal
+#: law's tails, integrated by Simpson's rule over 8 units.
+_SIGNIFICANCE = f"""WITH RECURSIVE {_RUNS},
+rk AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY condition, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY condition, abs(delta)) AS tied FROM dl WHERE delta <> 0),
+rs AS (SELECT condition, count(*) AS nz, sum(CASE WHEN delta < 0 THEN r ELSE 0 END)::DOUBLE AS rank_minus, sum(CASE WHEN delta > 0 THEN r ELSE 0 END)::DOUBLE AS rank_plus, max(tied) AS longest, sum(tied * tied - 1) AS ties FROM rk GROUP BY condition),
+al AS (SELECT condition, count(*) AS n, count_if(delta < 0) AS wins, avg(pct) AS mean_pct FROM dl GROUP BY condition),
+ps AS (SELECT condition, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS p_sign FROM al, LATERAL (SELECT unnest(range(n + 1)) AS k) WHERE abs(2 * k - n) >= abs(2 * wins - n) GROUP BY condition),
+ws(m, ways) AS (SELECT 0::BIGINT, [1.0::DOUBLE] UNION ALL SELECT m + 1, list_transform(range(len(ways) + m + 1), lambda i: coalesce(ways[i + 1], 0) + CASE WHEN i > m THEN coalesce(ways[i - m], 0) ELSE 0 END) FROM ws WHERE m < 50),
+z AS (SELECT *, least(rank_minus, rank_plus) AS low, abs(least(rank_minus, rank_plus) - nz * (nz + 1) / 4.0) / sqrt(2 * (nz * (nz + 1) * (2 * nz + 1) / 24.0 - ties / 48.0)) AS z FROM rs),
+pw AS (SELECT condition, CASE WHEN nz <= 50 AND longest = 1 THEN (SELECT 2 * list_sum(ways[1:low::BIGINT + 1]) / 2.0**nz FROM ws WHERE m = nz)
+  ELSE (SELECT 2 / sqrt(pi()) * sum(exp(-((z + i / 500.0)**2)) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 1500 FROM range(4001) AS t(i)) END AS p FROM z)
+SELECT condition, n, wins, round(mean_pct, 6) AS mean_pct, round(rank_minus, 6) AS rank_minus, round(rank_plus, 6) AS rank_plus, round(least(1.0, p_sign), 6) AS p_sign, round(least(1.0, p), 6) AS p_wilcoxon
+FROM al JOIN rs USING (condition) JOIN ps USING (condition) JOIN pw USING (condition)"""
+
+
+@query(_SIGNIFICANCE)
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.significance(_deltas(spark, sf_dir), ["condition"])
+    return rounded(compare.significance(_deltas(spark, sf_dir), ["condition"]))
 
 
 @query(f"WITH {_RUNS} SELECT condition, count(*) AS runs, round(avg(mse), 6) AS mse_mean, round(stddev_samp(mse), 6) AS mse_std FROM res GROUP BY condition")
