@@ -251,3 +251,12 @@ def test_query_equals_sql(spark, duck, name):
     cols = sorted(got.columns)
     want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({jobs.SQL[name]})").fetchall()
     assert _plain(got.select(*cols).collect()) == _plain(want)
+
+
+@pytest.mark.parametrize("method", ["facility", "kcenter", "logdet"])
+def test_pool_without_a_name_is_a_pool_whatever_its_size(spark, method):
+    rng = np.random.default_rng(8)
+    rows = [(k, None if k % 3 else 7, rng.standard_normal(4).tolist()) for k in range(60)]
+    points = spark.createDataFrame(rows, "id long, pool long, z array<double>")
+    picked = [sorted((str(r["pool"]), r["rank"], r["id"]) for r in embed.select_varied(points, 4, method, "id", "z", ["pool"], max_group=m).collect()) for m in (4096, 30)]
+    assert picked[0] == picked[1] and len(picked[0]) == 8
