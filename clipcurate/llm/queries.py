@@ -1,11 +1,11 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipcurate.llm import embedding_dedup, exact_dedup, mixing, packing, pii, sharding, simhash, toxicity, url_filter, warc
+from clipcurate.llm import embedding_dedup, exact_dedup, filter_audit, mixing, packing, pii, quality_rules, sharding, simhash, toxicity, url_filter, warc
 from clipcurate.llm.common import scratch_path, table
 
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -114,6 +114,71 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    words = quality_rules.split_words(t)
+    capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    filters = {
+        "A": F.size(words) < 50, "B": quality_rules.let(words, lambda w: 100 * F.size(F.array_distinct(w)) < 65 * F.size(w)), "C": 100 * capitals > 5 * F.length(t),
+        "D": t.rlike("[#$%&*|]"), "E": filter_audit.REPEATS,
+    }
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters)
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+m AS (SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::INT
+  + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+g AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN g USING (doc_id) GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+  AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, s.step::INT AS step, bits[s.step] AS bit, coalesce(list_sum(bits[1:s.step - 1]), 0)::INT AS gone FROM o, range(1, 6) s(step)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & gone > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept", F.round("quality", 4).alias("quality"))
+
+
+def _op13_sql(rules: tuple[quality_rules.Rule, ...] = quality_rules.RULES, prior: quality_rules.Prior = quality_rules.Prior(), rounds: int = 30) -> str:
+    """The measures by plain SQL, the rounds of expectation-maximisation as a recursive query over patterns of votes."""
+    k, (a, a_n), (b, b_n), (g, g_n) = len(rules), prior.right_on_good, prior.right_on_bad, prior.good
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in rules)
+    odds = "ln(m.good / (1 - m.good)) + list_sum(list_transform(range(1, {0}), lambda j: CASE v[j] WHEN 1 THEN ln(m.a[j] / (1 - m.b[j])) WHEN -1 THEN ln((1 - m.a[j]) / m.b[j]) ELSE 0.0 END))".format(k + 1)
+    shares = lambda vote, weight, at, n: "[" + ", ".join(f"(sum(CASE WHEN v[{j}] = {vote} THEN {weight} ELSE 0.0 END) + {at * n!r}) / (sum(CASE WHEN v[{j}] <> 0 THEN {weight} ELSE 0.0 END) + {n!r})" for j in range(1, k + 1)) + "]::DOUBLE[]"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM t),
+p AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g, unnest(range(1, len(w) - 1)) AS i FROM w),
+c AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM p), (VALUES (0), (1), (2)) v(d) WHERE k > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper,
+  len(list_filter(w, lambda y: regexp_matches(y, '\p{{L}}'))) AS n_alpha_words, len(list_filter(w, lambda y: regexp_matches(y, '{quality_rules.PLAIN_WORD.replace("'", "''")}'))) AS n_plain_words,
+  len(list_filter(l, lambda y: regexp_matches(y, '{quality_rules.ENDED_LINE.replace("'", "''")}'))) AS n_ended_lines, length(regexp_replace(x, '[^0-9]', '', 'g')) AS n_digits
+  FROM w LEFT JOIN c USING (doc_id)),
+v AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({quality_rules.BASE_FAILS}) AS base_failed, [{votes}] AS v FROM m),
+n AS (SELECT v, count(*)::DOUBLE AS n FROM v WHERE NOT base_failed GROUP BY v),
+em(r, m) AS (SELECT 0, {{'good': {g!r}::DOUBLE, 'a': {[a] * k}::DOUBLE[], 'b': {[b] * k}::DOUBLE[]}} UNION ALL
+  SELECT any_value(r) + 1, {{'good': ((coalesce(sum(n * p), 0.0) + {g * g_n!r}) / (coalesce(sum(n), 0.0) + {g_n!r}))::DOUBLE, 'a': {shares(1, "n * p", a, a_n)}, 'b': {shares(-1, "n * (1 - p)", b, b_n)}}}
+  FROM (SELECT r, n, v, 1 / (1 + exp(-({odds}))) AS p FROM em, n WHERE r < {rounds}) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, CASE WHEN NOT base_failed THEN round(p, 4) END AS quality
+FROM (SELECT v.*, 1 / (1 + exp(-({odds}))) AS p FROM v, em WHERE r = {rounds})
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +186,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_embedding_dedup, op4_sharding, op5_exact_dedup, op6_best_fit_packing, op7_simhash_dedup, op8_source_mixing, op9_pii_pseudonyms, op10_warc, pipeline)
+    f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_embedding_dedup, op4_sharding, op5_exact_dedup, op6_best_fit_packing, op7_simhash_dedup, op8_source_mixing, op9_pii_pseudonyms, op10_warc,
+                               op12_filter_audit, op13_quality_rules, pipeline)
 }
-SQL = {"op1_url_filter": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op3_embedding_dedup": OP3_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op3_embedding_dedup": OP3_SQL, "op12_filter_audit": OP12_SQL, "op13_quality_rules": OP13_SQL}
