@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipcurate.llm import embedding_dedup, exact_dedup, filter_audit, mixing, packing, pii, quality_rules, sharding, simhash, toxicity, url_filter, warc
+from clipcurate.llm import embedding_dedup, exact_dedup, filter_audit, mixing, packing, pii, prefix_trie, quality_rules, sharding, simhash, toxicity, url_filter, warc
 from clipcurate.llm.common import scratch_path, table
 
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -114,6 +114,28 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("key", "parent")
+
+
+OP11_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role)::VARCHAR || ':' || role || text)) AS k FROM c),
+b AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT) AS bytes FROM c),
+i AS (SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x:
+  list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 6 AS h FROM b),
+r AS (SELECT i.conv_id, k, role, text FROM i JOIN k ON k.conv_id = i.base WHERE k <= h UNION ALL SELECT conv_id, k, role, text FROM i JOIN k USING (conv_id) WHERE k > h),
+p AS (SELECT conv_id, coalesce(p, []) AS p FROM i LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY k) AS p FROM r GROUP BY conv_id) USING (conv_id)),
+e AS (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM p),
+n AS (SELECT p[1:d] AS q, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(p)), '') AS ends FROM e GROUP BY 1, 2),
+u AS (SELECT q[1:d - 1] AS q, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(q[d].text) ELSE 0 END AS saved FROM n LEFT JOIN u USING (q)),
+s AS (SELECT q[1:a] AS q, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (q) LEFT JOIN n o ON m.d > 0 AND o.q = m.q[1:m.d - 1]
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     words = quality_rules.split_words(t)
@@ -187,6 +209,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_embedding_dedup, op4_sharding, op5_exact_dedup, op6_best_fit_packing, op7_simhash_dedup, op8_source_mixing, op9_pii_pseudonyms, op10_warc,
-                               op12_filter_audit, op13_quality_rules, pipeline)
+                               op11_conversation_trie, op12_filter_audit, op13_quality_rules, pipeline)
 }
-SQL = {"op1_url_filter": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op3_embedding_dedup": OP3_SQL, "op12_filter_audit": OP12_SQL, "op13_quality_rules": OP13_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op3_embedding_dedup": OP3_SQL, "op11_conversation_trie": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_quality_rules": OP13_SQL}
