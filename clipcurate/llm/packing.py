@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left
@@ -21,6 +22,8 @@ from clipcurate.llm.common import materialize, release_memory, worker_tables
 PART_CHARS = 4 << 20
 #: Entries of the tables of units and of words that recur.
 MAX_UNITS, MAX_COMMON = 50_000, 250_000
+#: Chunks at most that the pieces of a length are numbered in; their sizes go through one window.
+MAX_CHUNKS = 4096
 
 
 def default_tokenizer() -> str:
@@ -44,7 +47,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take white space along or only stand alone are not known here")
+        self.special = {t.content: np.array([i], "<u4") for i, t in added.items()}  # in a text they are tokens, and cut it
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.at_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
         self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level model writes as themselves
         rest = [b for b in range(256) if b not in shown]
@@ -139,19 +147,26 @@ class Encoder:
         return out
 
     def documents(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order; null counts as empty. A very long text goes through in several parts."""
-        part, begins, of, size = [], [], [], 0
+        """Ids of each text, in order; null counts as empty. A very long text goes through in several parts, and what stands
+        between special tokens is a text of its own."""
+        part, begins, of, after, size = [], [], [], [], 0
 
         def flush() -> list[tuple[bool, np.ndarray]]:
-            done = list(zip(of, self.parts(part, begins), strict=True)) if part else []
-            for x in (part, begins, of):
+            ids = self.parts(part, begins) if part else []
+            done = [(last, x if tail is None else np.concatenate([x, tail])) for last, x, tail in zip(of, ids, after, strict=True)]
+            for x in (part, begins, of, after):
                 x.clear()
             return done
 
         held: list[np.ndarray] = []  # of the text whose parts go on
         for text in texts:
-            pieces_ = long_pieces(text or "", PART_CHARS)
-            for k, piece in enumerate(pieces_):
+            split = self.at_special.split(text or "") if self.at_special else [text or ""]
+            pieces_ = []  # text, whether it begins one, the special token after it
+            for k in range(0, len(split), 2):
+                own = long_pieces(split[k], PART_CHARS)
+                tail = self.special[split[k + 1]] if k + 1 < len(split) else None
+                pieces_ += [(piece, j == 0, tail if j == len(own) - 1 else None) for j, piece in enumerate(own)]
+            for k, (piece, start, tail) in enumerate(pieces_):
                 if size + len(piece) > PART_CHARS:
                     for last, ids in flush():
                         held.append(ids)
@@ -160,7 +175,8 @@ class Encoder:
                             held = []
                     size = 0
                 part.append(piece)
-                begins.append(k == 0)
+                begins.append(start)
+                after.append(tail)
                 of.append(k == len(pieces_) - 1)
                 size += len(piece)
         for last, ids in flush():
@@ -387,7 +403,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             keep = [c for c in b.schema.names if c != "rank"]
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
-    salts = spark.createDataFrame([(x, max(1, -(-n // chunk_rows))) for x, n in counts.items()], "length int, chunks long")
+    salts = spark.createDataFrame([(x, min(MAX_CHUNKS, max(1, -(-n // chunk_rows)))) for x, n in counts.items()], "length int, chunks long")
     salted = found.join(F.broadcast(salts), "length").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     starts = materialize(salted.groupBy("length", "chunk").count().select("length", "chunk", F.coalesce(before, F.lit(0)).alias("before")), "starts")
