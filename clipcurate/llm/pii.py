@@ -9,7 +9,8 @@ from clipcurate.llm.common import free_name
 
 #: What is looked for, in this order at each place of a text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    # Runs are possessive and begin where a run of such characters does, or after a value: linear, and no stack for long ones.
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,1024}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -191,7 +192,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
     candidate that several kinds fit is of the first that validates it. A valid value is replaced by its image under a
     keyed permutation of the valid values of its format: numbers by their digits alone, so that a number in several
     spellings stays linked; separators and field widths stay. Equal values have equal pseudonyms in all documents, and
-    different ones different pseudonyms. E-mail addresses keep their domain. Invalid candidates are left as they are.
+    different ones different pseudonyms. E-mail addresses keep their domain; what is longer than 1024 before the @ is none. Invalid candidates are left as they are.
 
     Null and empty texts stay as they are, with counts of 0. Every row and column is returned; there is no shuffle.
     """
