@@ -88,6 +88,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     best = F.max(F.struct("doc_id", "rid"))
     groups = named.groupBy("blocks", "root").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = groups.select("blocks", "root", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
+    groups = materialize(groups, "groups")  # so that the rows of a text that very many share can be split in the join
     out = named.join(groups, ["blocks", "root"], "left")
     alone = F.col("group_size").isNull()
     return out.select(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipcurate.llm.common import LOWER, UPPER, free_name
+from clipcurate.llm.common import LOWER, UPPER, free_name, materialize
 
 #: Rules up to this many (of a few hundred bytes each) are broadcast to every task; with more, they are joined by token like
 #: any table.
@@ -94,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
     if loose:  # all in one pass
         each = [F.when(F.col("place").rlike(r.regex), F.struct(F.lit(r.rank).alias("rank"), F.lit(len(r.rule)).alias("n"), F.lit(r.rule).alias("rule"), F.lit(r.action).alias("action"))) for r in loose]
         fits = fits.unionByName(places.select("place", F.explode(F.array_compact(F.array(*each))).alias("fit")))
-    best = fits.groupBy("place").agg(F.max("fit").alias("best"))
+    best = materialize(fits.groupBy("place").agg(F.max("fit").alias("best")), "verdicts")  # so that a hot place's pages can be split
     verdict = F.struct(at("host").alias("host"), at("path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), F.col("best.rank").alias("rank"))
     joined = keyed.select(F.struct(*pages.columns).alias("page"), into).join(best, F.concat(at("host"), at("path")) == F.col("place"), "left")
     return joined.select("page.*", verdict.alias(into))
