@@ -9,6 +9,8 @@ from clipcurate.llm.common import free_name, materialize
 
 #: Starts of buckets are broadcast up to this many (16 bytes each), and joined by an exchange beyond.
 BROADCAST_BUCKETS = 500_000
+#: Partitions at most that buckets are exchanged by; beyond, a task shuffles several buckets, one after the other.
+MAX_PARTITIONS = 10_000
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -31,7 +33,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int, key: str = "doc_id", text:
     whole = F.struct(*docs.columns).alias("record")
     rows = docs.select(whole, F.xxhash64(F.lit(seed), F.col(key), rid).alias("draw"))
     rows = rows.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "draw")
+    rows = rows.repartition(min(buckets, MAX_PARTITIONS), "bucket").sortWithinPartitions("bucket", "draw")
     shuffled = rows.groupBy("bucket").agg(F.shuffle(F.collect_list("record"), seed).alias("records"))
     written = materialize(shuffled.select("bucket", F.posexplode("records").alias("at", "record")), "buckets")
     counts = written.groupBy("bucket").count()

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from clipcurate.llm.common import materialize, sorted_groups
 
 END = b"\r\n\r\n"
+#: Partitions at most of an exchange by archive or by read.
+MAX_PARTITIONS = 10_000
 #: RFC 4648 letters, in the order of the digits of Spark's conv to base 32.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -99,11 +101,11 @@ def write_warc(records: DataFrame, path: str, archive_bytes: int = 32 << 20) ->
     total = members.agg(F.sum(size)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
     placed = members.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest", "rid"), F.lit(archives)).cast("int")).withColumn("o", F.xxhash64("digest", "page_id"))
-    order = ["o", "rid"]
+    parts, order = min(archives, MAX_PARTITIONS), ["o", "rid"]  # beyond, a task writes several archives, one after the other
     before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     index = placed.select("archive", size.alias("length"), "page_id", "url", "digest", "payload_bytes", *order)
     index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop(*order).write.parquet(f"{path}-index")
-    ordered = placed.repartitionById(archives, F.col("archive")).sortWithinPartitions("archive", *order).select("archive", "member")
+    ordered = placed.repartitionById(parts, F.col("archive") % parts).sortWithinPartitions("archive", *order).select("archive", "member")
     files = ordered.mapInArrow(_concatenate, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
     files.write.option("lineSep", "\0").partitionBy("archive").text(path)
     return records.sparkSession.read.parquet(f"{path}-index")
@@ -163,6 +165,6 @@ def read_records(index: DataFrame, path: str, gap: int = 64 << 10, most: int = 2
     )
     files = _files(index.sparkSession, path)
     rows = reads.join(files, "archive").select("file", "start", "beyond", "records")
-    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * most)))
+    tasks = min(MAX_PARTITIONS, max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // (4 * most))))
     rows = rows.repartition(tasks, "file", "start")  # a row is small, but what it asks for isn't
     return rows.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from clipcurate.llm import common, embedding_dedup, exact_dedup, mixing, packing, pii, sharding, simhash, toxicity, url_filter, warc
 from clipcurate.llm.queries import HOST_RULES
@@ -262,11 +263,31 @@ def test_sharding_moves_rows_anywhere(spark):
     assert ((table - 62.5) ** 2 / 62.5).sum() < 100
 
 
+def plain_ids(text):
+    """As the tokenizer itself says, without anything of the operator."""
+    if "tokenizer" not in _PLAIN:
+        _PLAIN["tokenizer"] = Tokenizer.from_file(packing.default_tokenizer())
+    return _PLAIN["tokenizer"].encode(text or "", add_special_tokens=False).ids
+
+
+_PLAIN = {}
+
+
+def test_ten_thousand_buckets_share_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_PARTITIONS", 5)
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("t" * 36).alias("text"))
+    got = sharding.shuffle_into_shards(docs, 8, bucket_bytes=120).select("doc_id", "placement.*").collect()
+    assert len({r["bucket"] for r in got}) > 5000 and sorted(r["doc_id"] for r in got) == list(range(12_000))
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(1500))
+
+
 def test_packing_round_trip(spark):
     df, rows = documents(spark)
+    rows = [*rows, (900, "a <|endoftext|>b <|endoftext|>", "en", "src0", 1, "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
     out = packing.pack(df, size=64, keep_ids=True).collect()
-    enc = packing.encoder(packing.default_tokenizer())
-    want = sorted((r[0], np.frombuffer(enc.whole(r[1] or ""), "<u4").tolist() + [2]) for r in rows)
+    want = sorted((r[0], plain_ids(r[1]) + [2]) for r in rows)
     placed = {}
     for r in out:
         assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
@@ -299,10 +320,11 @@ def test_plan_uses_each_piece_once():
     assert used == counts
 
 
-@pytest.mark.parametrize("text", ["", " a", "a  b", "a\n b", "don't stop.\nNow, é ñ!", "x\t y", "<|endoftext|> a", "日本 語", "a ", "end.\n\nB"])
+@pytest.mark.parametrize("text", ["", " a", "a  b", "a\n b", "don't stop.\nNow, é ñ!", "x\t y", "<|endoftext|> a", "a <|endoftext|>\n<|endoftext|><|endoftext|>b", "<|endoftext|", "日本 語", "a ", "end.\n\nB"])
 def test_encoder_equals_tokenizer(text):
     enc = packing.encoder(packing.default_tokenizer())
-    assert enc.text(text) == enc.whole(text) == enc.text(text)
+    ids = np.array(plain_ids(text), "<u4").tobytes()
+    assert enc.text(text) == ids == enc.text(text)
 
 
 def test_mixing_meets_targets(spark):
@@ -457,11 +479,35 @@ def test_pseudonyms_of_cards_beside_other_digits(spark):
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string, pii int"), "k").columns == ["doc_id", "text", "pii", "pii_"]
 
 
+def test_pseudonyms_of_very_long_addresses(spark):
+    """Linear in the text and without a stack: 100,000 labels, a long local part, an endless run, addresses that touch."""
+    local = "abc1" * 50
+    texts = ["x@a" + ".b" * 100_000, f"to {local}@mail.example now", "q" * 300_000 + "@x.com", "a@b.com_c@d.org", "é" + local + "@ex.org", "w" * 1024 + "@x.com", "." * 100_000, "1." * 50_000]
+    out = [r["text"] for r in pii.pseudonymize(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    assert out[0].endswith("@a" + ".b" * 100_000) and out[0][0] != "@" and len(out[0]) == len(texts[0])
+    for old, new in ((texts[1], out[1]), (texts[4], out[4])):
+        assert new != old and local not in new and all(local[k : k + 16] not in new for k in range(0, 184)) and len(new) == len(old)
+    assert out[2] == texts[2] and out[6:] == texts[6:]
+    assert out[3].split("@")[1].startswith("b.com") and out[3].endswith("@d.org") and "_c@" not in out[3]
+    assert out[5] != texts[5] and out[5].endswith("@x.com")
+
+
 def test_feistel_numbers_are_a_permutation(spark):
     n = spark.range(189 * 7).select(pii.feistel_number(F.col("id"), (189, 7), "k", "t").alias("v"))
     assert sorted(r["v"] for r in n.collect()) == list(range(189 * 7))
 
 
+def test_archives_share_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_PARTITIONS", 3)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i % 40}</p>" * 20) for i in range(200)], "page_id long, url string, html string")
+    path = f"{tmp_path}/w"
+    index = warc.write_warc(warc.warc_records(pages), path, archive_bytes=1000)
+    assert index.select("archive").distinct().count() > 20
+    out = warc.read_records(index, path, most=500).collect()
+    assert sorted(r["page_id"] for r in out) == list(range(200))
+    assert all(r["refers_to"] == (None if r["page_id"] >= 160 else r["page_id"] % 40 + 160) for r in out)
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/ü\r\nx", "<p>é</p>", "q"), (2, None, "<p>é</p>", "q"), (3, "http://c", None, "q"), (4, "http://d", "", "q"), (5, "http://e", "x" * 100_000, "q")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string")
@@ -532,7 +578,7 @@ def test_encoder_equals_tokenizer_on_random_texts(monkeypatch):
     bits = ["a", "b", "Zé", " ", "  ", "\n", "\t", ".", ",", "don't", "日本", "12", "3.5", "ñ!", "…", " ", "<|endoftext|>", "-", "_", "'s", "\r\n", " x", " y", "​", "Ⅷ"]
     texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(4000)]
     enc = packing.Encoder(packing.default_tokenizer())
-    want = [np.frombuffer(enc.whole(t), "<u4").tolist() for t in texts]
+    want = [plain_ids(t) for t in texts]
     for most in (40, 1 << 20):
         monkeypatch.setattr(packing, "PART_CHARS", most)
         assert [g.tolist() for g in enc.documents(iter(texts))] == want
