@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipcurate.functions.points import into_head, pinhole
-from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals
+from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals, subset
 from clipcurate.sources import bind, ingest
 from clipcurate.sources.store import settled
 
@@ -241,7 +241,7 @@ _MEMBERS = f"""{_SPLIT}, cs AS (SELECT sp.*, k_frac, k, concat_ws('|', operator,
 m AS (SELECT seed, k_frac, condition, rank, episode_hash FROM (
  SELECT sp.seed, k_frac, k, 'random' AS condition, {_PICK} AS rank, episode_hash FROM sp JOIN bud ON bud.seed = sp.seed WHERE pool_gated
  UNION ALL SELECT sp.seed, k_frac, k, 'random_nogate', {_PICK}, episode_hash FROM sp JOIN bud ON bud.seed = sp.seed WHERE split = 'pool'
- UNION ALL SELECT seed, k_frac, k, 'concentrated', row_number() OVER (PARTITION BY seed, k_frac ORDER BY gs DESC, grp, md5(concat_ws('|', seed, 'pick', episode_hash)), episode_hash), episode_hash FROM cs) WHERE rank <= k)"""
+ UNION ALL SELECT seed, k_frac, k, 'concentrated', row_number() OVER (PARTITION BY seed, k_frac ORDER BY gs DESC, md5(concat_ws('|', seed, 'group', grp)), grp, md5(concat_ws('|', seed, 'pick', episode_hash)), episode_hash), episode_hash FROM cs) WHERE rank <= k)"""
 
 
 @query(f"WITH {_MEMBERS} SELECT * FROM m")
@@ -325,66 +325,82 @@ def gap_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 3 if c == "gap_closed" else 6).alias(c) for c in out.columns])
 
 
-_Z = [f"z{k}" for k in range(4)]
+_Z = [f"z{k}" for k in range(64)]
+#: Pool 3 goes without a name.
+_POOLS = "v AS (SELECT vec_id AS id, nullif(label, 3) AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings)"
 
 
-@query("WITH v AS (SELECT vec_id AS episode_hash, label AS pool, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS z{k}" for k in range(4)) + " FROM embeddings) SELECT episode_hash, pool, " + ", ".join(f"round((z{k} - avg(z{k}) OVER (PARTITION BY pool)) / (stddev_pop(z{k}) OVER (PARTITION BY pool) + 1e-9), 6) AS z{k}" for k in range(4)) + " FROM v")
-def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = bind.vectors(spark, sf_dir).select("episode_hash", "pool", *[F.get("z", F.lit(k)).alias(f"z{k}") for k in range(4)])
-    return rounded(embed.whiten(v, _Z, ["pool"])).select("episode_hash", "pool", *_Z)
-
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind.vectors(spark, sf_dir).withColumn("pool", F.when(F.col("pool") != 3, F.col("pool")))
 
-def _k_center_sql(k: int) -> str:
-    dist = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1]-p[2])**2))"
-    out = "WITH v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings), p1 AS MATERIALIZED (SELECT pool, min(id) AS id FROM v GROUP BY pool), " + f"d1 AS MATERIALIZED (SELECT v.*, {dist('v.z', 'c.z')} AS d, v.id = c.id AS used FROM v JOIN p1 USING (pool) JOIN v c ON c.id = p1.id)"
-    for i in range(2, k + 1):
-        out += f", p{i} AS MATERIALIZED (SELECT pool, id FROM d{i - 1} WHERE NOT used QUALIFY row_number() OVER (PARTITION BY pool ORDER BY d DESC, id) = 1), d{i} AS MATERIALIZED (SELECT a.id, a.pool, a.z, least(a.d, {dist('a.z', 'c.z')}) AS d, a.used OR a.id = c.id AS used FROM d{i - 1} a JOIN p{i} USING (pool) JOIN v c ON c.id = p{i}.id)"
-    return out + " " + " UNION ALL ".join(f"SELECT pool, 'kcenter' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
 
-
-@query(_k_center_sql(5))
-def select_k_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.select_varied(bind.vectors(spark, sf_dir), 5, "kcenter", "episode_hash", "z", ["pool"])
+@query(
+    f"WITH {_POOLS} SELECT id AS episode_hash, pool, "
+    + ", ".join(f"round((z[{k + 1}] - avg(z[{k + 1}]) OVER w) / (stddev_pop(z[{k + 1}]) OVER w + 1e-9), 6) AS z{k}" for k in range(64))
+    + " FROM v WINDOW w AS (PARTITION BY pool)"
+)
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _pools(spark, sf_dir).select("episode_hash", "pool", *[F.get("z", F.lit(k)).alias(c) for k, c in enumerate(_Z)])
+    return rounded(embed.whiten(v, _Z, ["pool"])).select("episode_hash", "pool", *_Z)
 
 
 _PAIRS = """v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
-d AS MATERIALIZED (SELECT a.pool, a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1]-p[2])**2)) AS d FROM v a JOIN v b USING (pool))"""
-
-
-def _log_det_sql(k: int) -> str:
-    """Residuals of kernel vectors; the coefficients of earlier picks are columns."""
-    out = f"WITH {_PAIRS}, g AS (SELECT pool, 1 / greatest(median(d), 1e-9) AS g FROM d WHERE a < b AND d > 1e-12 GROUP BY pool), kern AS MATERIALIZED (SELECT pool, a, b, exp(-g * d) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS k FROM d JOIN g USING (pool)), s0 AS MATERIALIZED (SELECT pool, id, 1 + 1e-6 AS rest, false AS used FROM v)"
-    for i in range(1, k + 1):
-        before = "".join(f" - s.c{j} * q.c{j}" for j in range(1, i))
-        coef = f"(kern.k{before}) / sqrt(q.rest)"
-        kept = "".join(f"s.c{j}, " for j in range(1, i))
-        out += f", p{i} AS MATERIALIZED (SELECT * FROM s{i - 1} WHERE NOT used QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(rest, 12) DESC, id) = 1)"
-        out += f", s{i} AS MATERIALIZED (SELECT s.pool, s.id, {kept}{coef} AS c{i}, greatest(s.rest - ({coef})**2, 1e-12) AS rest, s.used OR s.id = q.id AS used FROM s{i - 1} s JOIN p{i} q USING (pool) JOIN kern ON kern.pool = s.pool AND kern.a = q.id AND kern.b = s.id)"
-    return out + " " + " UNION ALL ".join(f"SELECT pool, 'logdet' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
-
-
-def _facility_sql(k: int) -> str:
-    out = f"WITH {_PAIRS}, p1 AS MATERIALIZED (SELECT pool, a AS id FROM d GROUP BY pool, a QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(sum(d), 9), a) = 1), n1 AS MATERIALIZED (SELECT d.pool, d.b AS id, d.d AS gap FROM d JOIN p1 ON p1.pool = d.pool AND p1.id = d.a)"
-    for i in range(2, k + 1):
-        used = " UNION ALL ".join(f"SELECT id FROM p{j}" for j in range(1, i))
-        out += f", p{i} AS MATERIALIZED (SELECT d.pool, d.a AS id FROM d JOIN n{i - 1} n ON n.id = d.b WHERE d.a NOT IN ({used}) GROUP BY d.pool, d.a QUALIFY row_number() OVER (PARTITION BY d.pool ORDER BY round(sum(greatest(gap - d.d, 0)), 9) DESC, d.a) = 1)"
-        out += f", n{i} AS MATERIALIZED (SELECT n.pool, n.id, least(gap, d.d) AS gap FROM n{i - 1} n JOIN p{i} p USING (pool) JOIN d ON d.a = p.id AND d.b = n.id)"
-    return out + " " + " UNION ALL ".join(f"SELECT pool, 'facility' AS condition, {i}::INT AS rank, id AS episode_hash FROM p{i}" for i in range(1, k + 1))
+n AS (SELECT pool, least(count(*), greatest(5, floor(0.25 * count(*))))::BIGINT AS k FROM v GROUP BY pool),
+d AS MATERIALIZED (SELECT a.pool, a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2)) AS d FROM v a JOIN v b USING (pool))"""
+
+_K_CENTER = f"""WITH RECURSIVE {_PAIRS},
+r(t, pool, id, gap, pick) AS (SELECT 1, pool, id, 'inf'::DOUBLE, min(id) OVER (PARTITION BY pool) FROM v UNION ALL
+  SELECT t + 1, pool, id, gap, first_value(id) OVER (PARTITION BY pool ORDER BY round(gap, 9) DESC, id) FROM (
+    SELECT t, r.pool, id, CASE WHEN id = pick THEN -1 ELSE least(gap, d.d) END AS gap FROM r JOIN d ON d.a = r.id AND d.b = r.pick JOIN n ON n.pool = r.pool WHERE t < k))
+SELECT DISTINCT pool, 'kcenter' AS condition, t::INT AS rank, pick AS episode_hash FROM r"""
+
+#: Residuals of kernel vectors, with their coefficients on the picks so far as a list.
+_LOG_DET = f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT pool, 1 / greatest(median(d), 1e-9) AS g FROM d WHERE a < b AND d > 1e-12 GROUP BY pool),
+kern AS MATERIALIZED (SELECT a, b, exp(-g * d) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS k FROM d JOIN g USING (pool)),
+r(t, pool, id, rest, c, pick) AS (SELECT 1, pool, id, 1 + 1e-6::DOUBLE, []::DOUBLE[], {{'i': min(id) OVER (PARTITION BY pool), 'r': 1 + 1e-6::DOUBLE, 'c': []::DOUBLE[]}} FROM v UNION ALL
+  SELECT t + 1, pool, id, rest, c, first_value({{'i': id, 'r': rest, 'c': c}}) OVER (PARTITION BY pool ORDER BY round(rest, 12) DESC, id) FROM (
+    SELECT t, pool, id, CASE WHEN id = pick.i OR rest < 0 THEN -1 ELSE greatest(rest - coef ** 2, 1e-12) END AS rest, list_append(c, coef) AS c FROM (
+      SELECT r.*, (kern.k - coalesce(list_sum(list_transform(list_zip(c, pick.c), lambda p: p[1] * p[2])), 0)) / sqrt(pick.r) AS coef
+      FROM r JOIN kern ON kern.a = r.id AND kern.b = r.pick.i JOIN n ON n.pool = r.pool WHERE t < n.k)))
+SELECT DISTINCT pool, 'logdet' AS condition, t::INT AS rank, pick.i AS episode_hash FROM r"""
+
+#: Each point with each candidate: a candidate's gain is a sum over the points.
+_FACILITY = f"""WITH RECURSIVE {_PAIRS}, m AS (SELECT pool, a AS id FROM d GROUP BY pool, a QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(sum(d), 9), a) = 1),
+r(t, pool, id, gap, picks) AS (SELECT 1, pool, b, d.d, [m.id] FROM m JOIN d USING (pool) WHERE d.a = m.id UNION ALL
+  SELECT t + 1, pool, id, least(gap, max(CASE WHEN a = pick THEN d END) OVER (PARTITION BY pool, id)), list_append(picks, pick) FROM (
+    SELECT *, first_value(a) OVER (PARTITION BY pool ORDER BY list_contains(picks, a), round(gain, 9) DESC, a) AS pick FROM (
+      SELECT t, r.pool, r.id, gap, picks, d.a, d.d, sum(greatest(gap - d.d, 0)) OVER (PARTITION BY r.pool, d.a) AS gain FROM r JOIN d ON d.b = r.id JOIN n ON n.pool = r.pool WHERE t < n.k))
+  QUALIFY a = id)
+SELECT DISTINCT pool, 'facility' AS condition, t::INT AS rank, picks[t] AS episode_hash FROM r"""
+
+
+def _varied(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """A quarter of each pool, five at least. Greedy picks of a smaller budget are the first of those of a larger one."""
+    points = bind.vectors(spark, sf_dir)
+    k = settled(points.groupBy("pool").agg(F.greatest(F.lit(5), F.floor(0.25 * F.count(F.lit(1)))).alias("k")))
+    most = k.agg(F.max("k")).first()[0] or 0  # one number
+    picks = subset.select_varied(points, most, method, "episode_hash", "z", ["pool"])
+    return picks.join(k, "pool").where(F.col("rank") <= F.col("k")).drop("k")
+
+
+@query(_K_CENTER)
+def select_k_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir, "kcenter")
 
 
-@query(_log_det_sql(5))
+@query(_LOG_DET)
 def select_log_det(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.select_varied(bind.vectors(spark, sf_dir), 5, "logdet", "episode_hash", "z", ["pool"])
+    return _varied(spark, sf_dir, "logdet")
 
 
-@query(_facility_sql(5))
+@query(_FACILITY)
 def select_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.select_varied(bind.vectors(spark, sf_dir), 5, "facility", "episode_hash", "z", ["pool"])
+    return _varied(spark, sf_dir, "facility")
 
 
 @query(f"WITH {_PAIRS} SELECT pool, round(1 / greatest(median(d), 1e-9), 6) AS gamma FROM d WHERE a < b AND d > 1e-12 GROUP BY pool")
 def bandwidths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(embed.median_bandwidth(bind.vectors(spark, sf_dir), "episode_hash", "z", ["pool"]))
+    return rounded(subset.median_bandwidth(bind.vectors(spark, sf_dir), "episode_hash", "z", ["pool"]))
 
 
 @query("SELECT round(sum((x - m)**2), 4) AS spread FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) JOIN (SELECT k, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k) USING (k)")
@@ -399,14 +415,17 @@ def pca_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.pca_coords(bind.vectors(spark, sf_dir), "z", 20).select("episode_hash", "coords")
 
 
-_LZ = "v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings), c AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pool ORDER BY id) <= 3)"
-
-
-@query(f"WITH {_LZ} SELECT pool, v.id AS episode_hash, round(min(list_sum(list_transform(list_zip(v.z, c.z), lambda p: (p[1]-p[2])**2))), 6) AS nearest FROM v JOIN c USING (pool) GROUP BY ALL")
+@query(
+    f"WITH {_POOLS}, c AS (SELECT * FROM v WHERE pool IS DISTINCT FROM 5 QUALIFY row_number() OVER (PARTITION BY pool ORDER BY id) <= greatest(3, floor(0.25 * count(*) OVER (PARTITION BY pool)))) "
+    "SELECT v.pool, v.id AS episode_hash, round(min(list_sum(list_transform(list_zip(v.z, c.z), lambda p: (p[1] - p[2]) ** 2))), 6) AS nearest "
+    "FROM v LEFT JOIN c ON v.pool IS NOT DISTINCT FROM c.pool GROUP BY v.pool, v.id"
+)
 def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = bind.vectors(spark, sf_dir)
-    chosen = embed.rank_within(v, ["pool"], ["episode_hash"]).where("rank <= 3").drop("rank")
-    return rounded(embed.coverage(v, chosen, "episode_hash", "z", ["pool"]))
+    """Pool 5 has no pick."""
+    v = _pools(spark, sf_dir)
+    ranked = embed.rank_within(v, ["pool"], ["episode_hash"]).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pool")))
+    chosen = ranked.where((F.col("rank") <= F.greatest(F.lit(3), F.floor(0.25 * F.col("n")))) & ~F.col("pool").eqNullSafe(5)).drop("rank", "n")
+    return rounded(embed.coverage(v, chosen, "episode_hash", "z", ["pool"]).drop("compared"))
 
 
 def _camera(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,11 @@ def value_counts(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     """(column, value, rows, n_distinct): the n commonest values of each column, NULL left out, ties by value."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x")
     seen = df.select(each).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy("column")
-    ranked = seen.withColumn("rank", F.row_number().over(w.orderBy(F.desc("rows"), "value"))).withColumn("n_distinct", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("rank") <= n).select("column", "value", "rows", "n_distinct")
+    seen = settled(seen)
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("rows"), "value"))
+    top = seen.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")  # each partition sends its own n at most
+    distinct = seen.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return top.join(distinct, "column").select("column", "value", "rows", "n_distinct")
 
 
 def describe(df: DataFrame, cols: list[str], points: tuple[float, ...] = (0.25, 0.5, 0.75), by: tuple[str, ...] = ()) -> DataFrame:

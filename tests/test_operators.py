@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipcurate.jobs import queries as jobs
-from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals
+from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals, subset
 from clipcurate.sources import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -60,37 +60,112 @@ def test_exact_tests():
 
 
 def _by_definition(z, k, method):
-    """Picks straight from what each selector maximises, over matrices of a small pool."""
+    """Picks straight from what each selector maximises, over matrices of a small pool; scores rounded as stated, ties by place."""
     d, n, out = ((z[:, None] - z[None]) ** 2).sum(-1), len(z), []
-    kernel = np.exp(-d / np.median(d[d > 1e-12])) + 1e-6 * np.eye(n) if n > 1 else np.ones((1, 1))
+    pairs = d[np.triu_indices(n, 1)]
+    pairs = pairs[pairs > 1e-12]
+    kernel = np.exp(-d / np.median(pairs)) + 1e-6 * np.eye(n) if len(pairs) else np.ones((n, n)) * math.exp(0) + 1e-6 * np.eye(n)
     while len(out) < min(k, n):
-        def value(j):
-            if method == "kcenter":
-                return d[out, j].min() if out else 0.0
-            if method == "facility":
-                return -d[[*out, j]].min(axis=0).sum()
-            return round(np.linalg.slogdet(kernel[np.ix_([*out, j], [*out, j])])[1], 9)
-
-        out.append(max((j for j in range(n) if j not in out), key=lambda j: (value(j), -j)))
+        rest = [j for j in range(n) if j not in out]
+        if method == "kcenter":
+            score = {j: d[out, j].min() if out else 0.0 for j in rest}
+        elif method == "facility":
+            gap = d[:, out].min(axis=1) if out else None
+            score = {j: np.maximum(gap - d[:, j], 0).sum() if out else -d[:, j].sum() for j in rest}
+        else:  # what is left of a point's kernel vector outside the span of the picks: a Schur complement
+            inner = kernel[np.ix_(out, out)]
+            score = {j: kernel[j, j] - kernel[j, out] @ np.linalg.solve(inner, kernel[out, j]) if out else kernel[j, j] for j in rest}
+        out.append(max(rest, key=lambda j: (round(float(score[j]), 9), -j)))
     return out
 
 
-@pytest.mark.parametrize("method", list(embed.SELECTORS))
-@pytest.mark.parametrize("max_group", [20, 4096])
-def test_selectors_are_exact_at_every_size(spark, method, max_group):
-    rng = np.random.default_rng(4)
-    z = {pool: rng.normal(size=(n, 3)) for pool, n in [("a", 60), ("b", 30), ("c", 3)]}
-    z["b"][1] = z["b"][0]
-    rows = [(pool, f"{i:03}", x.tolist()) for pool, xs in z.items() for i, x in enumerate(xs)]
-    out = embed.select_varied(spark.createDataFrame(rows, "pool string, id string, z array<double>"), 4, method, "id", "z", ["pool"], max_group=max_group).collect()
-    assert sorted((r["pool"], r["rank"], r["id"]) for r in out) == sorted((p, k + 1, f"{j:03}") for p, xs in z.items() for k, j in enumerate(_by_definition(xs, 4, method)))
+GRID = np.array([[a, b, 0] for a in range(7) for b in range(7)], dtype=float)
+HARD_POOLS = {
+    "grid": GRID, None: GRID[:20], "copies": np.repeat(np.random.default_rng(0).integers(0, 4, (8, 3)), 5, axis=0).astype(float), "same": np.zeros((6, 3)), "one": GRID[3:4],
+    "random": np.random.default_rng(4).normal(size=(60, 3)),
+}
 
 
-def test_k_center_of_twenty_thousand_points(spark):
-    z = np.random.default_rng(1).normal(size=(20_000, 4))
+def _hard_points(spark):
+    rows = [(pool, f"{i:03}", x.tolist(), 1) for pool, xs in HARD_POOLS.items() for i, x in enumerate(xs)]
+    return spark.createDataFrame(rows, "pool string, id string, z array<double>, block int").repartition(3)
+
+
+@pytest.mark.parametrize("method", list(subset.DIGITS))
+@pytest.mark.parametrize("block, candidates", [(4096, 2048), (8, 5)])
+def test_selectors_are_exact_however_a_pool_is_cut(spark, method, block, candidates):
+    """Grids and copies, where ties abound; picks of the definition, in one round or in many."""
+    out = subset.select_varied(_hard_points(spark), 7, method, "id", "z", ["pool"], block=block, candidates=candidates).collect()
+    want = [(str(p), k + 1, f"{j:03}") for p, xs in HARD_POOLS.items() for k, j in enumerate(_by_definition(xs, 7, method))]
+    assert sorted((str(r["pool"]), r["rank"], r["id"]) for r in out) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_bandwidths_are_of_all_pairs(spark, block):
+    out = {r["pool"]: r["gamma"] for r in subset.median_bandwidth(_hard_points(spark), "id", "z", ["pool"], block=block).collect()}
+    for p, xs in HARD_POOLS.items():
+        d = ((xs[:, None] - xs[None]) ** 2).sum(-1)[np.triu_indices(len(xs), 1)]
+        d = d[d > 1e-12]
+        assert out[p] == pytest.approx(1 / np.median(d) if len(d) else 1.0, rel=1e-12)
+
+
+def test_bandwidth_of_five_thousand_points(spark):
+    z = np.random.default_rng(6).normal(size=(5000, 4))
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(z)], "pool int, id int, z array<double>")
+    n2 = (z**2).sum(axis=1)
+    d = (n2[:, None] + n2[None] - 2 * z @ z.T)[np.triu_indices(5000, 1)]
+    assert subset.median_bandwidth(df, "id", "z", ["pool"], block=1500).first()["gamma"] == pytest.approx(1 / np.median(d), rel=1e-12)
+
+
+def test_thousands_of_picks_in_few_rounds(spark):
+    """k-center of 20,000 points against plain numpy, 2,000 picks."""
+    z = np.random.default_rng(1).normal(size=(20_000, 8))
     df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(z)], "pool int, id int, z array<double>")
-    out = embed.select_varied(df, 4, "kcenter", "id", "z", ["pool"]).orderBy("rank").collect()
-    assert [r["id"] for r in out] == embed.farthest(z, 4, 0.0)
+    out = subset.select_varied(df, 2000, "kcenter", "id", "z", ["pool"]).orderBy("rank").collect()
+    gap, want = np.full(len(z), np.inf), []
+    for _ in range(2000):
+        want.append(int(np.round(gap, 9).argmax()))
+        gap = np.minimum(gap, ((z - z[want[-1]]) ** 2).sum(axis=1))
+        gap[want] = -1
+    assert [r["id"] for r in out] == want
+
+
+def test_no_points_no_picks(spark):
+    none = spark.createDataFrame([], "pool string, id string, z array<double>")
+    for method in subset.DIGITS:
+        assert subset.select_varied(none, 3, method, "id", "z", ["pool"]).count() == 0
+    assert subset.median_bandwidth(none, "id", "z", ["pool"]).count() == 0
+
+
+def test_coverage_is_exact_and_skips_most_picks(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 6)) * 20
+    z = {"a": np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 6)), None: rng.normal(size=(30, 6)), "none": rng.normal(size=(5, 6))}
+    points = spark.createDataFrame([(p, i, x.tolist()) for p, xs in z.items() for i, x in enumerate(xs)], "pool string, id int, z array<double>")
+    chosen = points.where("pool is distinct from 'none' and id % 2 = 0")
+    out = embed.coverage(points, chosen, "id", "z", ["pool"], block=700, pivots=32).collect()
+    assert len(out) == 2035
+    for r in out:
+        if r["pool"] == "none":
+            assert r["nearest"] is None and r["compared"] == 0
+        else:
+            d = ((z[r["pool"]][::2] - z[r["pool"]][r["id"]]) ** 2).sum(axis=1).min()
+            assert r["nearest"] == pytest.approx(d, abs=1e-9)
+    assert sum(r["compared"] for r in out if r["pool"] == "a") < 0.3 * 2000 * 1000
+
+
+def test_whitening_keeps_rows_of_a_null_pool(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 5.0), ("a", math.nan), ("b", None)]
+    out = embed.whiten(spark.createDataFrame(rows, "pool string, x double"), ["x"], ["pool"]).collect()
+    assert sorted((str(r["pool"]), round(r["x"], 6)) for r in out) == [("None", -1.0), ("None", 1.0), ("a", -1.0), ("a", 1.0), ("b", 0.0)]
+
+
+def test_take_until_of_a_null_group(spark):
+    rows = [(1, None, i, 2) for i in range(10)] + [(1, "g", i, 3) for i in range(10)]
+    pool = spark.createDataFrame(rows, "seed int, grp string, id int, w int")
+    target = spark.createDataFrame([(1, None, 7), (1, "g", 7)], "seed int, grp string, target int")
+    got = [str(r["grp"]) for r in sampling.take_until(pool, "w", target, "id", ["seed", "grp"]).collect()]
+    assert got.count("None") == 4 and got.count("g") == 3
 
 
 def test_pca_keeps_distances(spark):
@@ -245,18 +320,9 @@ def _plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center", "random_split", "picks_per_lab", "length_sanity", "sampled_frames", "flag_prevalence", "run_table", "select_log_det", "select_facility", "bandwidths", "episode_windows", "train_moments", "gate_arms", "episode_records", "keypoints_out_of_frame", "storage_by_array", "exemplars", "headline_stats", "lab_distributions"])
+@pytest.mark.parametrize("name", ["quality_signals", "gate_audit", "lab_structure", "heldout_splits", "selection_arms", "equal_footage", "signed_ranks", "select_k_center", "random_split", "picks_per_lab", "length_sanity", "sampled_frames", "flag_prevalence", "run_table", "select_log_det", "select_facility", "bandwidths", "whitened", "coverage_scores", "top_values", "episode_windows", "train_moments", "gate_arms", "episode_records", "keypoints_out_of_frame", "storage_by_array", "exemplars", "headline_stats", "lab_distributions"])
 def test_query_equals_sql(spark, duck, name):
     got = jobs.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
     want = duck.execute(f"select {', '.join(f'\"{c}\"' for c in cols)} from ({jobs.SQL[name]})").fetchall()
     assert _plain(got.select(*cols).collect()) == _plain(want)
-
-
-@pytest.mark.parametrize("method", ["facility", "kcenter", "logdet"])
-def test_pool_without_a_name_is_a_pool_whatever_its_size(spark, method):
-    rng = np.random.default_rng(8)
-    rows = [(k, None if k % 3 else 7, rng.standard_normal(4).tolist()) for k in range(60)]
-    points = spark.createDataFrame(rows, "id long, pool long, z array<double>")
-    picked = [sorted((str(r["pool"]), r["rank"], r["id"]) for r in embed.select_varied(points, 4, method, "id", "z", ["pool"], max_group=m).collect()) for m in (4096, 30)]
-    assert picked[0] == picked[1] and len(picked[0]) == 8
