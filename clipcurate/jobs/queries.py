@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipcurate.functions.points import into_head, pinhole
+from clipcurate.jobs import fit_sql
 from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals, subset
 from clipcurate.sources import bind, ingest
 from clipcurate.sources.store import settled
@@ -205,13 +206,19 @@ def sample_per_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_per_group(bind.catalog(spark, sf_dir), 20, 7, ["lab"], "episode_hash").select("lab", "episode_hash")
 
 
-_SPLIT = f"""{_CATALOG}, seeds AS (SELECT unnest([0, 1, 2]) AS seed),
-med AS (SELECT median(duration_s) AS m FROM cat), kept AS (SELECT cat.*, NOT (duration_s < 3 OR duration_s > 3 * m OR duration_s < 0.15 * m) AS keep FROM cat, med),
+
+def _split_sql(short: float = 3, long: float = 3, part: float = 0.15) -> str:
+    """CTEs from ``cat`` up to ``sp``, the splits, and ``bud``, the budgets; bounds of the length rules."""
+    return f"""seeds AS (SELECT unnest([0, 1, 2]) AS seed),
+med AS (SELECT median(duration_s) AS m FROM cat), kept AS (SELECT cat.*, NOT (duration_s < {short} OR duration_s > {long} * m OR duration_s < {part} * m) AS keep FROM cat, med),
 ops AS (SELECT seed, operator, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'operator', operator)), operator) AS k, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT DISTINCT operator FROM cat WHERE operator IS NOT NULL), seeds),
 scs AS (SELECT seed, scene, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'scene', scene)), scene) AS k, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT DISTINCT scene FROM cat), seeds),
 sp0 AS (SELECT s.seed, kept.*, coalesce(o.k <= greatest(1, floor(o.n * 0.25)), false) AS op, coalesce(c.k <= greatest(1, floor(c.n * 0.25)), false) AS sc FROM kept CROSS JOIN seeds s LEFT JOIN ops o ON o.seed = s.seed AND o.operator = kept.operator LEFT JOIN scs c ON c.seed = s.seed AND c.scene = kept.scene),
 sp AS (SELECT *, CASE WHEN op THEN 'eval_operator' WHEN sc THEN 'eval_scene' ELSE 'pool' END AS split, NOT op AND NOT sc AND keep AS pool_gated FROM sp0 WHERE NOT (op AND sc)),
 bud AS (SELECT seed, k_frac, greatest(5, floor(k_frac * count_if(pool_gated)))::BIGINT AS k FROM sp, (SELECT unnest([0.25, 0.5]::DOUBLE[]) AS k_frac) GROUP BY seed, k_frac)"""
+
+
+_SPLIT = f"{_CATALOG}, {_split_sql()}"
 _LENGTH_RULES = tuple(r for r in gate.RULES if r.signal == "duration_s")
 
 
@@ -237,11 +244,12 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PICK = "row_number() OVER (PARTITION BY sp.seed, k_frac ORDER BY md5(concat_ws('|', sp.seed, 'pick', episode_hash)), episode_hash)"
-_MEMBERS = f"""{_SPLIT}, cs AS (SELECT sp.*, k_frac, k, concat_ws('|', operator, scene) AS grp, count(*) OVER (PARTITION BY sp.seed, k_frac, concat_ws('|', operator, scene)) AS gs FROM sp JOIN bud ON bud.seed = sp.seed WHERE pool_gated),
+_PLAIN_MEMBERS = f"""cs AS (SELECT sp.*, k_frac, k, concat_ws('|', operator, scene) AS grp, count(*) OVER (PARTITION BY sp.seed, k_frac, concat_ws('|', operator, scene)) AS gs FROM sp JOIN bud ON bud.seed = sp.seed WHERE pool_gated),
 m AS (SELECT seed, k_frac, condition, rank, episode_hash FROM (
  SELECT sp.seed, k_frac, k, 'random' AS condition, {_PICK} AS rank, episode_hash FROM sp JOIN bud ON bud.seed = sp.seed WHERE pool_gated
  UNION ALL SELECT sp.seed, k_frac, k, 'random_nogate', {_PICK}, episode_hash FROM sp JOIN bud ON bud.seed = sp.seed WHERE split = 'pool'
  UNION ALL SELECT seed, k_frac, k, 'concentrated', row_number() OVER (PARTITION BY seed, k_frac ORDER BY gs DESC, md5(concat_ws('|', seed, 'group', grp)), grp, md5(concat_ws('|', seed, 'pick', episode_hash)), episode_hash), episode_hash FROM cs) WHERE rank <= k)"""
+_MEMBERS = f"{_SPLIT}, {_PLAIN_MEMBERS}"
 
 
 @query(f"WITH {_MEMBERS} SELECT * FROM m")
@@ -288,15 +296,16 @@ def signed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Sign test: binomial terms by log-gamma. Rank test: counts of rank subsets by sum (up to 50 pairs without ties), else the normal
 #: law's tails, integrated by Simpson's rule over 8 units.
-_SIGNIFICANCE = f"""WITH RECURSIVE {_RUNS},
-rk AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY condition, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY condition, abs(delta)) AS tied FROM dl WHERE delta <> 0),
+_TESTS = """rk AS (SELECT *, rank() OVER (PARTITION BY condition ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY condition, abs(delta)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY condition, abs(delta)) AS tied FROM dl WHERE delta <> 0),
 rs AS (SELECT condition, count(*) AS nz, sum(CASE WHEN delta < 0 THEN r ELSE 0 END)::DOUBLE AS rank_minus, sum(CASE WHEN delta > 0 THEN r ELSE 0 END)::DOUBLE AS rank_plus, max(tied) AS longest, sum(tied * tied - 1) AS ties FROM rk GROUP BY condition),
 al AS (SELECT condition, count(*) AS n, count_if(delta < 0) AS wins, avg(pct) AS mean_pct FROM dl GROUP BY condition),
 ps AS (SELECT condition, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS p_sign FROM al, LATERAL (SELECT unnest(range(n + 1)) AS k) WHERE abs(2 * k - n) >= abs(2 * wins - n) GROUP BY condition),
 ws(m, ways) AS (SELECT 0::BIGINT, [1.0::DOUBLE] UNION ALL SELECT m + 1, list_transform(range(len(ways) + m + 1), lambda i: coalesce(ways[i + 1], 0) + CASE WHEN i > m THEN coalesce(ways[i - m], 0) ELSE 0 END) FROM ws WHERE m < 50),
 z AS (SELECT *, least(rank_minus, rank_plus) AS low, abs(least(rank_minus, rank_plus) - nz * (nz + 1) / 4.0) / sqrt(2 * (nz * (nz + 1) * (2 * nz + 1) / 24.0 - ties / 48.0)) AS z FROM rs),
 pw AS (SELECT condition, CASE WHEN nz <= 50 AND longest = 1 THEN (SELECT 2 * list_sum(ways[1:low::BIGINT + 1]) / 2.0**nz FROM ws WHERE m = nz)
-  ELSE (SELECT 2 / sqrt(pi()) * sum(exp(-((z + i / 500.0)**2)) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 1500 FROM range(4001) AS t(i)) END AS p FROM z)
+  ELSE (SELECT 2 / sqrt(pi()) * sum(exp(-((z + i / 500.0)**2)) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 1500 FROM range(4001) AS t(i)) END AS p FROM z)"""
+_SIGNIFICANCE = f"""WITH RECURSIVE {_RUNS},
+{_TESTS}
 SELECT condition, n, wins, round(mean_pct, 6) AS mean_pct, round(rank_minus, 6) AS rank_minus, round(rank_plus, 6) AS rank_plus, round(least(1.0, p_sign), 6) AS p_sign, round(least(1.0, p), 6) AS p_wilcoxon
 FROM al JOIN rs USING (condition) JOIN ps USING (condition) JOIN pw USING (condition)"""
 
@@ -344,34 +353,40 @@ def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(embed.whiten(v, _Z, ["pool"])).select("episode_hash", "pool", *_Z)
 
 
+_DISTANCES = "d AS MATERIALIZED (SELECT a.pool, a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2)) AS d FROM v a JOIN v b USING (pool))"
 _PAIRS = """v AS (SELECT vec_id AS id, label AS pool, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings),
 n AS (SELECT pool, least(count(*), greatest(5, floor(0.25 * count(*))))::BIGINT AS k FROM v GROUP BY pool),
-d AS MATERIALIZED (SELECT a.pool, a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2)) AS d FROM v a JOIN v b USING (pool))"""
+""" + _DISTANCES
 
-_K_CENTER = f"""WITH RECURSIVE {_PAIRS},
-r(t, pool, id, gap, pick) AS (SELECT 1, pool, id, 'inf'::DOUBLE, min(id) OVER (PARTITION BY pool) FROM v UNION ALL
+#: Greedy selectors as CTEs ``pick_*`` (pool, rank, id), from the points ``v`` (pool, id, z), how many are picked ``n`` (pool, k) and
+#: the distances ``d`` of all pairs. Log-det: residuals of kernel vectors, with their coefficients on the picks so far as a list.
+#: Facility: each point with each candidate, whose gain is a sum over the points.
+_GREEDY = {
+    "kcenter": """r_k(t, pool, id, gap, pick) AS (SELECT 1, pool, id, 'inf'::DOUBLE, min(id) OVER (PARTITION BY pool) FROM v UNION ALL
   SELECT t + 1, pool, id, gap, first_value(id) OVER (PARTITION BY pool ORDER BY round(gap, 9) DESC, id) FROM (
-    SELECT t, r.pool, id, CASE WHEN id = pick THEN -1 ELSE least(gap, d.d) END AS gap FROM r JOIN d ON d.a = r.id AND d.b = r.pick JOIN n ON n.pool = r.pool WHERE t < k))
-SELECT DISTINCT pool, 'kcenter' AS condition, t::INT AS rank, pick AS episode_hash FROM r"""
-
-#: Residuals of kernel vectors, with their coefficients on the picks so far as a list.
-_LOG_DET = f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT pool, 1 / greatest(median(d), 1e-9) AS g FROM d WHERE a < b AND d > 1e-12 GROUP BY pool),
-kern AS MATERIALIZED (SELECT a, b, exp(-g * d) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS k FROM d JOIN g USING (pool)),
-r(t, pool, id, rest, c, pick) AS (SELECT 1, pool, id, 1 + 1e-6::DOUBLE, []::DOUBLE[], {{'i': min(id) OVER (PARTITION BY pool), 'r': 1 + 1e-6::DOUBLE, 'c': []::DOUBLE[]}} FROM v UNION ALL
-  SELECT t + 1, pool, id, rest, c, first_value({{'i': id, 'r': rest, 'c': c}}) OVER (PARTITION BY pool ORDER BY round(rest, 12) DESC, id) FROM (
+    SELECT t, r_k.pool, id, CASE WHEN id = pick THEN -1 ELSE least(gap, d.d) END AS gap FROM r_k JOIN d ON d.pool = r_k.pool AND d.a = r_k.id AND d.b = r_k.pick JOIN n ON n.pool = r_k.pool WHERE t < k)),
+pick_kcenter AS (SELECT DISTINCT pool, t AS rank, pick AS id FROM r_k)""",
+    "logdet": """g_l AS (SELECT pool, 1 / greatest(median(d), 1e-9) AS g FROM d WHERE a < b AND d > 1e-12 GROUP BY pool),
+kern AS MATERIALIZED (SELECT pool, a, b, exp(-g * d) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS k FROM d JOIN g_l USING (pool)),
+r_l(t, pool, id, rest, c, pick) AS (SELECT 1, pool, id, 1 + 1e-6::DOUBLE, []::DOUBLE[], {'i': min(id) OVER (PARTITION BY pool), 'r': 1 + 1e-6::DOUBLE, 'c': []::DOUBLE[]} FROM v UNION ALL
+  SELECT t + 1, pool, id, rest, c, first_value({'i': id, 'r': rest, 'c': c}) OVER (PARTITION BY pool ORDER BY round(rest, 12) DESC, id) FROM (
     SELECT t, pool, id, CASE WHEN id = pick.i OR rest < 0 THEN -1 ELSE greatest(rest - coef ** 2, 1e-12) END AS rest, list_append(c, coef) AS c FROM (
-      SELECT r.*, (kern.k - coalesce(list_sum(list_transform(list_zip(c, pick.c), lambda p: p[1] * p[2])), 0)) / sqrt(pick.r) AS coef
-      FROM r JOIN kern ON kern.a = r.id AND kern.b = r.pick.i JOIN n ON n.pool = r.pool WHERE t < n.k)))
-SELECT DISTINCT pool, 'logdet' AS condition, t::INT AS rank, pick.i AS episode_hash FROM r"""
-
-#: Each point with each candidate: a candidate's gain is a sum over the points.
-_FACILITY = f"""WITH RECURSIVE {_PAIRS}, m AS (SELECT pool, a AS id FROM d GROUP BY pool, a QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(sum(d), 9), a) = 1),
-r(t, pool, id, gap, picks) AS (SELECT 1, pool, b, d.d, [m.id] FROM m JOIN d USING (pool) WHERE d.a = m.id UNION ALL
+      SELECT r_l.*, (kern.k - coalesce(list_sum(list_transform(list_zip(c, pick.c), lambda p: p[1] * p[2])), 0)) / sqrt(pick.r) AS coef
+      FROM r_l JOIN kern ON kern.pool = r_l.pool AND kern.a = r_l.id AND kern.b = r_l.pick.i JOIN n ON n.pool = r_l.pool WHERE t < n.k))),
+pick_logdet AS (SELECT DISTINCT pool, t AS rank, pick.i AS id FROM r_l)""",
+    "facility": """m_f AS (SELECT pool, a AS id FROM d GROUP BY pool, a QUALIFY row_number() OVER (PARTITION BY pool ORDER BY round(sum(d), 9), a) = 1),
+r_f(t, pool, id, gap, picks) AS (SELECT 1, pool, b, d.d, [m_f.id] FROM m_f JOIN d USING (pool) WHERE d.a = m_f.id UNION ALL
   SELECT t + 1, pool, id, least(gap, max(CASE WHEN a = pick THEN d END) OVER (PARTITION BY pool, id)), list_append(picks, pick) FROM (
     SELECT *, first_value(a) OVER (PARTITION BY pool ORDER BY list_contains(picks, a), round(gain, 9) DESC, a) AS pick FROM (
-      SELECT t, r.pool, r.id, gap, picks, d.a, d.d, sum(greatest(gap - d.d, 0)) OVER (PARTITION BY r.pool, d.a) AS gain FROM r JOIN d ON d.b = r.id JOIN n ON n.pool = r.pool WHERE t < n.k))
-  QUALIFY a = id)
-SELECT DISTINCT pool, 'facility' AS condition, t::INT AS rank, picks[t] AS episode_hash FROM r"""
+      SELECT t, r_f.pool, r_f.id, gap, picks, d.a, d.d, sum(greatest(gap - d.d, 0)) OVER (PARTITION BY r_f.pool, d.a) AS gain
+      FROM r_f JOIN d ON d.pool = r_f.pool AND d.b = r_f.id JOIN n ON n.pool = r_f.pool WHERE t < n.k))
+  QUALIFY a = id),
+pick_facility AS (SELECT DISTINCT pool, t AS rank, picks[t] AS id FROM r_f)""",
+}
+
+
+def _varied_sql(method: str) -> str:
+    return f"WITH RECURSIVE {_PAIRS}, {_GREEDY[method]} SELECT pool, '{method}' AS condition, rank::INT AS rank, id AS episode_hash FROM pick_{method}"
 
 
 def _varied(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
@@ -383,17 +398,17 @@ def _varied(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return picks.join(k, "pool").where(F.col("rank") <= F.col("k")).drop("k")
 
 
-@query(_K_CENTER)
+@query(_varied_sql("kcenter"))
 def select_k_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _varied(spark, sf_dir, "kcenter")
 
 
-@query(_LOG_DET)
+@query(_varied_sql("logdet"))
 def select_log_det(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _varied(spark, sf_dir, "logdet")
 
 
-@query(_FACILITY)
+@query(_varied_sql("facility"))
 def select_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _varied(spark, sf_dir, "facility")
 
@@ -517,55 +532,149 @@ def train_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ridge.moments(w, bind.suppliers(spark, sf_dir).select("episode_hash", F.col("lab").alias("run")), ["run"]), 5)
 
 
-@query()
+_HALVES = """su AS (SELECT s_suppkey AS ep, 'lab' || (s_nationkey % 3) AS lab FROM supplier),
+hv AS (SELECT seed, ep, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'eval', ep)), ep) <= floor(count(*) OVER (PARTITION BY seed) * 0.5) AS picked FROM su, (SELECT unnest([0, 1]) AS seed) WHERE lab <> 'lab0'),
+tr AS (SELECT 'seed' || seed AS run, seed, ep FROM hv WHERE picked), ev AS (SELECT run, 'unseen_lab' AS side, ep FROM su, (SELECT unnest(['seed0', 'seed1']) AS run) WHERE lab = 'lab0')"""
+
+
+@query(f"WITH RECURSIVE {fit_sql.POSES}, {fit_sql.windows()}, {_HALVES}, {fit_sql.fit_and_score(experiment.Setting().features)} SELECT run, alpha, side, n, round(mse, 5) AS mse FROM fit_r")
 def select_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two random halves of the suppliers, fitted and scored on the suppliers of one lab."""
+    """Two random halves of the suppliers, fitted at full size and scored on the suppliers of one lab."""
     w, eps = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)), bind.suppliers(spark, sf_dir)
     seeded = settled(sampling.random_split(eps.where("lab <> 'lab0'"), [0, 1], "episode_hash", 0.5)).where("is_eval")
     train = seeded.select(F.concat(F.lit("seed"), F.col("seed").cast("string")).alias("run"), "episode_hash", "seed")
     sides = eps.where("lab = 'lab0'").withColumn("run", F.explode(F.array(F.lit("seed0"), F.lit("seed1")))).select("run", F.lit("unseen_lab").alias("side"), "episode_hash")
-    return ridge.fit_and_score(w, train, sides, features=_SETTING.features)
+    return rounded(ridge.fit_and_score(w, train, sides, features=experiment.Setting().features), 5)
 
 
-@query()
+_ONE_MODEL = "tr AS (SELECT 'all' AS run, 0 AS seed, s_suppkey AS ep FROM supplier WHERE s_nationkey % 3 <> 0), ev AS (SELECT 'all' AS run, 'unseen' AS side, s_suppkey AS ep FROM supplier WHERE s_nationkey % 3 = 0)"
+
+
+@query(
+    f"WITH RECURSIVE {fit_sql.POSES}, {fit_sql.windows()}, {_ONE_MODEL}, {fit_sql.lifted(_SETTING.features)}, {fit_sql.fitted(_SETTING.features)}, "
+    "each_w AS (SELECT ep, s, list_sum(list_transform(y, lambda v: abs(v))) / len(y) AS motion, list_sum(list_transform(list_zip(w, y), lambda q: (list_dot_product(h, q[1]) - q[2]) ** 2)) / len(y) AS mse FROM fit_h, fit_w WHERE side = 'unseen') "
+    "SELECT ep AS episode_hash, s::INT AS start, round(motion, 5) AS motion, round(mse, 5) AS mse, round(avg(mse) OVER (PARTITION BY ep), 5) AS episode_mse, "
+    "row_number() OVER (PARTITION BY ep ORDER BY motion, s) - 1 = floor(count(*) OVER (PARTITION BY ep) * 0.85) AS shown FROM each_w"
+)
 def window_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, eps = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS)), bind.suppliers(spark, sf_dir)
     models = ridge.fit_models(w, eps.where("lab <> 'lab0'").select(F.lit("all").alias("run"), "episode_hash"), features=_SETTING.features)
     own = w.join(eps.where("lab = 'lab0'").select("episode_hash"), "episode_hash", "left_semi")
-    return ridge.error_by_window(own, models["all"]) if models else own.select("episode_hash", "start")
+    return rounded(ridge.error_by_window(own, models["all"]), 5)
 
 
 def _experiment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.assign_split(_episodes(spark, sf_dir), [0, 1, 2])
 
 
-@query()
+_BOUND = {r.name: r.bound for r in BOUND_RULES}
+_SUPPLIERS = f"""{_FRAMES}, fe AS (SELECT ep AS episode_hash, {', '.join(_FEATURE_SQL)} FROM s1 GROUP BY ep),
+cat AS MATERIALIZED (SELECT fe.*, f_duration_s AS duration_s, 'o' || s_nationkey AS operator, 's' || (s_suppkey % 8) AS scene FROM fe JOIN supplier ON s_suppkey = episode_hash)"""
+_EXPERIMENT = f"{_SUPPLIERS}, {_split_sql(_BOUND['too_short'], _BOUND['runaway'], _BOUND['fragment'])}, {_PLAIN_MEMBERS}"
+_WHITE = ", ".join(f"(coalesce(nullif({c}, 'nan'::DOUBLE), 0) - avg(coalesce(nullif({c}, 'nan'::DOUBLE), 0)) OVER w) / (stddev_pop(coalesce(nullif({c}, 'nan'::DOUBLE), 0)) OVER w + 1e-9)" for c in FEATURES)
+
+
+def _geometric(methods: tuple[str, ...]) -> str:
+    """CTEs from ``sp`` and ``bud`` up to ``geo``: the picks of the geometric conditions."""
+    each = " UNION ALL ".join(f"SELECT pool AS seed, k_frac, '{c}' AS condition, rank::BIGINT AS rank, id AS episode_hash FROM pick_{c} JOIN bud ON bud.seed = pool WHERE rank <= k" for c in methods)
+    return f"""v AS MATERIALIZED (SELECT seed AS pool, episode_hash AS id, [{_WHITE}] AS z FROM sp WHERE pool_gated WINDOW w AS (PARTITION BY seed)),
+n AS (SELECT pool, least(count(*), (SELECT max(k) FROM bud))::BIGINT AS k FROM v GROUP BY pool), {_DISTANCES}, {', '.join(_GREEDY[c] for c in methods)}, geo AS ({each})"""
+
+
+def _runs_sql(sides: str, least: int = 50, win: str = "win", n: str = "") -> str:
+    """CTEs from the membership ``mm`` (seed, k_frac, condition, episode_hash) and the windows up to ``tr`` and ``ev``: runs of enough
+    windows, of seeds that have windows on each of ``sides``, a query of (seed, side, ep)."""
+    return f"""cw{n} AS (SELECT ep, count(*) AS w FROM {win} GROUP BY ep), si{n} AS ({sides}),
+sn{n} AS (SELECT seed, side, count(*) AS n_eval_eps, coalesce(sum(w), 0)::BIGINT AS n_eval_win FROM si{n} LEFT JOIN cw{n} USING (ep) GROUP BY ALL),
+ok{n} AS (SELECT seed FROM sn{n} WHERE n_eval_win > 0 GROUP BY seed HAVING count(*) = (SELECT count(DISTINCT side) FROM si{n})),
+ru{n} AS (SELECT seed, k_frac, condition, concat_ws('|', seed, k_frac, condition) AS run, count(*) AS n_train_eps, coalesce(sum(w), 0)::BIGINT AS n_train_win FROM mm LEFT JOIN cw{n} ON ep = episode_hash WHERE seed IN (FROM ok{n}) GROUP BY ALL HAVING coalesce(sum(w), 0) >= {least}),
+tr{n} AS (SELECT run, mm.seed, episode_hash AS ep FROM mm JOIN ru{n} USING (seed, k_frac, condition)), ev{n} AS (SELECT run, side, ep FROM ru{n} JOIN si{n} USING (seed))"""
+
+
+_AXES = "SELECT seed, split AS side, episode_hash AS ep FROM sp WHERE split <> 'pool'"
+_VARIED_SQL = _geometric(experiment.VARIED)
+_BOTH = "max(CASE WHEN side = 'eval_operator' THEN mse END) AS mse_unseen_operator, max(CASE WHEN side = 'eval_scene' THEN mse END) AS mse_unseen_scene"
+
+
+@query(f"""WITH RECURSIVE {_EXPERIMENT}, {_VARIED_SQL}, mm AS (SELECT seed, k_frac, condition, episode_hash FROM m UNION ALL SELECT seed, k_frac, condition, episode_hash FROM geo UNION ALL SELECT seed, 1.0, 'all_gated', episode_hash FROM sp WHERE pool_gated),
+gc AS (SELECT seed, k_frac, condition, CASE WHEN condition = 'random_nogate' THEN -1 ELSE count(DISTINCT operator || '|' || scene) END AS n_groups FROM mm JOIN cat USING (episode_hash) GROUP BY seed, k_frac, condition),
+{fit_sql.POSES}, {fit_sql.windows()}, {_runs_sql(_AXES)}, {fit_sql.fit_and_score(_SETTING.features)}, re AS (SELECT run, {_BOTH} FROM fit_r GROUP BY run)
+SELECT seed, k_frac, condition, n_train_eps, n_train_win, round(mse_unseen_operator, 5) AS mse_unseen_operator, round(mse_unseen_scene, 5) AS mse_unseen_scene, n_groups FROM ru JOIN re USING (run) JOIN gc USING (seed, k_frac, condition)""")
 def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS))
-    return experiment.run_experiment(w, _experiment_split(spark, sf_dir), FEATURES, [0.25, 0.5], setting=_SETTING)
+    out = experiment.run_experiment(w, _experiment_split(spark, sf_dir), FEATURES, [0.25, 0.5], setting=_SETTING)
+    return out.select("seed", "k_frac", "condition", "n_train_eps", "n_train_win", *[F.round(c, 5).alias(c) for c in experiment.METRICS], F.col("n_groups").cast("long").alias("n_groups"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EXPERIMENT}, {_VARIED_SQL} SELECT seed, k_frac, condition, rank, episode_hash FROM geo")
 def geometric_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.run_selectors(_experiment_split(spark, sf_dir), FEATURES, [0.25, 0.5], experiment.VARIED)
 
 
-@query()
-def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = (_SETTING, experiment.Setting(alpha=0.1, features=64), experiment.Setting(features=32), experiment.Setting(features=64, history=5))
-    sweep = experiment.sensitivity_sweep(_poses(spark, sf_dir), _TRACKS, _experiment_split(spark, sf_dir), FEATURES, grid, conditions=("random", "kcenter", "concentrated"))
-    return compare.sensitivity_summary(sweep, experiment.METRICS)
+#: The sweep's nine settings at an eighth of its features.
+_SWEEP = tuple(experiment.Setting(g.alpha, g.features // 8, g.history, g.horizon) for g in experiment.GRID)
+_SWEPT = ("random", *experiment.VARIED, "concentrated")
 
 
-@query()
+def _sweep_sql(grid: tuple[experiment.Setting, ...]) -> str:
+    parts, scores, cut = [], [], {}
+    for history, horizon in sorted({(g.history, g.horizon) for g in grid}):
+        cut[history, horizon] = f"w{len(cut)}"
+        name = cut[history, horizon]
+        parts += [fit_sql.windows(history, horizon, name), _runs_sql(_AXES, win=name, n=f"_{name}")]
+        for features in sorted({g.features for g in grid if (g.history, g.horizon) == (history, horizon)}):
+            alphas = tuple(g.alpha for g in grid if (g.history, g.horizon, g.features) == (history, horizon, features))
+            n = f"{name}_{features}"
+            parts.append(fit_sql.fit_and_score(features, alphas, name, f"tr_{name}", f"ev_{name}", n))
+            scores.append(f"SELECT seed, condition, alpha, {features} AS n_features, {history} AS history, {horizon} AS horizon, side, mse FROM {n}_r JOIN ru_{name} USING (run)")
+    pct = lambda side: f"round(avg(100.0 * (r.mse / b.mse - 1)) FILTER (r.side = '{side}'), 4)"
+    return f"""{', '.join(parts)}, al AS ({' UNION ALL '.join(scores)})
+SELECT r.condition, r.alpha, r.n_features, r.history, r.horizon, {pct('eval_operator')} AS mse_unseen_operator, {pct('eval_scene')} AS mse_unseen_scene
+FROM al r JOIN al b USING (seed, alpha, n_features, history, horizon, side) WHERE b.condition = 'random' AND r.condition <> 'random' GROUP BY ALL"""
+
+
+@query(f"WITH RECURSIVE {_EXPERIMENT}, {_VARIED_SQL}, mm AS (SELECT seed, k_frac, condition, episode_hash FROM (FROM m UNION ALL BY NAME FROM geo) WHERE k_frac = 0.25 AND condition IN {_SWEPT}), {fit_sql.POSES}, {_sweep_sql(_SWEEP)}")
+def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sweep = experiment.sensitivity_sweep(_poses(spark, sf_dir), _TRACKS, _experiment_split(spark, sf_dir), FEATURES, _SWEEP, conditions=_SWEPT)
+    return rounded(compare.sensitivity_summary(sweep, experiment.METRICS), 4)
+
+
+_PRICE_ARM = "row_number() OVER (PARTITION BY ra.seed ORDER BY md5(concat_ws('|', ra.seed, 'pick', episode_hash)), episode_hash)"
+_PRICE_UPTO = "sum(n_windows) OVER (PARTITION BY ra.seed ORDER BY md5(concat_ws('|', ra.seed, 'until', episode_hash)), episode_hash ROWS UNBOUNDED PRECEDING) AS upto"
+_PRICE = f"""{_SUPPLIERS}, {_split_sql(_BOUND['too_short'], _BOUND['runaway'], _BOUND['fragment'])}, {fit_sql.POSES}, {fit_sql.windows()},
+g0 AS (SELECT episode_hash, keep, coalesce(w, 0) AS n_windows FROM kept LEFT JOIN (SELECT ep, count(*) AS w FROM win GROUP BY ep) ON ep = episode_hash),
+ra AS MATERIALIZED (SELECT g0.*, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'eval', episode_hash)), episode_hash) <= floor(count(*) OVER (PARTITION BY seed) * 0.25) AS is_eval FROM g0, seeds),
+gb AS (SELECT seed, count(*) AS k, sum(n_windows) AS target FROM ra WHERE keep AND NOT is_eval GROUP BY seed),
+mm AS (SELECT seed, 1.0 AS k_frac, condition, episode_hash FROM (
+  SELECT seed, 'gated_equal_episodes' AS condition, episode_hash FROM ra WHERE keep AND NOT is_eval
+  UNION ALL SELECT seed, 'ungated_equal_episodes', episode_hash FROM (SELECT ra.*, k, {_PRICE_ARM} AS r FROM ra JOIN gb ON gb.seed = ra.seed WHERE NOT is_eval) WHERE r <= k
+  UNION ALL SELECT seed, 'gated_equal_frames', episode_hash FROM (SELECT ra.*, target, {_PRICE_UPTO} FROM ra JOIN gb ON gb.seed = ra.seed WHERE keep AND NOT is_eval AND n_windows > 0) WHERE upto - n_windows < target
+  UNION ALL SELECT seed, 'ungated_equal_frames', episode_hash FROM (SELECT ra.*, target, {_PRICE_UPTO} FROM ra JOIN gb ON gb.seed = ra.seed WHERE NOT is_eval AND n_windows > 0) WHERE upto - n_windows < target)),
+{_runs_sql("SELECT seed, 'unseen' AS side, episode_hash AS ep FROM ra WHERE is_eval AND keep")}, {fit_sql.fit_and_score(_SETTING.features)},
+pr AS (SELECT seed, condition, n_train_eps, n_train_win, n_eval_eps, n_eval_win, mse AS avg_mse FROM ru JOIN fit_r USING (run) JOIN sn USING (seed))"""
+
+
+@query(f"WITH RECURSIVE {_PRICE} SELECT seed, condition, n_train_eps, n_train_win, n_eval_eps, n_eval_win, round(avg_mse, 5) AS avg_mse FROM pr")
 def gate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_gate_value(spark, sf_dir), 5)
+
+
+def _gate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = settled(ridge.episode_windows(_poses(spark, sf_dir), _TRACKS))
     return experiment.gate_value(w, _episodes(spark, sf_dir), [0, 1, 2], _SETTING)
 
 
-@query()
+_ARM_MEAN = ", ".join(f"round(avg(CASE WHEN arm = '{a}' THEN {c} END), 5) AS {a}_{k}" for a in ("gated", "ungated") for c, k in (("avg_mse", "mse"), ("n_train_eps", "eps"), ("n_train_win", "win")))
+
+
+@query(f"""WITH RECURSIVE {_PRICE}, ar AS (SELECT *, split_part(condition, '_', 1) AS arm, substr(condition, instr(condition, '_') + 1) AS mode FROM pr),
+dl AS (SELECT g.mode AS condition, g.avg_mse - u.avg_mse AS delta, 100.0 * (g.avg_mse / u.avg_mse - 1) AS pct FROM ar g JOIN ar u USING (seed, mode) WHERE g.arm = 'gated' AND u.arm = 'ungated'),
+{_TESTS}
+SELECT mode, {_ARM_MEAN}, any_value(n) AS n, any_value(wins) AS wins, round(any_value(mean_pct), 4) AS mean_pct, round(any_value(least(1.0, p_sign)), 5) AS p_sign, round(any_value(least(1.0, p)), 5) AS p_wilcoxon
+FROM ar JOIN al ON al.condition = mode JOIN ps ON ps.condition = mode JOIN pw ON pw.condition = mode GROUP BY mode""")
 def gate_value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.gate_value_summary(settled(gate_value(spark, sf_dir)))
+    out = compare.gate_value_summary(settled(_gate_value(spark, sf_dir)))
+    return out.select(*[F.round(c, 4 if c == "mean_pct" else 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 _ARM = "row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'pick', episode_hash)), episode_hash)"

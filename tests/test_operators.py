@@ -215,7 +215,8 @@ def test_windows_equal_numpy(spark):
     assert all(np.array_equal(np.array(got[k]["x"], "f4"), x) and np.array_equal(np.array(got[k]["y"], "f4"), y) for k, (x, y) in want.items())
 
 
-def test_fit_and_score_equal_numpy(spark):
+@pytest.mark.parametrize("features", [16, 150])
+def test_fit_and_score_equal_numpy(spark, features):
     rng = np.random.default_rng(1)
     rows, plain = _tracks(rng, {f"e{i}": 60 + 20 * i for i in range(8)})
     for x in plain.values():
@@ -226,17 +227,17 @@ def test_fit_and_score_equal_numpy(spark):
     member = {"r1": ["e0", "e1", "e2", "e6"], "r2": ["e3", "e4"]}
     train = spark.createDataFrame([(r, e, 5) for r, es in member.items() for e in es], "run string, episode_hash string, seed int")
     sides = spark.createDataFrame([(r, s, e) for r in member for s, e in (("x", "e5"), ("x", "e7"), ("y", "e6"), ("none", "absent"))], "run string, side string, episode_hash string")
-    out = {(r["run"], r["alpha"], r["side"]): r for r in ridge.fit_and_score(w, train, sides, 16, (0.5, 2.0), per_pass=1).collect()}
+    out = {(r["run"], r["alpha"], r["side"]): r for r in ridge.fit_and_score(w, train, sides, features, (0.5, 2.0), budget=1).collect()}
     own = {e: _windows(*plain[e], 10, 30) for e in plain}
     stack = lambda es: (np.array([x for e in es for _, x, _ in own[e]], float), np.array([y for e in es for *_, y in own[e]], float))
-    models = ridge.fit_models(w, train, 16, 2.0)
+    models = ridge.fit_models(w, train, features, 2.0)
     for run, es in member.items():
         x, y = stack(es)
-        p, b = ridge.random_features(x.shape[1], 16, 5)
+        p, b = ridge.random_features(x.shape[1], features, 5)
         lift = lambda v, x=x, p=p, b=b: np.hstack([np.cos((v - x.mean(0)) / (x.std(0) + 1e-6) @ p + b), np.ones((len(v), 1))])
         for alpha in (0.5, 2.0):
             h = lift(x)
-            weights = np.linalg.solve(h.T @ h + alpha * np.eye(17), h.T @ y)
+            weights = np.linalg.solve(h.T @ h + alpha * np.eye(features + 1), h.T @ y)
             for side, tested in (("x", ["e5", "e7"]), ("y", ["e6"])):
                 xe, ye = stack(tested)
                 assert out[run, alpha, side]["mse"] == pytest.approx(((lift(xe) @ weights - ye) ** 2).mean(), rel=1e-7) and out[run, alpha, side]["n"] == len(xe)
@@ -246,6 +247,14 @@ def test_fit_and_score_equal_numpy(spark):
     assert np.mean([r["mse"] for r in errors]) == pytest.approx(out["r2", 2.0, "x"]["mse"]) and sum(r["shown"] for r in errors) == 2
 
 
+def test_random_features_are_normal_and_uniform():
+    p, b = ridge.random_features(30, 400, 3)
+    again, _ = ridge.random_features(30, 400, 3)
+    assert np.array_equal(p, again) and not np.array_equal(p, ridge.random_features(30, 400, 4)[0])
+    assert abs(p.mean()) < 0.01 and p.std() * 30**0.5 == pytest.approx(1, abs=0.03) and abs((np.abs(p) * 30**0.5 < 1).mean() - 0.6827) < 0.02
+    assert 0 < b.min() < 0.1 and 6.1 < b.max() < 2 * math.pi and abs(b.mean() - math.pi) < 0.3
+
+
 def test_experiment_and_gate_value_rows(spark):
     rng = np.random.default_rng(2)
     rows, _ = _tracks(rng, {f"e{i:02}": 80 + i for i in range(36)})
