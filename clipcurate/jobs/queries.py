@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from clipcurate.functions.points import into_head, pinhole
 from clipcurate.jobs import fit_sql
 from clipcurate.operators import camera, compare, embed, experiment, gate, profile, ridge, sampling, signals, subset
-from clipcurate.sources import bind, ingest
-from clipcurate.sources.store import settled
+from clipcurate.sources import bind, ingest, resume
+from clipcurate.sources.store import scratch, settled, write_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -190,9 +190,22 @@ def ordinal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.ordinal_codes(bind.catalog(spark, sf_dir), "operator").withColumn("code", F.col("code").cast("long"))
 
 
-@query("SELECT value, episodes, n = 1 AS is_constant FROM (SELECT json_extract_string(props, '$.k') AS value, count(*) AS episodes, count(*) OVER () AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1) ORDER BY episodes DESC, value LIMIT 5")
+_FOCAL = "CASE WHEN event_type = 'view' THEN 133 ELSE 100 + user_id % 4 END"
+
+
+@query(
+    f"WITH k AS (SELECT '{{\"cam1\":[[' || {_FOCAL} || ',0,320],[0,' || {_FOCAL} || ',240],[0,0,1]],\"fps\":{{\"a\":30,\"b\":1.5}}}}' AS value, {_FOCAL} AS f, event_id FROM events), "
+    "v AS (SELECT value, count(*) AS episodes, any_value(f) = 133 AS matches FROM k WHERE event_id % 50 <> 0 GROUP BY value UNION ALL SELECT 'ERROR', count(*), false FROM k WHERE event_id % 50 = 0 HAVING count(*) > 0) "
+    "SELECT value, episodes, (SELECT count(*) FROM v) = 1 AS is_constant, matches FROM v ORDER BY episodes DESC, value LIMIT 5"
+)
 def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.attr_constancy(spark.read.parquet(f"{sf_dir}/events.parquet"), "props", "$.k")
+    """Camera matrices as JSON whose keys, spaces and numbers are written in different ways, some of it broken."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("f", F.when(F.col("event_type") == "view", 133).otherwise(100 + F.col("user_id") % 4).cast("string"))
+    matrix = F.concat(F.lit("[["), F.col("f"), F.lit(",0,320],[0,"), F.col("f"), F.lit(".0,240.00],[0, 0,1]]"))
+    one = F.concat(F.lit('{"cam1":'), matrix, F.lit(',"fps":{"a":30,"b":1.5}}'))
+    other = F.concat(F.lit('{ "fps": {"b":1.50, "a":30.0}, "cam1": '), matrix, F.lit(" }"))
+    attrs = e.select(F.when(F.col("event_id") % 50 == 0, F.lit('{"cam1":')).when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("intrinsics"))
+    return ingest.attr_constancy(attrs, "intrinsics", expected=[[133, 0, 320], [0, 133, 240], [0, 0, 1]], leaf="$.cam1")
 
 
 @query("SELECT doc_id AS episode_hash FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -819,3 +832,57 @@ def first_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_KEPT}, t AS (SELECT 'typical' AS kind, episode_hash, duration_s AS value FROM kept WHERE keep ORDER BY abs(duration_s - m), episode_hash LIMIT 2), l AS (SELECT 'longest_dropped' AS kind, episode_hash, duration_s AS value FROM kept WHERE NOT keep ORDER BY duration_s DESC, episode_hash LIMIT 2) SELECT kind, episode_hash, round(value, 6) AS value FROM t UNION ALL SELECT kind, episode_hash, round(value, 6) FROM l")
 def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gate.exemplars(gate.apply_gate(bind.catalog(spark, sf_dir), _LENGTH_RULES)))
+
+
+class _Stopped(Exception):
+    """The run ends between a batch's frames and its ledger."""
+
+
+@query(
+    "WITH f AS (SELECT l_suppkey AS ep, count(*) AS n FROM lineitem GROUP BY 1) SELECT s_suppkey AS episode_hash, CASE WHEN s_suppkey % 11 = 0 THEN 'error' ELSE 'ok' END AS status, "
+    "CASE WHEN s_suppkey % 11 <> 0 THEN least(n, 100 + s_suppkey % 600) END AS frames FROM supplier JOIN f ON ep = s_suppkey"
+)
+def resumed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of all suppliers, taken in four batches: a run that stops before the second batch is committed, and one that goes on."""
+    frames, path = settled(bind.frames(spark, sf_dir).select("episode_hash", "frame_idx", "left_ee")), f"{scratch(spark)}/episodes"
+    lengths = settled(frames.groupBy("episode_hash").agg(F.count(F.lit(1)).alias("padded_len")))
+
+    def pull(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        k = F.col("episode_hash")
+        log = batch.join(lengths, "episode_hash").withColumn("total_frames", F.least("padded_len", 100 + k % 600))
+        log = log.select("episode_hash", F.when(k % 11 == 0, "error").otherwise("ok").alias("status"), "total_frames", "padded_len", F.lit(None).cast("long").alias("sql_num_frames"), F.lit(0).cast("long").alias("n_annotations"), F.when(k % 11 == 0, "unreadable").alias("error"))
+        own = frames.join(batch.select("episode_hash"), "episode_hash", "left_semi")
+        return ingest.trim_padding(own, log.where("status = 'ok'")), log
+
+    def stop(number: int) -> None:
+        if number == 2:
+            raise _Stopped
+
+    catalog = bind.suppliers(spark, sf_dir).select("episode_hash").join(lengths.select("episode_hash"), "episode_hash", "left_semi")
+    try:
+        resume.ingest(spark, catalog, pull, path, batches=4, before_commit=stop)
+    except _Stopped:
+        pass
+    done = resume.ingest(spark, catalog, pull, path, batches=4)
+    seen = resume.committed(spark, path).groupBy("episode_hash").agg(F.count(F.lit(1)).alias("frames"))
+    last = done.groupBy("episode_hash").agg(F.max_by("status", "batch").alias("status"))
+    return last.join(seen, "episode_hash", "left").select("episode_hash", "status", "frames")
+
+
+@query("SELECT l_suppkey AS episode_hash, i::INT AS pick, f::INT AS frame_idx, round(q, 6) AS left_x FROM (SELECT l_suppkey, l_quantity AS q, row_number() OVER w - 1 AS f, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey)), range(11) t(i) WHERE f = CASE WHEN i < 8 THEN floor(floor(n * 0.08::DOUBLE) + (floor(n * 0.92::DOUBLE) - floor(n * 0.08::DOUBLE)) * i / 7) ELSE floor(n * [0.25, 0.5, 0.75][i - 7]::DOUBLE) END")
+def frames_at_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight evenly spaced frames of each episode, then those at its quarters."""
+    frames = settled(bind.frames(spark, sf_dir).select("episode_hash", "frame_idx", F.get("left_ee", F.lit(0)).alias("left_x")))
+    attrs = settled(frames.groupBy("episode_hash").agg(F.count(F.lit(1)).alias("n")))
+    places = F.concat(ingest.evenly_spaced(F.col("n"), 8), ingest.fixed_frames(F.col("n")))
+    return rounded(ingest.sampled_frames(frames, attrs, places).select("episode_hash", "pick", "frame_idx", "left_x"))
+
+
+@query(f"WITH {_SIGNALS}, {_gate_sql(BOUND_RULES)} SELECT lab, episode_hash, drop_reason FROM gated")
+def written_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep and drop decisions written as CSV in folders by lab, twice, and read back."""
+    gated, path = settled(gate.apply_gate(_signals(spark, sf_dir), BOUND_RULES).select("lab", "episode_hash", "drop_reason")), f"{scratch(spark)}/decisions"
+    for _ in range(2):
+        write_table(gated, path, "csv", by=("lab",))
+    back = spark.read.option("header", True).schema("episode_hash long, drop_reason string, lab string").csv(path)
+    return back.select("lab", "episode_hash", F.coalesce("drop_reason", F.lit("")).alias("drop_reason"))

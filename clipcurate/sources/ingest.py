@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_catalog(spark: SparkSession, source: str, jdbc: dict[str, str] | None = None, column: str | None = None, low: int = 0, high: int = 1, parts: int = 16) -> DataFrame:
-    """The episode table: a Parquet folder, or a database table if ``jdbc`` has the reader's options; with a numeric or date
-    ``column`` and its bounds, it is read in ``parts`` ranges of that at a time."""
+def read_catalog(spark: SparkSession, source: str, jdbc: dict[str, str] | None = None, key: str | None = None, parts: int = 16, prefix: int = 2) -> DataFrame:
+    """The episode table: a Parquet folder, or a database table if ``jdbc`` has the reader's options. With a text ``key`` that is
+    read in up to ``parts`` ranges at a time (see ``key_ranges``)."""
     if jdbc is None:
         return spark.read.parquet(source)
-    ranges = {} if column is None else {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
-    return spark.read.format("jdbc").options(dbtable=source, **jdbc, **ranges).load()
+    if key is None:
+        return spark.read.format("jdbc").options(dbtable=source, **jdbc).load()
+    options = {k: v for k, v in jdbc.items() if k != "url"}
+    return spark.read.jdbc(jdbc["url"], source, predicates=key_ranges(spark, source, jdbc, key, parts, prefix), properties=options)
+
+
+def key_ranges(spark: SparkSession, source: str, jdbc: dict[str, str], key: str, parts: int = 16, prefix: int = 2) -> list[str]:
+    """Predicates that cut a database table into at most ``parts`` ranges of a text key, of about as many rows each.
+
+    Spark can split a read by numbers and dates only. So the database is asked how many rows begin with each ``prefix``
+    characters, and ranges begin where that is a share of all. Each bound is compared as the database compares texts, and
+    every row fits exactly one predicate, those without a key the first.
+    """
+    counts = f"(SELECT {_start(key, prefix)} AS START_, COUNT(*) AS ROWS_ FROM {source} WHERE {key} IS NOT NULL GROUP BY {_start(key, prefix)}) counts_"
+    found = spark.read.format("jdbc").options(dbtable=counts, **jdbc).load().toDF("start", "rows")
+    w = Window.orderBy("start")
+    total = F.sum("rows").over(Window.partitionBy())
+    upto = F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = found.select("start", F.floor(upto * parts / total).alias("part"))
+    bounds = [row["start"] for row in share.groupBy("part").agg(F.min("start").alias("start")).orderBy("start").collect()][1:]  # fewer than parts
+    text = ["'" + b.replace("'", "''") + "'" for b in bounds]
+    if not text:
+        return ["1 = 1"]
+    middle = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(text[:-1], text[1:], strict=True)]
+    return [f"{key} < {text[0]} OR {key} IS NULL", *middle, f"{key} >= {text[-1]}"]
+
+
+def _start(key: str, prefix: int) -> str:
+    return f"SUBSTR({key}, 1, {prefix})"
 
 
 def read_frames(spark: SparkSession, path: str, columns: list[str], lab: str | None = None, lab_column: str = "lab") -> DataFrame:
@@ -81,18 +110,29 @@ def slice_catalog(catalog: DataFrame, path: str | None = None, **equal: str) ->
     return out if path is None else out.where(F.trim(F.coalesce(F.col(path), F.lit(""))) != "")
 
 
-def attr_constancy(attrs: DataFrame, json: str, path: str, n: int = 5, expected: list[float] | None = None, atol: float = 1e-6) -> DataFrame:
-    """(value, episodes, is_constant[, matches]): the n commonest values at a path of a JSON attribute, ties by value. ``matches``:
-    the value, a number or an array of numbers, nested or not, is within atol + 1e-5 * |expected| of ``expected``."""
-    seen = attrs.select(F.get_json_object(json, path).alias("value")).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("episodes"))
-    kinds = F.broadcast(seen.agg((F.count(F.lit(1)) == 1).alias("is_constant")))
+def attr_constancy(attrs: DataFrame, json: str, path: str = "$", n: int = 5, expected: list | float | None = None, leaf: str | None = None, atol: float = 1e-6) -> DataFrame:
+    """(value, episodes, is_constant[, matches]): the n commonest values at a path of a JSON attribute, ties by value.
+
+    Values are compared as JSON, not as text: ``value`` is written from the parsed variant, with sorted keys and no spaces.
+    What doesn't parse is the value ``ERROR`` and constant of nothing; a path that isn't there, and NULL, don't count.
+    ``matches``: the number, vector or matrix at ``leaf``, a path within the value, has ``expected`` as its first rows and
+    columns, within atol + 1e-5 * |expected|; text, NULL or anything of another shape doesn't match.
+    """
+    parsed, given = F.try_parse_json(json), F.col(json).isNotNull()
+    at = F.try_variant_get(parsed, path, "variant")
+    value = F.when(given & parsed.isNull(), F.lit("ERROR")).otherwise(F.to_json(at))
+    seen = attrs.select(value.alias("value")).where("value is not null and value <> 'null'").groupBy("value").agg(F.count(F.lit(1)).alias("episodes"))
+    kinds = F.broadcast(seen.agg(((F.count(F.lit(1)) == 1) & (F.max("value") != "ERROR")).alias("is_constant")))
     out = seen.orderBy(F.desc("episodes"), "value").limit(n).join(kinds, how="cross")
     if expected is None:
         return out
-    numbers = F.transform(F.regexp_extract_all("value", F.lit(r"-?[0-9.]+(?:[eE][-+]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    want = F.array(*[F.lit(float(x)) for x in expected])
-    near = F.forall(F.zip_with(numbers, want, lambda a, b: F.abs(a - b) <= atol + 1e-5 * F.abs(b)), lambda ok: F.coalesce(ok, F.lit(False)))
-    return out.withColumn("matches", near)
+    deep = 0 if not isinstance(expected, list) else 1 if not isinstance(expected[0], list) else 2
+    kind = "array<" * deep + "double" + ">" * deep
+    got = F.try_variant_get(F.try_parse_json("value"), leaf or "$", kind)
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= atol + 1e-5 * abs(b), F.lit(False))
+    cells = [(got, expected)] if deep == 0 else [(F.get(got, F.lit(i)), x) for i, x in enumerate(expected)] if deep == 1 else [(F.get(F.get(got, F.lit(i)), F.lit(j)), x) for i, row in enumerate(expected) for j, x in enumerate(row)]
+    numbers = ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), leaf or "$", "variant")).contains("STRING"), F.lit(False))
+    return out.withColumn("matches", reduce(lambda a, b: a & b, [near(c, float(x)) for c, x in cells], numbers))
 
 
 def evenly_spaced(total: Column, n: int, low: float = 0.08, high: float = 0.92) -> Column:

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, written as Parquet to the folder of spark.checkpoint.dir and read back: its lineage is cut, and lost
-    executors don't change it. Only where that is unset, with a local master, as in tests, a local folder is taken."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder of spark.checkpoint.dir. Only where that is unset, with a local master, as in tests, a local
+    folder is taken."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/clipcurate/{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/clipcurate/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written as Parquet to a new place and read back: its lineage is cut, and lost executors don't change it."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
