@@ -126,13 +126,17 @@ def attr_constancy(attrs: DataFrame, json: str, path: str = "$", n: int = 5, exp
     out = seen.orderBy(F.desc("episodes"), "value").limit(n).join(kinds, how="cross")
     if expected is None:
         return out
-    deep = 0 if not isinstance(expected, list) else 1 if not isinstance(expected[0], list) else 2
-    kind = "array<" * deep + "double" + ">" * deep
-    got = F.try_variant_get(F.try_parse_json("value"), leaf or "$", kind)
-    near = lambda a, b: F.coalesce(F.abs(a - b) <= atol + 1e-5 * abs(b), F.lit(False))
-    cells = [(got, expected)] if deep == 0 else [(F.get(got, F.lit(i)), x) for i, x in enumerate(expected)] if deep == 1 else [(F.get(F.get(got, F.lit(i)), F.lit(j)), x) for i, row in enumerate(expected) for j, x in enumerate(row)]
-    numbers = ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), leaf or "$", "variant")).contains("STRING"), F.lit(False))
-    return out.withColumn("matches", reduce(lambda a, b: a & b, [near(c, float(x)) for c, x in cells], numbers))
+    found = F.try_parse_json("value")
+
+    def near(place: str, want: float) -> Column:
+        kind, number = F.schema_of_variant(F.try_variant_get(found, place, "variant")), F.try_variant_get(found, place, "double")
+        ok = (kind != "STRING") & (F.abs(number - want) <= atol + 1e-5 * abs(want))
+        return F.coalesce(ok, F.lit(False))
+
+    def leaves(place: str, want: list | float) -> list[Column]:
+        return [c for i, x in enumerate(want) for c in leaves(f"{place}[{i}]", x)] if isinstance(want, list) else [near(place, float(want))]
+
+    return out.withColumn("matches", reduce(lambda a, b: a & b, leaves(leaf or "$", expected)))
 
 
 def evenly_spaced(total: Column, n: int, low: float = 0.08, high: float = 0.92) -> Column:

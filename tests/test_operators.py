@@ -292,7 +292,7 @@ def test_reports(spark):
     out = {r["episode_hash"]: tuple(r)[1:] for r in camera.visibility_rollup(seen, spark.createDataFrame([("a",), ("b",)], "episode_hash string")).collect()}
     assert out["a"] == (3, pytest.approx(2 / 3), 1.0, 1) and out["b"][:2] == (0, None)
     attrs = spark.createDataFrame([('{"K": [[133.0, 0], [0, 133.0]]}',)] * 2 + [('{"K": [[133.0, 0], [0, 134]]}',)], "json string")
-    got = ingest.attr_constancy(attrs, "json", "$.K", expected=[133, 0, 0, 133]).collect()
+    got = ingest.attr_constancy(attrs, "json", "$.K", expected=[[133, 0], [0, 133]]).collect()
     assert [(r["episodes"], r["is_constant"], r["matches"]) for r in got] == [(2, False, True), (1, False, False)]
     log = spark.createDataFrame([("ok", 5, 9, 5.0, 1), ("ok", 5, 5, None, 0), ("error", None, None, 7.0, None)], "status string, total_frames int, padded_len int, sql_num_frames double, n_annotations int")
     assert {r["status"]: tuple(r)[1:] for r in ingest.ingest_report(log).collect()} == {"ok": (2, 0, 1, 1), "error": (1, 0, 0, 0)}
