@@ -16,8 +16,14 @@ def nan_to_num(c: Column) -> Column:
     return F.when(F.isnan(c), 0.0).when(c == inf, MAX_DOUBLE).when(c == -inf, -MAX_DOUBLE).otherwise(c)
 
 
-def clean_array(a: Column) -> Column:
-    return F.transform(a, nan_to_num)
+def unrolled(a: Column, width: int | None, known: Column, otherwise: Column) -> Column:
+    """``known``, written out element by element in generated code, where an array has ``width`` elements; else ``otherwise``,
+    which calls a function for each."""
+    return otherwise if width is None else F.when(F.size(a) == width, known).otherwise(otherwise)
+
+
+def clean_array(a: Column, width: int | None = None) -> Column:
+    return unrolled(a, width, F.array(*[nan_to_num(F.get(a, F.lit(k))) for k in range(width or 0)]), F.transform(a, nan_to_num))
 
 
 def number(c: Column) -> Column:
@@ -35,6 +41,8 @@ def norm(parts: list[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, (F.pow(p, F.lit(2.0)) for p in parts)))
 
 
-def nonfinite(a: Column) -> Column:
+def nonfinite(a: Column, width: int | None = None) -> Column:
     """How many elements of an array are NaN or infinite."""
-    return F.size(F.filter(a, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+    bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    known = sum((F.coalesce(bad(F.get(a, F.lit(k))), F.lit(False)).cast("int") for k in range(width or 0)), F.lit(0))
+    return unrolled(a, width, known, F.size(F.filter(a, bad)))

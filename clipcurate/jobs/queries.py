@@ -47,6 +47,10 @@ _SIGNALS = f"""{_FRAMES},
 g AS (SELECT ep AS episode_hash, count(*) AS n_frames, count(*) / 30.0::DOUBLE AS duration_s, 0.0::DOUBLE AS nan_max, greatest(avg(ml), avg(mr)) AS frozen_frac_max,
   greatest(max(CASE WHEN ml IS NOT NULL THEN rl END), max(CASE WHEN mr IS NOT NULL THEN rr END), 0) / 30.0::DOUBLE AS frozen_run_max_s,
   greatest(avg((al > 45)::INT), avg((ar > 45)::INT)) AS offaxis_max, greatest(median(al), median(ar)) AS offaxis_deg_max,
+  avg(ml) AS frozen_frac_left_ee, avg(mr) AS frozen_frac_right_ee, avg(mr) AS frozen_frac_head, max(CASE WHEN ml IS NOT NULL THEN rl END) AS frozen_run_left_ee,
+  max(CASE WHEN mr IS NOT NULL THEN rr END) AS frozen_run_right_ee, max(CASE WHEN mr IS NOT NULL THEN rr END) AS frozen_run_head,
+  avg((al > 45)::INT) AS offaxis_left, avg((ar > 45)::INT) AS offaxis_right, median(al) AS offaxis_deg_left, median(ar) AS offaxis_deg_right,
+  sum(sr) AS path_len_right, avg(sr) * 30 AS speed_mean_right, sqrt((arg_max(t, pos) - arg_min(t, pos))**2 + (arg_max(q, pos) - arg_min(q, pos))**2 + (arg_max(d, pos) - arg_min(d, pos))**2) AS net_disp_right,
   sum(sl) AS path_len_left, avg(sl) * 30 AS speed_mean_left, sqrt((arg_max(q, pos) - arg_min(q, pos))**2 + (arg_max(e, pos) - arg_min(e, pos))**2 + (arg_max(d, pos) - arg_min(d, pos))**2) AS net_disp_left,
   sum(sl) + sum(sr) AS path_len_total, greatest(max(sl), max(sr)) * 30 AS hand_speed_max,
   (sum((sl*30 > 10)::INT) + sum((sr*30 > 10)::INT)) / (count(sl) + count(sr))::DOUBLE AS hand_jitter_frac, max(sh) * 30 AS head_speed_max,
@@ -54,16 +58,34 @@ g AS (SELECT ep AS episode_hash, count(*) AS n_frames, count(*) / 30.0::DOUBLE A
 sig AS (SELECT g.*, 'lab' || (s_nationkey % 3) AS lab FROM g JOIN supplier ON s_suppkey = episode_hash)
 """
 _SIGNAL_COLUMNS = "n_frames duration_s nan_max frozen_frac_max frozen_run_max_s offaxis_max offaxis_deg_max path_len_left speed_mean_left net_disp_left path_len_total hand_speed_max hand_jitter_frac head_speed_max motion_energy".split()
-_KEYS = {"episode_hash", "lab", "n_frames"}
+_PARTS = [f"frozen_{k}_{t}" for k in ("frac", "run") for t in signals.TRACKS] + [f"{k}_{h}" for k in ("offaxis", "offaxis_deg") for h in signals.HANDS] + ["path_len_right", "speed_mean_right", "net_disp_right"]
+_KEYS = {"episode_hash", "lab", "n_frames", *(f"frozen_run_{t}" for t in signals.TRACKS)}
 
 
 def _round_sql(cols: list[str], digits: int = 6) -> str:
     return ", ".join(c if c in _KEYS else f"round({c}, {digits}) AS {c}" for c in cols)
 
 
-@query(f"WITH {_SIGNALS} SELECT {_round_sql(['episode_hash', 'lab', *_SIGNAL_COLUMNS])} FROM sig")
+@query(f"WITH {_SIGNALS} SELECT {_round_sql(['episode_hash', 'lab', *_SIGNAL_COLUMNS, *_PARTS])} FROM sig")
 def quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.quality_signals(bind.frames(spark, sf_dir)).select("episode_hash", "lab", *_SIGNAL_COLUMNS))
+    return rounded(signals.quality_signals(bind.frames(spark, sf_dir), bind.POINTS).select("episode_hash", "lab", *_SIGNAL_COLUMNS, *_PARTS))
+
+
+@query("""WITH l AS (SELECT l_suppkey AS ep, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS f FROM lineitem),
+g AS (SELECT ep AS episode_hash, count_if(f % 11 <> 0) AS n_frames, count_if(f % 11 <> 0 AND f % 7 = 0) * 2 / (7.0::DOUBLE * count_if(f % 11 <> 0)) AS nan_left_ee, CASE WHEN ep % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS nan_right_ee,
+  count_if(f % 13 = 0) / (7.0::DOUBLE * count(*)) AS nan_head, count_if(f % 17 = 0) * 12 / (12.0::DOUBLE * count(*)) AS nan_left_kp, 0.0::DOUBLE AS nan_right_kp FROM l GROUP BY ep)
+SELECT episode_hash, n_frames, round(nan_left_ee, 6) AS nan_left_ee, nan_right_ee, round(nan_head, 6) AS nan_head, round(nan_left_kp, 6) AS nan_left_kp, nan_right_kp,
+  round(greatest(nan_left_ee, nan_right_ee, nan_head, nan_left_kp, nan_right_kp), 6) AS nan_max FROM g""")
+def tracking_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left poses with NaN and frames without any, no right hand in every fifth episode, infinite heads, frames of NaN keypoints."""
+    f, k, nan = bind.frames(spark, sf_dir), F.col("frame_idx"), F.lit(float("nan"))
+    spoilt = lambda c, at, x: F.transform(c, lambda v, i: F.when(i.isin(*at), x).otherwise(v))
+    f = f.withColumns({
+        "left_ee": F.when(k % 11 == 0, F.lit(None)).when(k % 7 == 0, spoilt("left_ee", (1, 5), nan)).otherwise(F.col("left_ee")), "right_ee": F.when(F.col("episode_hash") % 5 != 0, F.col("right_ee")),
+        "head": F.when(k % 13 == 0, spoilt("head", (0,), F.lit(float("-inf")))).otherwise(F.col("head")), "left_kp": F.when(k % 17 == 0, F.transform("left_kp", lambda v: nan)).otherwise(F.col("left_kp")),
+    })
+    found = signals.quality_signals(f, bind.POINTS)
+    return rounded(found.select("episode_hash", "n_frames", *[f"nan_{c}" for c in (*signals.TRACKS, *signals.KEYPOINTS)], "nan_max"))
 
 
 _HAND = {"left": ("sl", "accl", ("q", "e", "d"), "apl"), "right": ("sr", "accr", ("t", "q", "d"), "apr")}
@@ -81,7 +103,7 @@ FEATURES = [x.rsplit(" AS ", 1)[1] for x in _FEATURE_SQL]
 
 @query(f"WITH {_FRAMES}, f AS (SELECT ep AS episode_hash, {', '.join(_FEATURE_SQL)} FROM s1 GROUP BY ep) SELECT {_round_sql(['episode_hash', *FEATURES], 5)} FROM f")
 def embedding_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.embedding_features(bind.frames(spark, sf_dir)).drop("lab"), 5)
+    return rounded(signals.embedding_features(bind.frames(spark, sf_dir), bind.POINTS).drop("lab"), 5)
 
 
 _MOVES = """c AS (SELECT ep AS episode_hash, count(*) AS n, greatest(max(sl), max(sr)) * 30 AS max_hand_speed, (sum((sl*30 > 5)::INT) + sum((sr*30 > 5)::INT)) / (count(sl) + count(sr))::DOUBLE AS frac_over_5ms,
@@ -92,14 +114,21 @@ cand AS (SELECT *, (lead_in_s + lead_out_s) / (n / 30.0::DOUBLE) AS dead_air_fra
 _CANDIDATES = "max_hand_speed frac_over_5ms max_head_speed max_quat_step lead_in_s lead_out_s dead_air_frac path_per_s idle_frac".split()
 
 
+@query(f"WITH {_SIGNALS}, f AS (SELECT ep AS key, {', '.join(_FEATURE_SQL)} FROM s1 GROUP BY ep), {_MOVES} SELECT {_round_sql(['episode_hash', 'lab', *_SIGNAL_COLUMNS, *_PARTS, *FEATURES], 4)}, {_round_sql(_CANDIDATES, 4)} FROM sig JOIN f ON f.key = episode_hash JOIN cand USING (episode_hash)")
+def episode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals, features and candidates of each episode in one pass over its frames."""
+    found = signals.per_episode(bind.frames(spark, sf_dir), points=bind.POINTS)
+    return rounded(found.select("episode_hash", "lab", *_SIGNAL_COLUMNS, *_PARTS, *FEATURES, *_CANDIDATES), 4)
+
+
 @query(f"WITH {_FRAMES}, {_MOVES} SELECT {_round_sql(['episode_hash', *_CANDIDATES])} FROM cand")
 def candidate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.candidate_signals(bind.frames(spark, sf_dir)).drop("lab"))
+    return rounded(signals.candidate_signals(bind.frames(spark, sf_dir), bind.POINTS).drop("lab"))
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns that rules and audits read, computed once."""
-    return settled(signals.quality_signals(bind.frames(spark, sf_dir)).select("episode_hash", "lab", *_SIGNAL_COLUMNS))
+    return settled(signals.quality_signals(bind.frames(spark, sf_dir), bind.POINTS).select("episode_hash", "lab", *_SIGNAL_COLUMNS))
 
 
 def _gate_sql(rules, scope: str = "") -> str:
@@ -149,7 +178,7 @@ _COMPARED = ("duration_s", "motion_energy", "path_len_total", "offaxis_deg_max",
 
 @query("".join(["WITH ", _SIGNALS, " ", " UNION ALL ".join(f"SELECT lab, '{c}' AS signal, round(median({c}), 6) AS p50, round(quantile_cont({c}, 0.95), 6) AS p95 FROM sig GROUP BY lab" for c in _COMPARED)]))
 def lab_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gate.distribution_compare(signals.quality_signals(bind.frames(spark, sf_dir)).select("lab", *_COMPARED), list(_COMPARED)))
+    return rounded(gate.distribution_compare(signals.quality_signals(bind.frames(spark, sf_dir), bind.POINTS).select("lab", *_COMPARED), list(_COMPARED)))
 
 
 _CATALOG = "cat AS (SELECT doc_id AS episode_hash, lang AS lab, source AS operator, (doc_id % 16)::VARCHAR AS scene, n_chars::DOUBLE AS num_frames, n_chars / 30.0::DOUBLE AS duration_s FROM documents)"
@@ -500,7 +529,7 @@ _FLAGS = {"fast_hand": "max_hand_speed > 2500", "fast_head": "max_head_speed > 2
 
 @query(f"WITH {_FRAMES}, {_MOVES} " + " UNION ALL ".join(f"SELECT '{k}' AS flag, count_if({p}) AS n_flagged, round(100.0 * count_if({p}) / count(*), 6) AS pct FROM cand" for k, p in _FLAGS.items()))
 def flag_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gate.flag_prevalence(signals.candidate_signals(bind.frames(spark, sf_dir)), {k: F.expr(p) for k, p in _FLAGS.items()}))
+    return rounded(gate.flag_prevalence(signals.candidate_signals(bind.frames(spark, sf_dir), bind.POINTS), {k: F.expr(p) for k, p in _FLAGS.items()}))
 
 
 @query(f"WITH {_RUNS} SELECT seed, " + ", ".join(f"round(max(CASE WHEN condition = '{c}' THEN mse END), 6) AS \"{c}\"" for c in ("view", "click", "purchase")) + " FROM res GROUP BY seed")
@@ -520,7 +549,7 @@ def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _episodes(spark: SparkSession, sf_dir: str, features: bool = True) -> DataFrame:
     """Gated suppliers with operators, scenes and features."""
     rules = tuple(r for r in BOUND_RULES if r.signal == "duration_s")
-    f = signals.embedding_features(bind.frames(spark, sf_dir)).withColumn("duration_s", F.col("f_duration_s"))
+    f = signals.embedding_features(bind.frames(spark, sf_dir), bind.POINTS).withColumn("duration_s", F.col("f_duration_s"))
     meta = bind.suppliers(spark, sf_dir)
     return settled(ingest.join_meta(gate.apply_gate(settled(f), rules), meta, ["operator", "scene"]))
 
@@ -834,6 +863,17 @@ def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gate.exemplars(gate.apply_gate(bind.catalog(spark, sf_dir), _LENGTH_RULES)))
 
 
+@query(f"""WITH {_SIGNALS}, {_gate_sql(BOUND_RULES)}, m AS (SELECT median(duration_s) AS m FROM gated), k AS (SELECT * FROM gated, m)
+SELECT kind, episode_hash, round(value, 6) AS value FROM (
+  (SELECT 'typical' AS kind, episode_hash, duration_s AS value FROM k WHERE drop_reason = '' ORDER BY abs(duration_s - m), episode_hash LIMIT 2)
+  UNION ALL (SELECT 'longest_dropped', episode_hash, duration_s FROM k WHERE drop_reason <> '' ORDER BY duration_s DESC, episode_hash LIMIT 2)
+  UNION ALL (SELECT 'least_off_axis', episode_hash, offaxis_deg_max FROM k WHERE drop_reason = '' ORDER BY round(offaxis_deg_max, 9), episode_hash LIMIT 2)
+  UNION ALL (SELECT 'most_off_axis', episode_hash, offaxis_max FROM k WHERE rule_off_axis ORDER BY round(offaxis_max, 9) DESC, episode_hash LIMIT 2))""")
+def exemplars_off_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = settled(gate.apply_gate(_signals(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("offaxis_deg_max", "offaxis_max")}), BOUND_RULES))
+    return rounded(gate.exemplars(gated, off_axis=("offaxis_deg_max", "offaxis_max")))
+
+
 class _Stopped(Exception):
     """The run ends between a batch's frames and its ledger."""
 

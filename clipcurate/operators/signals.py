@@ -10,17 +10,20 @@ from clipcurate.functions.points import aperture, off_axis_deg
 from clipcurate.sources.store import settled
 
 FPS = 30.0
+#: Numbers of a pose: a place and a quaternion.
+POSE = 7
 TRACKS, HANDS, KEYPOINTS = ("left_ee", "right_ee", "head"), ("left", "right"), ("left_kp", "right_kp")
 
 
-def frame_scalars(frames: DataFrame) -> DataFrame:
-    """Numbers of each frame alone, before the exchange: what they stand for (the wide keypoints) needn't be shuffled."""
+def frame_scalars(frames: DataFrame, points: int = 21) -> DataFrame:
+    """Numbers of each frame alone, before the exchange: what they stand for (the wide keypoints) needn't be shuffled. Poses of
+    seven numbers and hands of ``points`` points go through generated code, others through functions of each element."""
     own = {}
     for c in (*TRACKS, *KEYPOINTS):
-        own |= {f"bad_{c}": nonfinite(F.col(c)), f"size_{c}": F.size(c)}
+        own |= {f"bad_{c}": nonfinite(F.col(c), POSE if c in TRACKS else 3 * points), f"size_{c}": F.size(c)}
     for h in HANDS:
-        own |= {f"angle_{h}": off_axis_deg(F.col(f"{h}_kp")), f"aperture_{h}": aperture(F.col(f"{h}_kp"))}
-    clean = {c: clean_array(F.col(c)) for c in TRACKS}
+        own |= {f"angle_{h}": off_axis_deg(F.col(f"{h}_kp"), points), f"aperture_{h}": aperture(F.col(f"{h}_kp"), points)}
+    clean = {c: clean_array(F.col(c), POSE) for c in TRACKS}
     out = frames.withColumns(own | clean).drop(*KEYPOINTS)
     xyz = {f"{c}_{a}": F.get(c, F.lit(k)) for c in TRACKS for k, a in enumerate("xyz")}
     return out.withColumns(xyz | {"hand_dist": norm([F.get("left_ee", F.lit(k)) - F.get("right_ee", F.lit(k)) for k in range(3)])})
@@ -32,15 +35,14 @@ def steps(frames: DataFrame, episode: str = "episode_hash", order: str = "frame_
     The tracks themselves are left behind, but for the coordinates ``*_x``, ``*_y``, ``*_z``."""
     w = Window.partitionBy(episode).orderBy(order)
     now = F.struct(*TRACKS)
-    out = frames.withColumns({"pos": F.row_number().over(w), "prev": F.lag(now).over(w), "prev2": F.lag(now, 2).over(w)})
+    out = frames.withColumns({"pos": F.row_number().over(w), "prev": F.lag(now).over(w)})
 
     def moved(a: Column, b: Column, low: int, high: int) -> Column:
         return F.when(a.isNotNull() & b.isNotNull(), norm([F.get(a, F.lit(k)) - F.get(b, F.lit(k)) for k in range(low, high)]))
 
     own = {f"step_{c}": moved(F.col(c), F.col("prev")[c], 0, 3) for c in TRACKS} | {f"same_{c}": F.col(c) == F.col("prev")[c] for c in TRACKS}
-    own |= {"turn": moved(F.col("head"), F.col("prev")["head"], 3, 7)}
-    own |= {f"acc_{h}": (own[f"step_{h}_ee"] - moved(F.col("prev")[f"{h}_ee"], F.col("prev2")[f"{h}_ee"], 0, 3)) * FPS * FPS for h in HANDS}
-    out = out.withColumns(own).drop("prev", "prev2", *TRACKS)
+    out = out.withColumns(own | {"turn": moved(F.col("head"), F.col("prev")["head"], 3, 7)}).drop("prev", *TRACKS)
+    out = out.withColumns({f"acc_{h}": (F.col(f"step_{h}_ee") - F.lag(f"step_{h}_ee").over(w)) * FPS * FPS for h in HANDS})
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     broken = lambda c: F.last(F.when(~F.coalesce(F.col(f"same_{c}"), F.lit(False)), F.col("pos")), ignorenulls=True)
     return out.withColumns({f"run_{c}": F.col("pos") - broken(c).over(upto) for c in TRACKS})
@@ -122,12 +124,22 @@ def candidate_columns(still: float = 0.05, idle: float = 0.02) -> list[Column]:
     ]
 
 
-def per_episode(frames: DataFrame, columns: list[Column], uses: tuple[str, ...], by: tuple[str, ...] = ("episode_hash", "lab"), most: int = 24) -> DataFrame:
-    """One row an episode. What frames and steps say (those that ``uses`` names the beginnings of) is written once, as narrow
-    numbers; groupings read it, each the columns that it needs. Percentiles, which Spark groups without generated code, have
-    a grouping of their own, and of the other aggregates ``most`` share one: more in one take the code generator minutes."""
-    stepped = steps(frame_scalars(frames), by[0])
-    kept = [c for c in stepped.columns if c in (*by, "pos") or c.startswith(uses)]
+#: What of the steps each family of columns reads.
+_USES = {
+    "signals": ("left_ee_", "right_ee_", "step_", "same_", "run_", "bad_", "size_", "angle_"), "features": ("left_ee_", "right_ee_", "head_", "step_", "turn", "acc_", "aperture_", "hand_dist"),
+    "candidates": ("left_ee_x", "step_", "turn"),
+}
+_COLUMNS = {"signals": signal_columns, "features": feature_columns, "candidates": candidate_columns}
+
+
+def per_episode(frames: DataFrame, families: tuple[str, ...] = ("signals", "features", "candidates"), by: tuple[str, ...] = ("episode_hash", "lab"), points: int = 21, most: int = 24) -> DataFrame:
+    """One row an episode: all columns of the families ``signals`` (quality), ``features`` (the 41) and ``candidates``, from one pass
+    over the frames. What frames and steps say is written once, as narrow numbers; groupings read it, each the columns that
+    it needs. Percentiles, which Spark groups without generated code, have a grouping of their own, and of the other
+    aggregates ``most`` share one: more in one take the code generator minutes."""
+    columns = [c for f in families for c in _COLUMNS[f]()]
+    stepped = steps(frame_scalars(frames, points), by[0])
+    kept = [c for c in stepped.columns if c in (*by, "pos") or c.startswith(tuple(u for f in families for u in _USES[f]))]
     stepped = settled(stepped.select(kept))
     slow = [c for c in columns if "percentile(" in str(c)]
     fast = [c for c in columns if not any(c is s for s in slow)]
@@ -137,13 +149,13 @@ def per_episode(frames: DataFrame, columns: list[Column], uses: tuple[str, ...],
     return out
 
 
-def quality_signals(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, signal_columns(), ("left_ee_", "right_ee_", "step_", "same_", "run_", "bad_", "size_", "angle_"))
+def quality_signals(frames: DataFrame, points: int = 21) -> DataFrame:
+    return per_episode(frames, ("signals",), points=points)
 
 
-def embedding_features(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, feature_columns(), ("left_ee_", "right_ee_", "head_", "step_", "turn", "acc_", "aperture_", "hand_dist"))
+def embedding_features(frames: DataFrame, points: int = 21) -> DataFrame:
+    return per_episode(frames, ("features",), points=points)
 
 
-def candidate_signals(frames: DataFrame) -> DataFrame:
-    return per_episode(frames, candidate_columns(), ("left_ee_x", "step_", "turn"))
+def candidate_signals(frames: DataFrame, points: int = 21) -> DataFrame:
+    return per_episode(frames, ("candidates",), points=points)
