@@ -44,12 +44,21 @@ def _start(key: str, prefix: int) -> str:
     return f"SUBSTR({key}, 1, {prefix})"
 
 
-def read_frames(spark: SparkSession, path: str, columns: list[str], lab: str | None = None, lab_column: str = "lab") -> DataFrame:
-    """Only the wanted tracks, and of one lab's folder if that is asked for: both reach the scan."""
-    frames = spark.read.parquet(path)
+def read_frames(spark: SparkSession, source: str | DataFrame, columns: list[str], lab: str | None = None, lab_column: str = "lab") -> DataFrame:
+    """Only the wanted tracks of a Parquet folder or of a table (see ``lay_out_frames``), and of one lab if that is asked for: both
+    reach the scan."""
+    frames = source if isinstance(source, DataFrame) else spark.read.parquet(source)
     return (frames if lab is None else frames.where(F.col(lab_column) == lab)).select(*columns)
 
 
+def lay_out_frames(frames: DataFrame, name: str, path: str, lab: str = "lab", episode: str = "episode_hash", order: str = "frame_idx", buckets: int = 200) -> None:
+    """Write frames once as the table ``name`` at ``path``: a folder a lab, and in it ``buckets`` files by a hash of the episode,
+    each sorted by episode and frame. Windows and groupings by episode over ``spark.table(name)`` exchange no frames, and a
+    lab's filter reads its folder alone. A null lab has a folder; frames without an episode are of one bucket."""
+    dealt = frames.repartition(buckets, episode)
+    dealt.write.partitionBy(lab).bucketBy(buckets, episode).sortBy(episode, order).option("path", path).mode("overwrite").saveAsTable(name)
+
+
 def trim_padding(frames: DataFrame, attrs: DataFrame, key: str = "episode_hash") -> DataFrame:
     """Frames before ``total_frames``; 0 or NULL keeps all."""
     known = attrs.select(key, F.col("total_frames").alias("__total"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clipcurate.sources import ingest, resume
+from clipcurate.operators import signals
+from clipcurate.sources import bind, ingest, resume
 
 DRIVER = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
@@ -75,3 +76,21 @@ def test_attributes_are_compared_as_json(spark):
     leaf = ingest.attr_constancy(df.limit(2), "j", "$.b.x", expected=2.0).collect()
     assert [(r["value"], r["episodes"], r["is_constant"], r["matches"]) for r in leaf] == [("2", 2, True, True)]
     assert ingest.attr_constancy(df.limit(0), "j", expected=[1.0]).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_frames_laid_out_by_episode_are_not_exchanged(spark, tmp_path):
+    frames = bind.frames(spark, "/root/testdata/sf0.001")
+    ingest.lay_out_frames(frames, "frames_laid_out", f"{tmp_path}/frames", buckets=4)
+    try:
+        own = ingest.read_frames(spark, spark.table("frames_laid_out"), frames.columns, "lab1")
+        steps = signals.steps(signals.frame_scalars(own, bind.POINTS))
+        assert "Exchange" not in _plan(steps) and "PartitionFilters: [isnotnull(lab" in _plan(steps) and "SelectedBucketsCount: 4 out of 4" in _plan(steps)
+        assert "Exchange" in _plan(signals.steps(signals.frame_scalars(frames.where("lab = 'lab1'"), bind.POINTS)))
+        assert own.count() == frames.where("lab = 'lab1'").count() > 0
+        assert spark.table("frames_laid_out").exceptAll(frames.select(spark.table("frames_laid_out").columns)).count() == 0
+    finally:
+        spark.sql("DROP TABLE frames_laid_out")
