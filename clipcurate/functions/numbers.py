@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 MAX_DOUBLE = 1.7976931348623157e308
 
 
-def nan_to_num(c: Column) -> Column:
-    """NaN becomes 0, an infinity the largest double of its sign."""
-    inf = F.lit(float("inf"))
-    return F.when(F.isnan(c), 0.0).when(c == inf, MAX_DOUBLE).when(c == -inf, -MAX_DOUBLE).otherwise(c)
+def _nan_to_num(x: str) -> str:
+    return f"CASE WHEN isnan({x}) THEN 0D WHEN {x} = double('inf') THEN {MAX_DOUBLE!r}D WHEN {x} = double('-inf') THEN {-MAX_DOUBLE!r}D ELSE {x} END"
 
 
-def unrolled(a: Column, width: int | None, known: Column, otherwise: Column) -> Column:
-    """``known``, written out element by element in generated code, where an array has ``width`` elements; else ``otherwise``,
-    which calls a function for each."""
-    return otherwise if width is None else F.when(F.size(a) == width, known).otherwise(otherwise)
+def unrolled(name: str, width: int, known: str, otherwise: str) -> Column:
+    """``known``, SQL that is written out element by element and so runs in generated code, where the array column ``name`` has
+    ``width`` elements; else ``otherwise``, which calls a function for each. As one text, it is parsed at once."""
+    return F.expr(f"CASE WHEN size({name}) = {width} THEN {known} ELSE {otherwise} END")
 
 
-def clean_array(a: Column, width: int | None = None) -> Column:
-    return unrolled(a, width, F.array(*[nan_to_num(F.get(a, F.lit(k))) for k in range(width or 0)]), F.transform(a, nan_to_num))
+def clean_array(name: str, width: int) -> Column:
+    """The array column with NaN as 0 and infinities as the largest double of their sign."""
+    known = ", ".join(_nan_to_num(f"get({name}, {k})") for k in range(width))
+    return unrolled(name, width, f"array({known})", f"transform({name}, x -> {_nan_to_num('x')})")
+
+
+def nonfinite(name: str, width: int) -> Column:
+    """How many elements of the array column are NaN or infinite."""
+    known = " + ".join(f"CASE WHEN isnan(get({name}, {k})) OR abs(get({name}, {k})) = double('inf') THEN 1 ELSE 0 END" for k in range(width))
+    return unrolled(name, width, f"({known})", f"size(filter({name}, x -> isnan(x) OR abs(x) = double('inf')))")
 
 
 def number(c: Column) -> Column:
@@ -39,10 +45,3 @@ def test(c: Column, op: str, bound: Column | float) -> Column:
 
 def norm(parts: list[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, (F.pow(p, F.lit(2.0)) for p in parts)))
-
-
-def nonfinite(a: Column, width: int | None = None) -> Column:
-    """How many elements of an array are NaN or infinite."""
-    bad = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
-    known = sum((F.coalesce(bad(F.get(a, F.lit(k))), F.lit(False)).cast("int") for k in range(width or 0)), F.lit(0))
-    return unrolled(a, width, known, F.size(F.filter(a, bad)))

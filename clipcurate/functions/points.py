@@ -8,26 +8,21 @@ from pyspark.sql import functions as F
 from clipcurate.functions.numbers import unrolled
 
 
-def _count(kp: Column) -> Column:
-    return F.floor(F.size(kp) / 3).cast("int")
-
-
-def off_axis_deg(kp: Column, points: int | None = None) -> Column:
+def off_axis_deg(name: str, points: int) -> Column:
     """Angle between the camera's viewing direction, -z, and the direction of the points' sum, which is that of their centroid.
-    Arrays of ``points`` points are summed in generated code."""
-    zero = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
-    add = lambda s, i: F.struct(*[(s[a] + F.get(kp, i * 3 + k)).alias(a) for k, a in enumerate("xyz")])
-    degrees = lambda x, y, z: F.degrees(F.atan2(F.sqrt(x * x + y * y), -z))
-    each = F.aggregate(F.sequence(F.lit(0), _count(kp) - 1), zero, add, lambda s: degrees(s.x, s.y, s.z))
-    sums = [sum((F.get(kp, F.lit(3 * i + k)) for i in range(points or 0)), F.lit(0.0)) for k in range(3)]
-    return unrolled(kp, points and 3 * points, degrees(*sums), each)
+    Arrays of ``points`` points are summed in generated code, others by a function of each point."""
+    degrees = lambda x, y, z: f"degrees(atan2(sqrt({x} * {x} + {y} * {y}), -{z}))"
+    sums = ["(0D + " + " + ".join(f"get({name}, {3 * i + k})" for i in range(points)) + ")" for k in range(3)]
+    add = ", ".join(f"'{a}', s.{a} + get({name}, i * 3 + {k})" for k, a in enumerate("xyz"))
+    each = f"aggregate(sequence(0, size({name}) div 3 - 1), named_struct('x', 0D, 'y', 0D, 'z', 0D), (s, i) -> named_struct({add}), s -> {degrees('s.x', 's.y', 's.z')})"
+    return unrolled(name, 3 * points, degrees(*sums), each)
 
 
-def aperture(kp: Column, points: int | None = None) -> Column:
+def aperture(name: str, points: int) -> Column:
     """Mean distance of all points (the first included) to the first."""
-    far = lambda i: F.sqrt(sum((F.get(kp, 3 * i + k) - F.get(kp, F.lit(k))) ** 2 for k in range(3)))
-    each = F.aggregate(F.sequence(F.lit(0), _count(kp) - 1), F.lit(0.0), lambda s, i: s + far(i)) / _count(kp)
-    return unrolled(kp, points and 3 * points, sum((far(F.lit(i)) for i in range(points or 0)), F.lit(0.0)) / (points or 1), each)
+    far = lambda i: "sqrt(" + " + ".join(f"power(get({name}, {i} * 3 + {k}) - get({name}, {k}), 2D)" for k in range(3)) + ")"
+    known = "(0D + " + " + ".join(far(i) for i in range(points)) + f") / {points}"
+    return unrolled(name, 3 * points, known, f"aggregate(sequence(0, size({name}) div 3 - 1), 0D, (s, i) -> s + {far('i')}) / (size({name}) div 3)")
 
 
 def _cross(a: list[Column], b: list[Column]) -> list[Column]:

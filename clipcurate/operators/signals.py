@@ -20,10 +20,10 @@ def frame_scalars(frames: DataFrame, points: int = 21) -> DataFrame:
     seven numbers and hands of ``points`` points go through generated code, others through functions of each element."""
     own = {}
     for c in (*TRACKS, *KEYPOINTS):
-        own |= {f"bad_{c}": nonfinite(F.col(c), POSE if c in TRACKS else 3 * points), f"size_{c}": F.size(c)}
+        own |= {f"bad_{c}": nonfinite(c, POSE if c in TRACKS else 3 * points), f"size_{c}": F.size(c)}
     for h in HANDS:
-        own |= {f"angle_{h}": off_axis_deg(F.col(f"{h}_kp"), points), f"aperture_{h}": aperture(F.col(f"{h}_kp"), points)}
-    clean = {c: clean_array(F.col(c), POSE) for c in TRACKS}
+        own |= {f"angle_{h}": off_axis_deg(f"{h}_kp", points), f"aperture_{h}": aperture(f"{h}_kp", points)}
+    clean = {c: clean_array(c, POSE) for c in TRACKS}
     out = frames.withColumns(own | clean).drop(*KEYPOINTS)
     xyz = {f"{c}_{a}": F.get(c, F.lit(k)) for c in TRACKS for k, a in enumerate("xyz")}
     return out.withColumns(xyz | {"hand_dist": norm([F.get("left_ee", F.lit(k)) - F.get("right_ee", F.lit(k)) for k in range(3)])})
