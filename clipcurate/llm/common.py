@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew where it lies in fewer partitions than there are cores, as a small file of one row group does; rows are
+    the same, in no order. Which partitions have rows is asked for without reading a column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df if parts >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one is made for a local
     master (tests); on a cluster that is an error."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipcurate.llm import embedding_dedup, exact_dedup, filter_audit, mixing, packing, pii, prefix_trie, quality_rules, sharding, simhash, toxicity, url_filter, warc
-from clipcurate.llm.common import scratch_path, table
+from clipcurate.llm.common import scratch_path, spread, table
 
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Rules for hosts of advertisements and adult content, which the host rules above overrule.
@@ -144,7 +144,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "A": F.size(words) < 50, "B": quality_rules.let(words, lambda w: 100 * F.size(F.array_distinct(w)) < 65 * F.size(w)), "C": 100 * capitals > 5 * F.length(t),
         "D": t.rlike("[#$%&*|]"), "E": filter_audit.REPEATS,
     }
-    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters)
+    return filter_audit.audit_filters(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), table(spark, sf_dir, "labels"), filters)
 
 
 OP12_SQL = r"""
@@ -167,7 +167,7 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+    found = quality_rules.judge_quality(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return found.select("doc_id", *counts, "base_failed", "kept", F.round("quality", 4).alias("quality"))
 
