@@ -68,7 +68,7 @@ class Encoder:
     def merged(self, unit: str) -> bytes:
         """Ids of letters, with or without a space before them."""
         if unit.isascii():
-            shown = "\u0120" + unit[1:] if unit[0] == " " else unit
+            shown = unit.replace(" ", "\u0120")
         elif max(unit) < "\u0250":  # letters in any Unicode version: one piece for the model
             shown = unit.encode().decode("latin-1").translate(self.letters)
         else:
@@ -121,29 +121,30 @@ class Encoder:
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words])
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        odd = np.array([not w or w != w.strip() for w in words])
         slow = np.logical_or.reduceat(odd[code], ends[:-1]) if len(texts) else odd
         starts = [w.split(" ", 1)[0] for w in texts]
         slow |= np.array([begin and bool(s) and s[-1].isspace() for s, begin in zip(starts, begins, strict=True)])
         slow &= np.array([not (begin and not t) for t, begin in zip(texts, begins, strict=True)])  # an empty text is one empty word
         clean = np.zeros(len(words), bool)
         clean[code[np.repeat(~slow, np.diff(ends))]] = True
-        ids = [self.word(w) if ok and w else b"" for w, ok in zip(words, clean.tolist(), strict=True)]
+        recurs = self.common.get
+        ids = [(recurs(w) or self.word(w)) if ok and w else b"" for w, ok in zip(words, clean.tolist(), strict=True)]
         at_begin = np.flatnonzero(np.array(begins) & ~slow)
         code[ends[:-1][at_begin]] = len(ids) + np.arange(len(at_begin))
         ids += [self.line(starts[k]) for k in at_begin.tolist()]
         flat, size = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        out = []
+        n = size[code]
+        last = np.cumsum(n)
+        every = flat[np.repeat((np.cumsum(size) - size)[code] - last + n, n) + np.arange(last[-1] if len(last) else 0)]
+        upto, out = np.concatenate([[0], last])[ends].tolist(), []
         for k, text in enumerate(texts):
             if slow[k]:
                 pieces_ = pieces(text if begins[k] else " " + text)
                 out.append(np.frombuffer(b"".join(map(self.whole, pieces_)), "<u4"))
                 continue
-            c = code[ends[k] : ends[k + 1]]
-            n = size[c]
-            out.append(flat[np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            out.append(every[upto[k] : upto[k + 1]])
         return out
 
     def documents(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
