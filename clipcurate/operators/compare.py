@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import comb, erfc, sqrt
+from math import comb, erfc, exp, log, log1p, pi, sqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,12 +23,34 @@ def delta_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
     return deltas.groupBy(*by).agg(F.count("delta").alias("n_pairs"), F.avg("pct").alias("mean_pct"), F.count_if(F.col("delta") < 0).alias("wins"))
 
 
+#: Pairs up to which the sign test adds whole numbers.
+WHOLE = 1000
+
+
+def _stirling(n: int) -> float:
+    """What Stirling's formula leaves of ln n!."""
+    return 1 / (12 * n) - 1 / (360 * n**3) + 1 / (1260 * n**5)
+
+
 def sign_p(wins: int, n: int) -> float:
-    """Exact two-sided binomial p at one half: all outcomes no likelier than the observed one."""
-    if not n:
+    """Exact two-sided binomial p at one half: all outcomes no likelier than the observed one, which are both tails from it on. Of
+    more than ``WHOLE`` pairs the outermost term follows from Stirling's series and the others from it, until none counts in a
+    double: a few times the root of n."""
+    low = min(wins, n - wins)
+    if 2 * low >= n:
         return 1.0
-    at = comb(n, wins)
-    return min(1.0, sum(comb(n, k) for k in range(n + 1) if comb(n, k) <= at) / 2**n)
+    if n <= WHOLE:
+        return min(1.0, 2 * sum(comb(n, k) for k in range(low + 1)) / 2**n)
+    if low <= WHOLE // 4:  # small whole numbers, where the series is no good
+        return exp(log(2 * sum(comb(n, k) for k in range(low + 1))) - n * log(2))
+    x = (n - 2 * low) / n
+    term = exp(-n / 2 * ((1 + x) * log1p(x) + (1 - x) * log1p(-x)) + _stirling(n) - _stirling(low) - _stirling(n - low)) * sqrt(n / (2 * pi * low * (n - low)))
+    total, k = 0.0, low
+    while k >= 0 and term > total * 1e-17:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total)
 
 
 def wilcoxon_p(smaller: float, n: int, tied: bool, ties: float = 0.0) -> float | None:

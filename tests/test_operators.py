@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -59,6 +60,21 @@ def test_exact_tests():
     assert compare.wilcoxon_p(0, 0, False) is None
 
 
+def test_sign_test_of_many_pairs():
+    ways, total, n = 1, 0, 20_000
+    tails = []
+    for k in range(n // 2 + 1):
+        total += ways
+        tails.append(total)
+        ways = ways * (n - k) // (k + 1)
+    began = time.perf_counter()
+    for low in (0, 200, 300, 9000, 9800, 9999):
+        want = 2 * tails[low] / 2**n
+        assert compare.sign_p(low, n) == pytest.approx(want, rel=1e-10) and compare.sign_p(n - low, n) == pytest.approx(want, rel=1e-10)
+    assert compare.sign_p(n // 2, n) == 1.0 and 0.04 < compare.sign_p(45_300, 90_000) < 0.05
+    assert time.perf_counter() - began < 10
+
+
 def _by_definition(z, k, method):
     """Picks straight from what each selector maximises, over matrices of a small pool; scores rounded as stated, ties by place."""
     d, n, out = ((z[:, None] - z[None]) ** 2).sum(-1), len(z), []
