@@ -931,8 +931,8 @@ def written_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_SIGNALS} SELECT {_round_sql(['episode_hash', 'lab', *_SIGNAL_COLUMNS, *_PARTS])} FROM sig WHERE lab = 'lab1'")
 def laid_out_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of one lab, from frames laid out once by lab and episode: no frame is exchanged, and only the lab's folder is read."""
-    frames, path = bind.frames(spark, sf_dir), f"{scratch(spark)}/frames"
+    path = f"{scratch(spark)}/frames"
     name = f"frames_{path.split('/')[-2]}"
-    ingest.lay_out_frames(frames, name, path, buckets=8)
-    own = ingest.read_frames(spark, spark.table(name), frames.columns, "lab1")
+    ingest.lay_out_frames(bind.lines(spark, sf_dir), name, path, buckets=8, then=bind.tracks)
+    own = ingest.read_frames(spark, spark.table(name), spark.table(name).columns, "lab1")
     return rounded(signals.quality_signals(own, bind.POINTS).select("episode_hash", "lab", *_SIGNAL_COLUMNS, *_PARTS))

@@ -140,7 +140,7 @@ def per_episode(frames: DataFrame, families: tuple[str, ...] = ("signals", "feat
     columns = [c for f in families for c in _COLUMNS[f]()]
     stepped = steps(frame_scalars(frames, points), by[0])
     kept = [c for c in stepped.columns if c in (*by, "pos") or c.startswith(tuple(u for f in families for u in _USES[f]))]
-    stepped = settled(stepped.select(kept))
+    stepped = settled(stepped.select(kept), "zstd")  # the widest table of all jobs over frames
     slow = [c for c in columns if "percentile(" in str(c)]
     fast = [c for c in columns if not any(c is s for s in slow)]
     out = stepped.groupBy(by[0]).agg(*[F.first(c).alias(c) for c in by[1:]], *fast[:most])

@@ -14,19 +14,32 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as what frames are made of: a supplier is an episode, its nation the lab, its lines in order of shipping the
+    frames."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    own = _read(spark, sf_dir, "lineitem").withColumn("frame_idx", F.row_number().over(w) - 1)
+    own = own.select(F.col("l_suppkey").alias("episode_hash"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "frame_idx")
+    return own.join(_labs(spark, sf_dir), "episode_hash")
+
+
+def _labs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("episode_hash"), F.concat(F.lit("lab"), (F.col("s_nationkey") % 3).cast("string")).alias("lab"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as frames: a supplier is an episode, its nation the lab, its lines in order of shipping the frames."""
+    """``lines`` with the frames' tracks and keypoints."""
+    return tracks(lines(spark, sf_dir))
+
+
+def tracks(lines: DataFrame) -> DataFrame:
     q, e, d, t = F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100
     one = F.lit(1.0)
     points = lambda x, y, z: F.array(x, y, z, x + 1, y + z, z, x, y - 2, z + d, x / 2, y, z - 3)
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    lines = _read(spark, sf_dir, "lineitem").withColumn("frame_idx", F.row_number().over(w) - 1)  # before there are arrays
-    lines = lines.select(
-        F.col("l_suppkey").alias("episode_hash"), F.array(q, e, d, q / 50, d / 10, t / 8, one).alias("left_ee"), F.array(t, q, d, t / 8, q / 50, d / 10, one).alias("right_ee"),
-        F.array(q / 10, t, d, t / 8, d / 10, q / 50, one).alias("head"), points(q, d, t - 5).alias("left_kp"), points(t, d, q - 30).alias("right_kp"), "frame_idx",
+    return lines.select(
+        "episode_hash", F.array(q, e, d, q / 50, d / 10, t / 8, one).alias("left_ee"), F.array(t, q, d, t / 8, q / 50, d / 10, one).alias("right_ee"),
+        F.array(q / 10, t, d, t / 8, d / 10, q / 50, one).alias("head"), points(q, d, t - 5).alias("left_kp"), points(t, d, q - 30).alias("right_kp"), "frame_idx", "lab",
     )
-    labs = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("episode_hash"), F.concat(F.lit("lab"), (F.col("s_nationkey") % 3).cast("string")).alias("lab"))
-    return lines.join(labs, "episode_hash")
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:

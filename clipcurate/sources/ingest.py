@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,12 +52,16 @@ def read_frames(spark: SparkSession, source: str | DataFrame, columns: list[str]
     return (frames if lab is None else frames.where(F.col(lab_column) == lab)).select(*columns)
 
 
-def lay_out_frames(frames: DataFrame, name: str, path: str, lab: str = "lab", episode: str = "episode_hash", order: str = "frame_idx", buckets: int = 200) -> None:
+def lay_out_frames(frames: DataFrame, name: str, path: str, lab: str = "lab", episode: str = "episode_hash", order: str = "frame_idx", buckets: int = 200, then: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write frames once as the table ``name`` at ``path``: a folder a lab, and in it ``buckets`` files by a hash of the episode,
     each sorted by episode and frame. Windows and groupings by episode over ``spark.table(name)`` exchange no frames, and a
-    lab's filter reads its folder alone. A null lab has a folder; frames without an episode are of one bucket."""
+    lab's filter reads its folder alone. A null lab has a folder; frames without an episode are of one bucket. ``then`` makes
+    the frames' wide columns of the given ones when rows are where they will be written, so that only what they are made of
+    is exchanged; it keeps lab, episode and order."""
     dealt = frames.repartition(buckets, episode)
-    dealt.write.partitionBy(lab).bucketBy(buckets, episode).sortBy(episode, order).option("path", path).mode("overwrite").saveAsTable(name)
+    wide = dealt if then is None else then(dealt)
+    writer = wide.write.option("compression", "zstd").partitionBy(lab).bucketBy(buckets, episode).sortBy(episode, order)
+    writer.option("path", path).mode("overwrite").saveAsTable(name)
 
 
 def trim_padding(frames: DataFrame, attrs: DataFrame, key: str = "episode_hash") -> DataFrame:

@@ -20,10 +20,10 @@ def scratch(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/clipcurate/{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` computed once, written as Parquet to a new place and read back: its lineage is cut, and lost executors don't change it."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

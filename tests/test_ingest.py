@@ -94,3 +94,21 @@ def test_frames_laid_out_by_episode_are_not_exchanged(spark, tmp_path):
         assert spark.table("frames_laid_out").exceptAll(frames.select(spark.table("frames_laid_out").columns)).count() == 0
     finally:
         spark.sql("DROP TABLE frames_laid_out")
+
+
+def test_frames_are_made_after_they_are_dealt(spark, tmp_path):
+    rows = [(e, t, float(e + t), f"lab{e % 2}") for e in range(20) for t in range(30)]
+    lines = spark.createDataFrame(rows, "episode_hash long, frame_idx int, x double, lab string").orderBy("x")
+    seen = {}
+
+    def then(df):
+        seen["dealt"] = "Exchange hashpartitioning(episode_hash" in _plan(df)
+        return df.select("episode_hash", F.array("x", F.col("x") + 1).alias("left_ee"), "frame_idx", "lab")
+
+    ingest.lay_out_frames(lines, "made_late", str(tmp_path / "late"), buckets=4, then=then)
+    assert seen["dealt"]
+    out = spark.table("made_late")
+    assert {(r["episode_hash"], r["frame_idx"], *r["left_ee"], r["lab"]) for r in out.collect()} == {(e, t, x, x + 1, lab) for e, t, x, lab in rows} and out.count() == len(rows)
+    for f in (tmp_path / "late").rglob("*.parquet"):
+        own = [(r["episode_hash"], r["frame_idx"]) for r in spark.read.parquet(str(f)).collect()]
+        assert own == sorted(own)
