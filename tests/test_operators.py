@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pathlib
 import time
 
 import duckdb
@@ -146,6 +147,32 @@ def test_thousands_of_picks_in_few_rounds(spark):
     assert [r["id"] for r in out] == want
 
 
+def test_logdet_writes_coefficients_once(spark):
+    n, k = 1200, 300
+    z = np.random.default_rng(5).normal(size=(n, 8))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>").withColumn("p", F.lit(0))
+    files = lambda: {f: f.stat().st_size for f in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet")}
+    before = files()
+    picks = subset.select_varied(points, k, "logdet", "id", "z", ["p"], 300, 256).collect()
+    d, coef, rest, want = ((z[:, None] - z[None]) ** 2).sum(-1), np.zeros((n, k)), np.full(n, 1 + subset.JITTER), []
+    kernel = np.exp(-d / np.median(d[np.triu_indices(n, 1)]))
+    for m in range(k):
+        j = int(np.where(np.isin(np.arange(n), want), -np.inf, np.round(rest, 12)).argmax())
+        coef[:, m] = (kernel[:, j] - coef[:, :m] @ coef[j, :m]) / np.sqrt(rest[j])
+        rest = np.maximum(rest - coef[:, m] ** 2, subset.FLOOR)
+        want.append(j)
+    assert [r["id"] for r in sorted(picks, key=lambda r: r["rank"])] == want
+    assert sum(v for f, v in files().items() if f not in before) < 2.5 * 8 * n * k
+
+
+def test_drops_come_in_strips():
+    rng = np.random.default_rng(6)
+    a, b, gap = rng.normal(size=(40, 5)), rng.normal(size=(2 * subset.STRIP + 3, 5)), rng.uniform(0, 9, 40)
+    parts = list(subset.drops(gap, a, b))
+    assert [p for p, _ in parts] == [0, subset.STRIP, 2 * subset.STRIP] and max(d.shape[1] for _, d in parts) == subset.STRIP
+    assert np.allclose(np.hstack([d for _, d in parts]), np.maximum(gap[:, None] - ((a[:, None] - b[None]) ** 2).sum(-1), 0))
+
+
 def test_no_points_no_picks(spark):
     none = spark.createDataFrame([], "pool string, id string, z array<double>")
     for method in subset.DIGITS:
